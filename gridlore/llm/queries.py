@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from gridlore.llm.bpe import encode_decode
 from gridlore.llm.exact_dedup import exact_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,9 +21,14 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir), keep="largest")
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), keep_text=False)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op6_exact_dedup": op6_exact_dedup,
+        "op9_bpe": op9_bpe,
     }
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridlore.llm.bpe import encode_decode
 from gridlore.llm.exact_dedup import exact_dedup
+from gridlore.llm.packing import pack
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +18,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir), keep="largest")
 
@@ -27,6 +32,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op5_best_fit_packing": op5_best_fit_packing,
         "op6_exact_dedup": op6_exact_dedup,
         "op9_bpe": op9_bpe,
     }

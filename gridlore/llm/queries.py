@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from gridlore.llm.bpe import encode_decode
 from gridlore.llm.exact_dedup import exact_dedup
 from gridlore.llm.packing import pack
+from gridlore.llm.topk import topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +27,11 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir), keep="largest")
 
 
+def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return topk(vectors, vectors.filter("vec_id % 100 = 0"), k=10)
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), keep_text=False)
 
@@ -34,6 +40,7 @@ def queries() -> dict[str, Query]:
     return {
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_exact_dedup": op6_exact_dedup,
+        "op8_exact_topk": op8_exact_topk,
         "op9_bpe": op9_bpe,
     }
 
@@ -46,4 +53,11 @@ def oracle_sql() -> dict[str, str]:
                    doc_id = max(doc_id) OVER g AS kept, sha256(norm) AS text_sha256
             FROM (SELECT doc_id, {lower} AS norm FROM documents)
             WINDOW g AS (PARTITION BY norm)""",
+        "op8_exact_topk": """
+            WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+                       WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+            s AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_inner_product(a.q::DOUBLE[], b.q::DOUBLE[]) AS BIGINT) AS score
+                  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)
+            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+            FROM s QUALIFY rank <= 10""",
     }

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gridlore.llm.bpe import encode_decode
 from gridlore.llm.exact_dedup import exact_dedup
+from gridlore.llm.langid import identify, train
 from gridlore.llm.packing import pack
 from gridlore.llm.topk import topk
 
@@ -19,6 +21,17 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _remainder(n: int) -> Column:
+    """crc32 of the id as text, modulo n; a null id counts as empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    found = identify(docs, train(docs.filter(_remainder(5) != 0)))
+    return found.select("doc_id", (_remainder(5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -38,6 +51,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op3_language_id": op3_language_id,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_exact_dedup": op6_exact_dedup,
         "op8_exact_topk": op8_exact_topk,

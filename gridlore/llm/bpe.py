@@ -9,6 +9,7 @@ failing pair are merged exactly.  Words repeat, so each process keeps the encodi
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -22,8 +23,10 @@ from pyspark.sql import functions as F
 from gridlore.llm.common import process_cache
 
 END = "\0"  # stands for the end-of-word mark; no mapped byte is a NUL
+#: The rank of a pair that is no merge; symbols beyond which a word is merged by a heap.
+NEVER, LONG_WORD = 1 << 40, 128
 #: Words whose encodings a process keeps; beyond it only those of the last batch stay.
-KEPT_WORDS = 150_000
+KEPT_WORDS = 300_000
 
 
 def byte_letters() -> str:
@@ -64,33 +67,54 @@ class WordBpe:
         self.keys, self.key_ranks = np.array(keys)[order], np.array(key_ranks)[order]
         # a token that its own string does not merge into can't be proposed
         self.proposable = {s: i for s, i in self.ids.items() if len(s.rstrip(END)) <= 1 or self.merge(s) == [i]}
-        self.longest = max(map(len, self.proposable))
+        self.reach: dict[str, int] = {}  # the longest that begins with these two letters
+        for s in self.proposable:
+            self.reach[s[:2]] = max(self.reach.get(s[:2], 1), len(s))
 
     def merge(self, word: str) -> list[int]:
         """Exact merging: the lowest-ranked pair first, leftmost first."""
         parts = [*word[:-2], word[-2:]] if word[-1:] == END else list(word)
-        while len(parts) > 1:
-            found = [(self.ranks.get(p, 1 << 40), k) for k, p in enumerate(zip(parts, parts[1:], strict=False))]
-            rank, _ = min(found)
-            if rank == 1 << 40:
-                break
-            out, k = [], 0
-            while k < len(parts):
-                if k + 1 < len(parts) and self.ranks.get((parts[k], parts[k + 1])) == rank:
-                    out.append(parts[k] + parts[k + 1])
-                    k += 2
-                else:
-                    out.append(parts[k])
-                    k += 1
-            parts = out
-        return [self.ids[p] for p in parts]
+        if len(parts) > LONG_WORD:
+            return self._merge_long(parts)
+        get = self.ranks.get
+        ranks = [get(p, NEVER) for p in zip(parts, parts[1:], strict=False)]
+        while ranks and (least := min(ranks)) != NEVER:
+            k = ranks.index(least)
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del ranks[k]
+            if k:
+                ranks[k - 1] = get((parts[k - 1], parts[k]), NEVER)
+            if k < len(ranks):
+                ranks[k] = get((parts[k], parts[k + 1]), NEVER)
+        ids = self.ids
+        return [ids[p] for p in parts]
+
+    def _merge_long(self, parts: list[str]) -> list[int]:
+        """The same over a linked list with a heap: a word of n symbols takes n log n steps."""
+        n, get = len(parts), self.ranks.get
+        after, before = [*range(1, n), -1], list(range(-1, n - 1))
+        heap = [(r, k, parts[k], parts[k + 1]) for k in range(n - 1) if (r := get((parts[k], parts[k + 1]))) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, k, a, b = heapq.heappop(heap)
+            j = after[k]
+            if parts[k] != a or j < 0 or parts[j] != b:
+                continue  # one of the two was merged meanwhile
+            parts[k], parts[j] = a + b, ""
+            after[k] = after[j]
+            if after[k] >= 0:
+                before[after[k]] = k
+            for x, y in ((before[k], k), (k, after[k])):
+                if x >= 0 and y >= 0 and (r := get((parts[x], parts[y]))) is not None:
+                    heapq.heappush(heap, (r, x, parts[x], parts[y]))
+        return [self.ids[p] for p in parts if p]
 
     def propose(self, word: str) -> list[int]:
         """Greedy longest match; the last letter and the end mark are one symbol."""
         out, i, n = [], 0, len(word)
-        get, inner = self.proposable.get, n - 1 if word[-1:] == END else -1
+        get, reach, inner = self.proposable.get, self.reach.get, n - 1 if word[-1:] == END else -1
         while i < n:
-            for j in range(min(n, i + self.longest), i, -1):
+            for j in range(min(n, i + reach(word[i : i + 2], 1)), i, -1):
                 if j != inner and (t := get(word[i:j])) is not None:
                     out.append(t)
                     i = j
@@ -146,7 +170,10 @@ class Codec:
         # white space never reaches a token, so that it need not be squeezed first
         self.words = regex.compile(split["pattern"]["Regex"].replace("\\s", "\\p{White_Space}"))
         self.letters = dict(enumerate(byte_letters()))
-        self.known: dict[str, tuple[bytes, str, int]] = {}
+        self.names = self.bpe.names.tolist()
+        self.raw = [i.to_bytes(4, "little") for i in range(len(self.names))]
+        self.known: dict[str, bytes] = {}
+        self.shown: dict[str, str] = {}
 
     def split(self, text: str) -> list[str]:
         if not text.isascii():
@@ -156,10 +183,12 @@ class Codec:
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > KEPT_WORDS:
-            self.known = {w: self.known[w] for w in words if w in self.known}
+            held = [w for w in words if w in self.known]
+            self.known, self.shown = {w: self.known[w] for w in held}, {w: self.shown[w] for w in held}
+        raw, names = self.raw, self.names
         mapped = [w.encode("utf-8").decode("latin-1").translate(self.letters) + END for w in new]
         for w, ids in zip(new, self.bpe.encode_words(mapped), strict=True):
-            self.known[w] = (np.array(ids, "<u4").tobytes(), " ".join(self.bpe.names[ids]), len(ids))
+            self.known[w], self.shown[w] = b"".join([raw[i] for i in ids]), " ".join([names[i] for i in ids])
 
     def pieces(self, text: str) -> list[tuple[bool, list[str]]]:
         """Runs of words and, by themselves, the special tokens that stand in the text."""
@@ -171,18 +200,24 @@ class Codec:
     def code(self, texts: list[str]) -> Iterator[tuple[bytes, str, int]]:
         """(ids as little-endian unsigned 32-bit, decoded text, number of ids) of each text."""
         split = [self.pieces(t) for t in texts]
-        self.learn({w for pieces in split for special, words in pieces if not special for w in words})
-        known = self.known
+        words: set[str] = set()
         for pieces in split:
-            found = []
-            for special, words in pieces:
+            for special, found in pieces:
+                if not special:
+                    words.update(found)
+        self.learn(words)
+        raw, shown = self.known.__getitem__, self.shown.__getitem__
+        for pieces in split:
+            ids, text = [], []
+            for special, found in pieces:
                 if special:
-                    i = self.bpe.special[words[0]]
-                    found.append((np.array([i], "<u4").tobytes(), words[0], 1))
-                else:
-                    found.extend(map(known.__getitem__, words))
-            ids = b"".join([x[0] for x in found])
-            yield ids, " ".join([x[1] for x in found]), len(ids) // 4
+                    ids.append(self.raw[self.bpe.special[found[0]]])
+                    text.append(found[0])
+                elif found:
+                    ids.append(b"".join(map(raw, found)))
+                    text.append(" ".join(map(shown, found)))
+            joined = b"".join(ids)
+            yield joined, " ".join(text), len(joined) // 4
 
 
 def codec(path: str) -> Codec:

@@ -41,6 +41,16 @@ def test_pair_checks_equal_exact_merging():
     assert got.tolist() == want and 0 < sum(want) < 4000
 
 
+def test_long_words_merge_alike(monkeypatch):
+    import gridlore.llm.bpe as m
+
+    bpe, words = codec(PATH).bpe, ["thethethation" * 30 + m.END, "aaaaaaaaab" * 20 + m.END, "ing" + m.END]
+    monkeypatch.setattr(m, "LONG_WORD", 10_000)
+    want = [bpe.merge(w) for w in words]
+    monkeypatch.setattr(m, "LONG_WORD", 1)
+    assert [bpe.merge(w) for w in words] == want
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None, "x"), (None, "", "y"), (2, "Hello hello", None), (2, "Hello hello", None)]])
 def test_frame(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gridlore.llm.bpe import encode_decode
 from gridlore.llm.exact_dedup import exact_dedup
+from gridlore.llm.jaccard import near_duplicates
 from gridlore.llm.langid import identify, train
 from gridlore.llm.packing import pack
 from gridlore.llm.topk import topk
@@ -40,6 +41,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir), keep="largest")
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_documents(spark, sf_dir), n=3, num=90, den=100).select("doc_id", "n_shingles", "component_id")
+
+
 def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return topk(vectors, vectors.filter("vec_id % 100 = 0"), k=10)
@@ -54,6 +59,7 @@ def queries() -> dict[str, Query]:
         "op3_language_id": op3_language_id,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_exact_dedup": op6_exact_dedup,
+        "op7_ngram_jaccard": op7_ngram_jaccard,
         "op8_exact_topk": op8_exact_topk,
         "op9_bpe": op9_bpe,
     }

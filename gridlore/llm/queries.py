@@ -13,6 +13,7 @@ from gridlore.llm.exact_dedup import exact_dedup
 from gridlore.llm.jaccard import near_duplicates
 from gridlore.llm.langid import identify, train
 from gridlore.llm.packing import pack
+from gridlore.llm.substring_dedup import substring_dedup
 from gridlore.llm.topk import topk
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +55,10 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), keep_text=False)
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(_documents(spark, sf_dir), window=20).drop("kept")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op3_language_id": op3_language_id,
@@ -62,6 +67,7 @@ def queries() -> dict[str, Query]:
         "op7_ngram_jaccard": op7_ngram_jaccard,
         "op8_exact_topk": op8_exact_topk,
         "op9_bpe": op9_bpe,
+        "op10_substring_dedup": op10_substring_dedup,
     }
 
 

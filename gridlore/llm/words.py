@@ -61,6 +61,13 @@ def sequences(word_hash: np.ndarray, n: int) -> np.ndarray:
     return mix((total[n:] - total[:-n]) * back[:count] + _U(n))
 
 
+def spans(word_hash: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The fingerprint of each word sequence start..end (end excluded)."""
+    total = np.concatenate([np.zeros(1, _U), np.cumsum(word_hash * powers(_STEP, len(word_hash)))])
+    back = powers(_U(pow(int(_STEP), -1, 1 << 64)), len(word_hash))
+    return mix((total[end] - total[start]) * back[start] + (end - start).astype(_U))
+
+
 def lots(ids: list, texts: list, most: int = 2 << 20):
     """Cuts rows into lots of about ``most`` bytes; a longer text is a lot of its own."""
     lo = 0

@@ -28,6 +28,8 @@ from gridlore.llm.words import Words, lots, mix, sequences
 FREQUENT, MOST_MATCHES, VERIFY = 1 << 18, 8, 20.0
 #: Members of a posting list that one task compares; longer lists are dealt over pairs of their parts.
 LIST = 2048
+#: N-grams whose texts meet in one place for verification.
+CELL = 1 << 20
 #: Ids that are sent to all executors at once; more are joined by a shuffle.
 SENT_IDS = 1 << 20
 
@@ -165,7 +167,6 @@ def _pairs(num: int, den: int):
 def candidates(sets: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b) of classes that share enough prefix n-grams."""
     postings = sets.select("a", "prefix").mapInArrow(_postings, "gram long, a long")
-    postings = materialise(postings, "postings")
     lengths = postings.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1")
     parts = F.ceil(F.col("n") / F.lit(LIST)).cast("int")
     shared = postings.join(lengths, "gram").withColumn("parts", parts).join(sets.select("a", "size", "matches", "s0", "s1"), "a")
@@ -176,34 +177,43 @@ def candidates(sets: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.count("*").alias("met"), F.min("need").alias("need")).filter("met >= need").select("a", "b")
 
 
-def _verify(num: int, den: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column("set_a").to_pylist(), b.column("set_b").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(den * both >= num * (len(x) + len(y) - both))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
-
-
-def verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs whose whole sets link."""
+def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+    """The pairs whose whole sets link.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for ids, raw in lots(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in ngram_sets(raw, n)], pa.binary())], names=["doc_id", "grams"])
-
-    ids = materialise(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "candidate-ids")
-    asked = F.broadcast(ids) if ids.count() <= SENT_IDS else ids
-    sets = _texts(docs, id_col, text_col).join(asked, "doc_id", "left_semi").mapInArrow(run, "doc_id long, grams binary").dropDuplicates(["doc_id"])
-    sets = materialise(sets, "candidate-sets")
-    left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("set_a")), "a")
-    whole = left.join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("set_b")), "b")
-    return whole.select("a", "b", "set_a", "set_b").mapInArrow(_verify(num, den), "a long, b long")
+    Texts travel once: all that candidates connect meets in one place and is compared there.  What weighs
+    more than CELL n-grams is dealt in parts, and every two parts of it meet somewhere.
+    """
+    whole = components(pairs)
+    weighed = materialise(whole.join(sets.select(F.col("a").alias("node"), "size"), "node"), "candidate-sizes")
+    heavy = weighed.groupBy("component").agg(F.ceil(F.sum("size") / F.lit(CELL)).cast("int").alias("parts"))
+    total = weighed.agg(F.sum("size")).first()[0] or 0
+    buckets = F.lit(max(1, -(-total // CELL)))
+    node = weighed.join(heavy, "component").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    node = materialise(node.select("node", "component", "parts", "part"), "candidate-parts")
+
+    def cell(p, q):
+        return F.when(F.col("parts") > 1, F.xxhash64("component", p, q)).otherwise(F.pmod(F.xxhash64("component"), buckets)).alias("cell")
+
+    at = node.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    at = materialise(at.select(F.col("node").alias("doc_id"), cell(F.least("part", "other"), F.greatest("part", "other"))).distinct(), "candidate-cells")
+    asked = F.broadcast(at) if at.count() <= SENT_IDS else at
+    texts = _texts(docs, id_col, text_col).join(asked, "doc_id").select("cell", "doc_id", "text")
+    ends = pairs.join(node.select(F.col("node").alias("a"), "component", "parts", F.col("part").alias("part_a")), "a")
+    ends = ends.join(node.select(F.col("node").alias("b"), F.col("part").alias("part_b")), "b")
+    ends = ends.select(cell(F.least("part_a", "part_b"), F.greatest("part_a", "part_b")), "a", "b")
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        held: dict[int, np.ndarray] = {}
+        for ids, raw in lots(left.column("doc_id").to_pylist(), left.column("text").to_pylist()):
+            held.update(zip(ids, ngram_sets(raw, n), strict=True))
+        keep = []
+        for x, y in zip(right.column("a").to_pylist(), right.column("b").to_pylist(), strict=True):
+            x, y = held[x], held[y]
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(den * both >= num * (len(x) + len(y) - both))
+        return right.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return texts.groupBy("cell").cogroup(ends.groupBy("cell")).applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -224,7 +234,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id
     sets = usable.join(classes.select("digest", F.col("class_id").alias("doc_id")), ["digest", "doc_id"], "left_semi").dropDuplicates(["doc_id"])
     sets = materialise(sets.select(F.col("doc_id").alias("a"), "size", "matches", "s0", "s1", "prefix"), "sets")
     pairs = materialise(candidates(sets, num, den), "candidates")
-    links = materialise(verified(pairs, docs, n, num, den, id_col, text_col), "links")
+    links = materialise(verified(pairs, sets, docs, n, num, den, id_col, text_col), "links")
     found = components(links)
     named = classes.join(found.withColumnRenamed("node", "class_id"), "class_id", "left").select("digest", "class_id", F.coalesce("component", "class_id").alias("component_id"))
     out = rows.select("doc_id", "size", "digest").join(named, "digest", "left")

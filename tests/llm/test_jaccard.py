@@ -50,6 +50,7 @@ def corpus(seed, docs=160):
 @pytest.mark.parametrize(("n", "num", "den", "cut"), [(3, 90, 100, 2048), (5, 8, 10, 2048), (3, 90, 100, 4)])
 def test_against_brute_force(spark, monkeypatch, n, num, den, cut):
     monkeypatch.setattr(m, "LIST", cut)
+    monkeypatch.setattr(m, "CELL", cut * 40)
     rows = corpus(n + cut) + [(9001, None), (9002, ""), (9003, " \n"), (9004, "one"), (9005, "ONE"), (9006, "one two"), (9007, "é É")]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as digest", "0 as size", "1 as component_id").repartition(4)
     want = brute(rows, n, num, den)

@@ -147,15 +147,31 @@ def _merged(rows: DataFrame, batch: int) -> DataFrame:
 
 
 def per_document(rows: DataFrame) -> DataFrame:
-    """(doc_id, places): the (start, n) of each document, in order, as one binary."""
-    pair = F.struct("start", "n")
-    listed = rows.groupBy("doc_id").agg(F.sort_array(F.collect_set(pair)).alias("p"))
-    return listed.select("doc_id", F.transform("p", lambda x: x["start"]).alias("starts"), F.transform("p", lambda x: x["n"]).alias("ns"))
+    """(doc_id, starts, ns): the runs of windows that each document's (start, n) make together."""
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            first, last = [], []
+            for starts, ns in zip(b.column("starts").to_pylist(), b.column("ns").to_pylist(), strict=True):
+                lo, hi = [], []
+                for s, n in sorted(zip(starts, ns, strict=True)):
+                    if lo and s <= hi[-1]:
+                        hi[-1] = max(hi[-1], s + n)
+                    else:
+                        lo.append(s)
+                        hi.append(s + n)
+                first.append(lo)
+                last.append([y - x for x, y in zip(lo, hi, strict=True)])
+            kind = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(first, kind), pa.array(last, kind)], names=["doc_id", "starts", "ns"])
+
+    listed = rows.groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("ns"))
+    return listed.mapInArrow(join, "doc_id long, starts array<long>, ns array<long>")
 
 
 def with_places(docs: DataFrame, places: DataFrame, how: str) -> DataFrame:
     """Joins per-document lists to texts: sent to all executors if their counted size allows, else by a shuffle."""
-    size = places.select(F.sum(24 + 12 * F.size("starts"))).first()[0] or 0
+    size = places.select(F.sum(32 + 16 * F.size("starts"))).first()[0] or 0
     return docs.join(F.broadcast(places) if size <= SENT_BYTES else places, "doc_id", how)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlore.llm.bpe import encode_decode
+from gridlore.llm.context_mixing import score_corpus
 from gridlore.llm.exact_dedup import exact_dedup
 from gridlore.llm.jaccard import near_duplicates
 from gridlore.llm.langid import identify, train
@@ -28,6 +29,10 @@ def _remainder(n: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_corpus(_documents(spark, sf_dir), _remainder(7) == 2)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     found = identify(docs, train(docs.filter(_remainder(5) != 0)))
@@ -61,6 +66,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_lm_score": op1_lm_score,
         "op3_language_id": op3_language_id,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_exact_dedup": op6_exact_dedup,

@@ -15,6 +15,7 @@ from gridlore.llm.jaccard import near_duplicates
 from gridlore.llm.langid import identify, train
 from gridlore.llm.packing import pack
 from gridlore.llm.substring_dedup import substring_dedup
+from gridlore.llm.suffix_array import suffix_dedup
 from gridlore.llm.topk import topk
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +40,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (_remainder(5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(_documents(spark, sf_dir), match=50).drop("kept")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -68,6 +73,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_lm_score": op1_lm_score,
         "op3_language_id": op3_language_id,
+        "op4_suffix_dedup": op4_suffix_dedup,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_ngram_jaccard": op7_ngram_jaccard,

@@ -5,7 +5,7 @@ only classes are joined.  All sets are ordered alike, n-grams that are rare by e
 that link share at least l n-grams within their first n - o + l, where o is the least overlap a set of n
 can link with, for any l: each document picks the l whose prefix promises the least work (postings read
 plus candidates verified, by estimated frequencies), and a pair needs as many shared prefix n-grams as the
-smaller l of the two.  Candidates of fitting size and parity sketch are verified on the whole sets.  The
+smaller l of the two.  Candidates of fitting size and parity sketches are verified on the whole sets.  The
 estimates move work only, never the result.
 """
 
@@ -50,6 +50,12 @@ def ngram_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
     return out
 
 
+def parity_bits(s: np.ndarray, bits: int) -> np.ndarray:
+    """For each of ``bits`` classes (a power of two) whether an odd number of the set falls into it: two sets
+    differ in at least as many elements as classes.  Halves combine by exclusive or into fewer classes."""
+    return np.bincount((mix(s) & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
+
+
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
@@ -96,7 +102,7 @@ def prefixes(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col:
                 for i, s in zip(ids, ngram_sets(raw, n), strict=True):
                     size = len(s)
                     if not size:
-                        rows.append((i, 0, b"", 0, 0, 0, b""))
+                        rows.append((i, 0, b"", 0, 0, b"", 0, b""))
                         continue
                     df = np.ones(size, np.int64)
                     if len(grams):
@@ -108,14 +114,15 @@ def prefixes(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col:
                     reads = np.cumsum(df[order])[size - overlap + matches - 1]
                     cost = reads + VERIFY * (reads - (size - overlap + matches)) / matches
                     m = int(matches[cost.argmin()])
-                    parity = np.packbits(np.bincount((mix(s) & np.uint64(127)).astype(np.int64), minlength=128).astype(np.uint8) & 1).view("<i8")
+                    bits = parity_bits(s, max(128, 1 << (size - 1).bit_length()))
+                    parity = np.packbits(np.bitwise_xor.reduce(bits.reshape(-1, 128), 0)).view("<i8")
                     prefix = s[order[: size - overlap + m]]
-                    rows.append((i, size, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), int(parity[0]), int(parity[1]), m, prefix.tobytes()))
+                    rows.append((i, size, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), int(parity[0]), int(parity[1]), np.packbits(bits).tobytes(), m, prefix.tobytes()))
             if rows:
-                kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "size", "digest", "s0", "s1", "matches", "prefix"])
+                kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "size", "digest", "s0", "s1", "sketch", "matches", "prefix"])
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, size int, digest binary, s0 long, s1 long, matches int, prefix binary")
+    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, size int, digest binary, s0 long, s1 long, sketch binary, matches int, prefix binary")
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +181,26 @@ def candidates(sets: DataFrame, num: int, den: int) -> DataFrame:
     shared = shared.select("gram", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "a", "size", "matches", "s0", "s1")
     dealt = shared.repartition("gram", "p", "q").sortWithinPartitions("gram", "p", "q", "size", "a")
     pairs = dealt.mapInArrow(_pairs(num, den), "a long, b long, need int")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("met"), F.min("need").alias("need")).filter("met >= need").select("a", "b")
+    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("met"), F.min("need").alias("need")).filter("met >= need").select("a", "b")
+    left = pairs.join(sets.select("a", F.col("size").alias("size_a"), F.col("sketch").alias("sketch_a")), "a")
+    both = left.join(sets.select(F.col("a").alias("b"), F.col("size").alias("size_b"), F.col("sketch").alias("sketch_b")), "b")
+    return both.select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b").mapInArrow(_sketched(num, den), "a long, b long")
+
+
+def _sketched(num: int, den: int):
+    """Drops pairs whose parity sketches differ in more classes than linked sets can differ in n-grams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for n, m, x, y in zip(*(b.column(c).to_pylist() for c in ("size_a", "size_b", "sketch_a", "sketch_b")), strict=True):
+                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+                bytes_ = min(len(x), len(y))
+                x, y = (np.bitwise_xor.reduce(z.reshape(-1, bytes_), 0) for z in (x, y))
+                keep.append(int(np.bitwise_count(x ^ y).sum()) * (den + num) <= (n + m) * (den - num))
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
 
 
 def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
@@ -232,7 +258,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id
     usable = rows.filter("size > 0 and doc_id is not null")
     classes = materialise(usable.groupBy("digest").agg(F.min("doc_id").alias("class_id")), "classes")
     sets = usable.join(classes.select("digest", F.col("class_id").alias("doc_id")), ["digest", "doc_id"], "left_semi").dropDuplicates(["doc_id"])
-    sets = materialise(sets.select(F.col("doc_id").alias("a"), "size", "matches", "s0", "s1", "prefix"), "sets")
+    sets = materialise(sets.select(F.col("doc_id").alias("a"), "size", "matches", "s0", "s1", "sketch", "prefix"), "sets")
     pairs = materialise(candidates(sets, num, den), "candidates")
     links = materialise(verified(pairs, sets, docs, n, num, den, id_col, text_col), "links")
     found = components(links)

@@ -5,8 +5,9 @@ only classes are joined.  All sets are ordered alike, n-grams that are rare by e
 that link share at least l n-grams within their first n - o + l, where o is the least overlap a set of n
 can link with, for any l: each document picks the l whose prefix promises the least work (postings read
 plus candidates verified, by estimated frequencies), and a pair needs as many shared prefix n-grams as the
-smaller l of the two.  Candidates of fitting size and parity sketches are verified on the whole sets.  The
-estimates move work only, never the result.
+smaller l of the two.  Candidates of fitting size and parity sketches are verified on the whole sets: first
+a few nearest ones of each class, which tie groups of near copies together, then all pairs between the
+components so found.  The estimates move work only, never the result.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from gridlore.llm.words import Words, lots, mix, sequences
 FREQUENT, MOST_MATCHES, VERIFY = 1 << 18, 8, 20.0
 #: Members of a posting list that one task compares; longer lists are dealt over pairs of their parts.
 LIST = 2048
+#: Partners that a class gets from each of its n-grams before components are known.
+NEAREST = 4
 #: N-grams whose texts meet in one place for verification.
 CELL = 1 << 20
 #: Ids that are sent to all executors at once; more are joined by a shuffle.
@@ -132,14 +135,17 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(prefix), np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), sizes))], names=["gram", "a"])
 
 
-def _pairs(num: int, den: int):
-    """Candidate pairs of each list (gram, p, q), whose rows come sorted by list and size."""
+def _pairs(num: int, den: int, nearest: int):
+    """Candidate pairs of each list (gram, p, q), whose rows come sorted by list and size: all pairs of different
+    labels, or the first ``nearest`` that each row meets going down in size."""
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
         """Whole lists, several at a time."""
-        names = ("gram", "p", "q", "part", "a", "size", "matches", "s0", "s1")
+        names = ("gram", "p", "q", "part", "a", "size", "matches", "s0", "s1", "label")
         held: dict[str, np.ndarray] | None = None
         for b in batches:
+            if not b.num_rows:
+                continue
             new = {c: b.column(c).to_numpy() for c in names}
             held = new if held is None else {c: np.concatenate([held[c], new[c]]) for c in names}
             last = (held["gram"] == held["gram"][-1]) & (held["p"] == held["p"][-1]) & (held["q"] == held["q"][-1])
@@ -152,36 +158,51 @@ def _pairs(num: int, den: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in lists(batches):
-            i, step = np.arange(len(x["a"])), 0
-            while len(i):
+            size = x["size"].astype(np.int64)
+            begins = np.ones(len(size), bool)
+            begins[1:] = (x["gram"][1:] != x["gram"][:-1]) | (x["p"][1:] != x["p"][:-1]) | (x["q"][1:] != x["q"][:-1])
+            begin = np.maximum.accumulate(np.where(begins, np.arange(len(size)), 0))
+            # lists with one label have nothing to say
+            heads = np.flatnonzero(begins)
+            labels = (np.maximum.reduceat(x["label"], heads) != np.minimum.reduceat(x["label"], heads))[np.cumsum(begins) - 1]
+            j, step, given = np.flatnonzero(labels), 0, np.zeros(len(size), np.int64)
+            while len(j):
                 step += 1
-                i = i[i + step < len(x["a"])]
-                j = i + step
-                # sorted by size: a row whose partner has grown too large is done
-                go = (x["gram"][i] == x["gram"][j]) & (x["p"][i] == x["p"][j]) & (x["q"][i] == x["q"][j]) & (x["size"][i].astype(np.int64) * den >= x["size"][j].astype(np.int64) * num)
+                j = j[j - step >= begin[j]]
+                i = j - step
+                go = size[i] * den >= size[j] * num  # sorted by size: a row that has come to too small ones is done
                 i, j = i[go], j[go]
                 apart = sum(np.bitwise_count((x[c][i] ^ x[c][j]).view(np.uint64)).astype(np.int64) for c in ("s0", "s1"))
-                ok = apart * (den + num) <= (x["size"][i].astype(np.int64) + x["size"][j]) * (den - num)
+                ok = (apart * (den + num) <= (size[i] + size[j]) * (den - num)) & (x["label"][i] != x["label"][j])
                 ok &= (x["part"][i] != x["part"][j]) | (x["p"][i] == x["q"][i])  # a pair within a part is met in the part's own list
                 a, b = x["a"][i[ok]], x["a"][j[ok]]
                 if len(a):
                     need = np.minimum(x["matches"][i[ok]], x["matches"][j[ok]])
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(need)], names=["a", "b", "need"])
+                if nearest:
+                    given[j[ok]] += 1
+                    j = j[given[j] < nearest]
 
     return run
 
 
-def candidates(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b) of classes that share enough prefix n-grams."""
+def posting_lists(sets: DataFrame) -> DataFrame:
+    """Rows (gram, p, q, part, a, size, matches, s0, s1) of all prefix n-grams that several classes share."""
     postings = sets.select("a", "prefix").mapInArrow(_postings, "gram long, a long")
     lengths = postings.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1")
     parts = F.ceil(F.col("n") / F.lit(LIST)).cast("int")
     shared = postings.join(lengths, "gram").withColumn("parts", parts).join(sets.select("a", "size", "matches", "s0", "s1"), "a")
     shared = shared.withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    shared = shared.select("gram", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "a", "size", "matches", "s0", "s1")
-    dealt = shared.repartition("gram", "p", "q").sortWithinPartitions("gram", "p", "q", "size", "a")
-    pairs = dealt.mapInArrow(_pairs(num, den), "a long, b long, need int")
-    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("met"), F.min("need").alias("need")).filter("met >= need").select("a", "b")
+    return shared.select("gram", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "a", "size", "matches", "s0", "s1")
+
+
+def candidates(lists: DataFrame, sets: DataFrame, num: int, den: int, nearest: int = 0) -> DataFrame:
+    """(a, b) of classes with different labels that share enough prefix n-grams; with ``nearest`` only that many
+    for each class and n-gram, and no count is asked for."""
+    dealt = lists.repartition("gram", "p", "q").sortWithinPartitions("gram", "p", "q", "size", "a")
+    pairs = dealt.mapInArrow(_pairs(num, den, nearest), "a long, b long, need int")
+    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("met"), F.min("need").alias("need"))
+    pairs = (pairs if nearest else pairs.filter("met >= need")).select("a", "b")
     left = pairs.join(sets.select("a", F.col("size").alias("size_a"), F.col("sketch").alias("sketch_a")), "a")
     both = left.join(sets.select(F.col("a").alias("b"), F.col("size").alias("size_b"), F.col("sketch").alias("sketch_b")), "b")
     return both.select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b").mapInArrow(_sketched(num, den), "a long, b long")
@@ -259,9 +280,15 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id
     classes = materialise(usable.groupBy("digest").agg(F.min("doc_id").alias("class_id")), "classes")
     sets = usable.join(classes.select("digest", F.col("class_id").alias("doc_id")), ["digest", "doc_id"], "left_semi").dropDuplicates(["doc_id"])
     sets = materialise(sets.select(F.col("doc_id").alias("a"), "size", "matches", "s0", "s1", "sketch", "prefix"), "sets")
-    pairs = materialise(candidates(sets, num, den), "candidates")
+    lists = materialise(posting_lists(sets), "lists")
+    # a group of near copies is tied together by a few links each; all other pairs are needed between components only
+    pairs = materialise(candidates(lists.withColumn("label", F.col("a")), sets, num, den, NEAREST), "near-candidates")
     links = materialise(verified(pairs, sets, docs, n, num, den, id_col, text_col), "links")
-    found = components(links)
+    label = F.coalesce("component", "a").alias("label")
+    apart = lists.join(components(links).withColumnRenamed("node", "a"), "a", "left").select(*lists.columns, label)
+    pairs = materialise(candidates(apart, sets, num, den).join(pairs, ["a", "b"], "left_anti"), "far-candidates")
+    more = materialise(verified(pairs, sets, docs, n, num, den, id_col, text_col), "links")
+    found = components(links.unionByName(more))
     named = classes.join(found.withColumnRenamed("node", "class_id"), "class_id", "left").select("digest", "class_id", F.coalesce("component", "class_id").alias("component_id"))
     out = rows.select("doc_id", "size", "digest").join(named, "digest", "left")
     own = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from gridlore.llm.exact_dedup import exact_dedup
 from gridlore.llm.jaccard import near_duplicates
 from gridlore.llm.langid import identify, train
 from gridlore.llm.packing import pack
+from gridlore.llm.secrets import Scanner
 from gridlore.llm.substring_dedup import substring_dedup
 from gridlore.llm.suffix_array import suffix_dedup
 from gridlore.llm.topk import topk
@@ -34,6 +36,11 @@ def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_corpus(_documents(spark, sf_dir), _remainder(7) == 2)
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return Scanner.fitted(docs).scan(docs)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     found = identify(docs, train(docs.filter(_remainder(5) != 0)))
@@ -72,6 +79,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_lm_score": op1_lm_score,
+        "op2_secret_scan": op2_secret_scan,
         "op3_language_id": op3_language_id,
         "op4_suffix_dedup": op4_suffix_dedup,
         "op5_best_fit_packing": op5_best_fit_packing,
@@ -80,6 +88,7 @@ def queries() -> dict[str, Query]:
         "op8_exact_topk": op8_exact_topk,
         "op9_bpe": op9_bpe,
         "op10_substring_dedup": op10_substring_dedup,
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from gridlore.plans import experiments  # noqa: F401
+from gridlore.plans import arrays, experiments, models  # noqa: F401

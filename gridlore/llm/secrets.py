@@ -18,8 +18,10 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridlore.llm.common import materialise
+
 #: Words of the dictionary, trees and their depth, labelled findings of each kind that are made up.
-DICTIONARY, TREES, DEPTH, EXAMPLES = 4000, 15, 5, 300
+DICTIONARY, TREES, DEPTH, EXAMPLES = 4000, 12, 5, 300
 RUN = "[A-Za-z0-9+/_\\-]{16,}"
 WHITE = "[ \\t-\\r]+"
 # fixed values: words that announce a secret, and words that announce a harmless number
@@ -145,17 +147,24 @@ def labelled_examples(spark: SparkSession, words: list[tuple[str, int]], each: i
         (0, F.concat(lit("2024-01-"), digits("t", 2), lit("T"), digits("u", 6)), F.concat(lit("2024-01-"), digits("t", 2), lit("T"), digits("u", 6)), word("t1"), word("t2")),
         (0, F.concat(lit("x"), F.repeat(lit("x1"), 12)), F.concat(lit("password="), lit("x"), F.repeat(lit("x1"), 12)), word("v1"), word("v2")),
     ]
-    base, out = spark.range(0, each, 1, 1), None
-    for k, (label, candidate, around, before, before2) in enumerate(kinds):
-        rows = base.select((F.col("id") + each * k).alias("id")).select(lit(float(label)).alias("label"), candidate.alias("candidate"), around.alias("word"), before.alias("before"), before2.alias("before2"), word("z").alias("after"), F.concat(lit("src"), F.col("id") % 20).alias("path"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    kind = F.col("id") % len(kinds)
+
+    def pick(k: int) -> Column:
+        out = F.when(kind == 0, kinds[0][k])
+        for n, row in enumerate(kinds[1:], 1):
+            out = out.when(kind == n, row[k])
+        return out
+
+    base = spark.range(0, each * len(kinds), 1, 1)
+    label = F.element_at(F.array(*(lit(float(k[0])) for k in kinds)), (kind + 1).cast("int"))
+    return base.select(label.alias("label"), pick(1).alias("candidate"), pick(2).alias("word"), pick(3).alias("before"), pick(4).alias("before2"), word("z").alias("after"), F.concat(lit("src"), F.col("id") % 20).alias("path"))
 
 
 def train(labelled: DataFrame, describer: Describer, trees: int = TREES, depth: int = DEPTH) -> RandomForestClassificationModel:
     """Fits the forest on labelled findings (label, candidate, word, before, before2, after, path)."""
     rows = labelled.select("label", describer.struct(F.struct("candidate", "word", "before", "before2", "after", "path")).alias("f")).select("label", "f.*")
-    vectors = VectorAssembler(inputCols=list(Describer.NAMES), outputCol="features").transform(rows.coalesce(1))
+    # the forest reads its rows several times: they are described once
+    vectors = VectorAssembler(inputCols=list(Describer.NAMES), outputCol="features").transform(materialise(rows.coalesce(1), "findings"))
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=11, featureSubsetStrategy="sqrt").fit(vectors.select("label", "features"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -95,6 +95,24 @@ class Thermo:
         water = (c.r5les * c.ralvdcp) / F.pow(t - c.r4les, F.lit(2.0))
         return F.when(t > c.rtt, water).otherwise((c.r5ies * c.ralsdcp) / F.pow(t - c.r4ies, F.lit(2.0)))
 
+    def relative_slope(self, t: Column) -> Column:
+        """Of the logarithm of saturation pressure, over water or ice."""
+        c = self.c
+        return F.when(t > c.rtt, c.r5les / F.pow(t - c.r4les, F.lit(2.0))).otherwise(c.r5ies / F.pow(t - c.r4ies, F.lit(2.0)))
+
+    def relative_slope_mixed(self, t: Column) -> Column:
+        a, c = self.liquid_share(t), self.c
+        return a * c.r5les / F.pow(t - c.r4les, F.lit(2.0)) + (1.0 - a) * c.r5ies / F.pow(t - c.r4ies, F.lit(2.0))
+
+    def pressure_slope_mixed(self, t: Column) -> Column:
+        """Of saturation pressure in mixed phase, by temperature, at a fixed share of water."""
+        a, c = self.liquid_share(t), self.c
+        return a * self.over_water(t) * c.r5les / F.pow(t - c.r4les, F.lit(2.0)) + (1.0 - a) * self.over_ice(t) * c.r5ies / F.pow(t - c.r4ies, F.lit(2.0))
+
+    def convective(self, ice_from: float = 250.16) -> Thermo:
+        """The same functions with the ramp of convective clouds."""
+        return Thermo(replace(self.c, rtice=ice_from))
+
     def freezing_limit(self, t: Column) -> Column:
         return F.least(self.c.rkoop1 - self.c.rkoop2 * t, self.over_water(t) / self.over_ice(t))
 

@@ -352,3 +352,15 @@ def k19(spark, sf_dir):
 @register("a7_segmented_max", f"WITH {MAT} SELECT j, max(v) AS top FROM mat GROUP BY j")
 def a7(spark, sf_dir):
     return matrix(spark, sf_dir).groupBy("j").agg(F.max("v").alias("top"))
+
+
+@register("k15_cloud_column")
+def k15(spark, sf_dir):
+    """One step of the column scheme: a part is a column of six levels."""
+    from gridlore.operators.column import microphysics
+
+    c = F.col
+    p = table(spark, sf_dir, "part").select(c("p_partkey").alias("jl"), c("p_size").cast("double").alias("s"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("jk"))
+    x = c("s") / 50.0
+    cells = p.select("jl", "jk", (230 + 9 * c("jk") + 5 * x).alias("t"), (0.1 + 0.9 * x).alias("cover"), F.lit(5000.0).alias("dp"), (0.5 + 0.1 * c("jk")).alias("rho"), (0.001 + 0.002 * c("jk")).alias("saturated"), (-1e-4 * x).alias("change"), (2e-4 * x).alias("liquid"), (1e-4 * (1 - x)).alias("ice"), F.lit(0.0).alias("rain"), (1e-5 * x).alias("snow"), (0.002 + 0.002 * c("jk")).alias("vapour"))
+    return microphysics(cells)

@@ -207,3 +207,39 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_column_scheme_conserves_water_and_heat():
+    from gridlore.operators.column import ICE, LIQUID, RAIN, SNOW, Scheme
+
+    r = np.random.default_rng(4)
+    shape = 7, 50
+    q = np.stack([r.uniform(0, s, shape) for s in (5e-4, 2e-4, 1e-4, 1e-4, 1e-2)])
+    t, cover, dp, rho = r.uniform(225, 290, shape), r.uniform(0, 1, shape), r.uniform(2e3, 8e3, shape), r.uniform(0.3, 1.2, shape)
+    s = Scheme()
+    new, heat, flux = s.run(q, t, cover, dp, rho, r.uniform(1e-3, 9e-3, shape), r.uniform(-2e-4, 1e-4, shape))
+    assert new.min() >= 0 and not np.allclose(new, q)
+    column = lambda x: (x.sum(0) * dp / s.gravity).sum(0)
+    assert np.allclose(column(q), column(new) + flux[:, -1].sum(0) * s.dt, rtol=1e-10)
+    # what condenses or melts warms or cools, wherever it falls afterwards
+    c = s.thermo
+    latent = lambda x: c.ralvdcp * (x[LIQUID] + x[RAIN]) + c.ralsdcp * (x[ICE] + x[SNOW])
+    out = latent(flux[:, -1]) * s.dt
+    assert np.allclose(((heat - t) * dp / s.gravity).sum(0), ((latent(new) - latent(q)) * dp / s.gravity).sum(0) + out, rtol=1e-8)
+
+
+def test_column_scheme_solves_each_level_as_one_system():
+    from gridlore.operators.column import Scheme
+
+    rates, sink, right = np.zeros((5, 5, 1)), np.array([[0.0], [0.5], [2.0], [1.0], [0.0]]), np.arange(1.0, 6)[:, None]
+    rates[0, 2] = 0.3
+    got = Scheme._solve(right, rates, sink)[:, 0]
+    assert np.allclose(got, [1 / 1.3, 2 / 1.5, (3 + 0.3 / 1.3) / 3, 4 / 2, 5])
+
+
+def test_column_blocks_do_not_matter(spark):
+    from gridlore.operators.column import microphysics
+
+    rows = [(jl, jk, 230.0 + 9 * jk + jl, 0.5, 5000.0, 0.7, 0.002, -1e-4, 2e-4, 1e-4, 0.0, 1e-5, 0.004) for jl in range(10) for jk in range(5)]
+    df = spark.createDataFrame(rows, "jl long, jk int, t double, cover double, dp double, rho double, saturated double, change double, liquid double, ice double, rain double, snow double, vapour double")
+    assert np.allclose(*(np.array(sorted(map(tuple, microphysics(df, block=b).collect()))) for b in (3, 256)), rtol=1e-12)

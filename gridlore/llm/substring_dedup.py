@@ -26,7 +26,7 @@ from gridlore.llm.common import materialise
 from gridlore.llm.words import Words, lots, mix, sequences, spans
 
 #: Bytes of per-document lists that are sent to all executors at once; more are joined by a shuffle.
-SENT_BYTES = 48 << 20
+SENT_BYTES = 128 << 20
 _KINDS = {"anchor": pa.int64(), "span": pa.int64(), "off": pa.int32(), "n": pa.int32(), "doc_id": pa.int64(), "start": pa.int64(), "gone": pa.bool_()}
 _DDL = "anchor long, span long, off int, n int, doc_id long, start long, gone boolean"
 
@@ -171,7 +171,8 @@ def per_document(rows: DataFrame) -> DataFrame:
 
 def with_places(docs: DataFrame, places: DataFrame, how: str) -> DataFrame:
     """Joins per-document lists to texts: sent to all executors if their counted size allows, else by a shuffle."""
-    size = places.select(F.sum(32 + 16 * F.size("starts"))).first()[0] or 0
+    lists = [F.size(c) for c, t in places.dtypes if t.startswith("array")]
+    size = places.select(F.sum(32 + 8 * sum(lists[1:], lists[0]))).first()[0] or 0
     return docs.join(F.broadcast(places) if size <= SENT_BYTES else places, "doc_id", how)
 
 

@@ -90,7 +90,7 @@ def gram_counts(training: DataFrame, text_col: str) -> DataFrame:
 
         for b in batches:
             texts = b.column(0).to_pylist()
-            for _, raw in lots(texts, texts):
+            for _, raw in lots(texts, texts, 2 << 20):
                 for keys, _ in keyed([t.lower() for t in raw]):
                     held.append(np.unique(keys, return_counts=True))
                 if sum(len(k) for k, _ in held) > HELD:
@@ -318,7 +318,7 @@ def score(docs: DataFrame, mixer: Mixer, text_col: str = "text", keep: list[str
         known, cost = np.zeros(0, _U), np.zeros(0)  # keys are scored once in a while
         for b in batches:
             texts, scored, sizes = b.column("_text").to_pylist(), [], []
-            for _, raw in lots(texts, texts):
+            for _, raw in lots(texts, texts, 2 << 20):
                 total = np.zeros(len(raw))
                 for keys, owner in keyed([t.lower() for t in raw]):
                     used, back = np.unique(keys, return_inverse=True)

@@ -68,7 +68,7 @@ def frequent_ngrams(docs: DataFrame, n: int, id_col: str, text_col: str) -> tupl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [s for _, raw in lots(b.column(0).to_pylist(), b.column(1).to_pylist()) for s in ngram_sets(raw, n)]
+            sets = [s for _, raw in lots(b.column(0), b.column(1)) for s in ngram_sets(raw, n)]
             if not sets:
                 continue
             gram = np.sort(np.concatenate(sets))
@@ -100,8 +100,8 @@ def prefixes(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, counts = hint.value
         for b in batches:
-            rows = []
-            for ids, raw in lots(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for ids, raw in lots(b.column(0), b.column(1)):
+                rows = []
                 for i, s in zip(ids, ngram_sets(raw, n), strict=True):
                     size = len(s)
                     if not size:
@@ -121,9 +121,9 @@ def prefixes(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col:
                     parity = np.packbits(np.bitwise_xor.reduce(bits.reshape(-1, 128), 0)).view("<i8")
                     prefix = s[order[: size - overlap + m]]
                     rows.append((i, size, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), int(parity[0]), int(parity[1]), np.packbits(bits).tobytes(), m, prefix.tobytes()))
-            if rows:
-                kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "size", "digest", "s0", "s1", "sketch", "matches", "prefix"])
+                if rows:
+                    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "size", "digest", "s0", "s1", "sketch", "matches", "prefix"])
 
     return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, size int, digest binary, s0 long, s1 long, sketch binary, matches int, prefix binary")
 
@@ -251,7 +251,7 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, n: int, num: in
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         held: dict[int, np.ndarray] = {}
-        for ids, raw in lots(left.column("doc_id").to_pylist(), left.column("text").to_pylist()):
+        for ids, raw in lots(left.column("doc_id"), left.column("text")):
             held.update(zip(ids, ngram_sets(raw, n), strict=True))
         keep = []
         for x, y in zip(right.column("a").to_pylist(), right.column("b").to_pylist(), strict=True):

@@ -80,7 +80,7 @@ def _map_entries(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict[str, np.ndarray]] = []
         for b in batches:
-            for ids, raw in lots(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for ids, raw in lots(b.column(0), b.column(1)):
                 text, anchor, span, off, n, start = entries(raw, window, gram)
                 held.append({"anchor": anchor.view(np.int64), "span": span.view(np.int64), "off": off.astype(np.int32), "n": n.astype(np.int32), "doc_id": np.array(ids, np.int64)[text], "start": start})
             if sum(len(x["n"]) for x in held) > 1 << 20:
@@ -224,7 +224,7 @@ class SubstringIndex:
             for b in batches:
                 ids, starts, ns, seqs = (b.column(c).to_pylist() for c in ("doc_id", "starts", "ns", "seq"))
                 at = 0
-                for lot, raw in lots(ids, b.column("text").to_pylist()):
+                for lot, raw in lots(ids, b.column("text")):
                     w = Words(raw)
                     one, two = sequences(w.hash, window), sequences(mix(w.hash ^ np.uint64(0x5851F42D4C957F2D)), window)
                     for k, i in enumerate(lot):

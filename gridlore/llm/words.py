@@ -68,17 +68,19 @@ def spans(word_hash: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return mix((total[end] - total[start]) * back[start] + (end - start).astype(_U))
 
 
-def lots(ids: list, texts: list, most: int = 2 << 20):
-    """Cuts rows into lots of about ``most`` bytes; a longer text is a lot of its own."""
-    lo = 0
-    while lo < len(ids):
-        hi, size, raw = lo, 0, []
-        while hi < len(ids):
-            t = (texts[hi] or "").encode()
-            if hi > lo and size + len(t) > most:
-                break
+def lots(ids, texts, most: int = 1 << 19):
+    """Cuts rows (lists or columns of a batch) into lots of about ``most`` bytes; a longer text is a lot of its own.
+    Columns are turned into Python's texts a few rows at a time."""
+    names, raw, size = [], [], 0
+    for lo in range(0, len(ids), 256):
+        some = [x[lo : lo + 256] if isinstance(x, list) else x.slice(lo, 256).to_pylist() for x in (ids, texts)]
+        for i, text in zip(*some, strict=True):
+            t = (text or "").encode()
+            if raw and size + len(t) > most:
+                yield names, raw
+                names, raw, size = [], [], 0
+            names.append(i)
             raw.append(t)
             size += len(t)
-            hi += 1
-        yield ids[lo:hi], raw
-        lo = hi
+    if raw:
+        yield names, raw

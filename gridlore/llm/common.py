@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,11 +25,28 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{store['dir']}"
 
 
+#: Bytes of a batch that goes to or from Python while a step is written.
+BATCH_BYTES = 8 << 20
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Bounds the batches of what runs meanwhile: their buffers lie outside the heap, several to a task."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: lineage is cut, and the rows outlive any executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with small_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -94,7 +94,27 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    words = "list_filter(regexp_split_to_array({}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
     return {
+        "op7_ngram_jaccard": f"""
+            WITH RECURSIVE w AS (SELECT doc_id, {words.format(lower)} AS ws FROM documents),
+            g AS (SELECT DISTINCT doc_id, gram FROM (SELECT doc_id, unnest(CASE
+                WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])
+                WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS gram FROM w)),
+            n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+            m AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY ALL),
+            l AS (SELECT a, b FROM m JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 90 * (x.n + y.n - k)),
+            r(doc_id, c) AS (SELECT doc_id, doc_id FROM w UNION SELECT l.a, r.c FROM r JOIN l ON l.b = r.doc_id)
+            SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(c) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id""",
+        "op10_substring_dedup": f"""
+            WITH d AS (SELECT doc_id, {words.format("coalesce(text, '')")} AS ws FROM documents),
+            w AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS pos FROM d),
+            k AS (SELECT doc_id, pos, string_agg(w, ' ') OVER f AS key, count(*) OVER f AS n FROM w WINDOW f AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+            o AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY key ORDER BY doc_id, pos) AS rn FROM k WHERE n = 20),
+            c AS (SELECT DISTINCT doc_id, pos + t.r AS pos FROM o, range(20) t(r) WHERE rn > 1),
+            x AS (SELECT w.doc_id, w.w, w.pos, c.pos IS NOT NULL AS gone FROM w LEFT JOIN c ON w.doc_id = c.doc_id AND w.pos = c.pos),
+            y AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, string_agg(w, ' ' ORDER BY pos) FILTER (WHERE NOT gone) AS kept FROM x GROUP BY doc_id)
+            SELECT d.doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN y USING (doc_id)""",
         "op6_exact_dedup": f"""
             SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                    doc_id = max(doc_id) OVER g AS kept, sha256(norm) AS text_sha256

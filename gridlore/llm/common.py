@@ -50,6 +50,13 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def revived(kind: type, state: dict):
+    """An object of ``kind`` from its broadcast state: broadcasts carry data only, code comes with the function."""
+    out = kind.__new__(kind)
+    out.__dict__.update(state)
+    return out
+
+
 def process_cache(name: str) -> dict:
     """A dictionary that lives as long as the Python process, whatever was pickled by value."""
     return sys.modules.setdefault("_gridlore_process_cache", type(sys)("_gridlore_process_cache")).__dict__.setdefault(name, {})

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridlore.llm.common import materialise
+from gridlore.llm.common import materialise, revived
 from gridlore.llm.words import lots, mix
 
 ORDERS, END = 5, b"\xff"
@@ -272,12 +272,12 @@ def train(training: DataFrame, text_col: str = "text") -> Mixer:
     mixer = Mixer(slot_tables(grams))
     sc = training.sparkSession.sparkContext
     unpack = lambda b: [(np.frombuffer(k, _U), np.frombuffer(n, np.uint64).astype(np.float64)) for k, n in zip(b.column("keys").to_pylist(), b.column("counts").to_pylist(), strict=True)]
-    sent = sc.broadcast(mixer)  # tables of a fixed size
+    sent = sc.broadcast(vars(mixer))  # tables of a fixed size
 
     def weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for keys, n in unpack(b):
-                own = Mixer(sent.value.tables)
+                own = Mixer(sent.value["tables"])
                 seen = own.learn(keys, n, 7)
                 yield _packed({"w": pa.binary(), "seen": pa.binary()}, [((own.weights * seen[:, None]).astype(np.float64).tobytes(), seen.tobytes())])
 
@@ -287,13 +287,13 @@ def train(training: DataFrame, text_col: str = "text") -> Mixer:
         seen += np.frombuffer(row.seen)
     known = seen > 0
     mixer.weights[known] = (total[known] / seen[known, None]).astype(np.float32)
-    learnt = sc.broadcast(mixer)
+    learnt = sc.broadcast(vars(mixer))
 
     def outcomes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros((2, 256 * 33))
+        own, out = revived(Mixer, learnt.value), np.zeros((2, 256 * 33))
         for b in batches:
             for keys, n in unpack(b):
-                out += learnt.value.outcomes(keys, n)
+                out += own.outcomes(keys, n)
         yield _packed({"at": pa.int32(), "zeros": pa.float64(), "ones": pa.float64()}, [(int(k), out[0, k], out[1, k]) for k in np.flatnonzero(out.sum(0))] or [(0, 0.0, 0.0)])
 
     rows = grams.mapInArrow(outcomes, "at int, zeros double, ones double").groupBy("at").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones")).toArrow()
@@ -311,10 +311,11 @@ def train(training: DataFrame, text_col: str = "text") -> Mixer:
 
 def score(docs: DataFrame, mixer: Mixer, text_col: str = "text", keep: list[str | Column] | None = None) -> DataFrame:
     """The columns ``keep`` with n_bytes (end mark included), score (log10 probability of the text) and bits_per_byte."""
-    model = docs.sparkSession.sparkContext.broadcast(mixer)  # tables of a fixed size
+    model = docs.sparkSession.sparkContext.broadcast(vars(mixer))  # tables of a fixed size
     kept = docs.select(*(keep or ["doc_id"]), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = revived(Mixer, model.value)
         known, cost = np.zeros(0, _U), np.zeros(0)  # keys are scored once in a while
         for b in batches:
             texts, scored, sizes = b.column("_text").to_pylist(), [], []
@@ -327,7 +328,7 @@ def score(docs: DataFrame, mixer: Mixer, text_col: str = "text", keep: list[str
                     if len(new):
                         if len(known) > HELD:
                             known, cost, new = np.zeros(0, _U), np.zeros(0), used
-                        known, cost = np.concatenate([known, new]), np.concatenate([cost, model.value.bits(new)])
+                        known, cost = np.concatenate([known, new]), np.concatenate([cost, own.bits(new)])
                         order = np.argsort(known)
                         known, cost = known[order], cost[order]
                     total += np.bincount(owner, cost[np.searchsorted(known, used)][back], len(raw))

@@ -16,7 +16,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, Window
@@ -188,16 +187,21 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, id_col: str = "
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
     bases = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seq, off = np.zeros(len(b), np.int64), np.zeros(len(b), np.int64)
-            for length, at in b.groupby("length").indices.items():
+            lengths, rank = b.column("length").to_numpy(), b.column("rank").to_numpy()
+            seq, off = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
+            order = np.argsort(lengths, kind="stable")
+            for at in np.split(order, np.flatnonzero(np.diff(lengths[order])) + 1):
+                if not len(at):
+                    continue
+                length = int(lengths[at[0]])
                 slots, first, copies, offset = plan.value[length]
-                rank = b["rank"].to_numpy()[at]
-                k = np.searchsorted(slots, rank, side="right") - 1
-                q, copy = np.divmod(rank - slots[k], copies[k])
+                k = np.searchsorted(slots, rank[at], side="right") - 1
+                q, copy = np.divmod(rank[at] - slots[k], copies[k])
                 seq[at], off[at] = first[k] + q, offset[k] + copy * length
-            yield b.drop(columns="rank").assign(sequence_id=seq, offset=off)
+            kept = ["doc_id", "piece", "start", "length", "ids_crc32"]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(seq), pa.array(off)], names=[*kept, "sequence_id", "offset"])
 
     ranked = pieces.join(bases, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("base")).alias("rank"))
-    return ranked.mapInPandas(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -53,19 +53,22 @@ def l3_padding(spark, sf_dir):
     return full.groupBy("bi").agg(F.count("*").cast("int").alias("cells"), F.sum(F.col("v").isNull().cast("long")).alias("zeros"), F.round(F.sum(F.coalesce("v", F.lit(0.0))), 4).alias("total"))
 
 
-@register("l5_tensor4", f"WITH {MAT} SELECT i // 32 AS rb, j // 16 AS cb, list(v ORDER BY i % 32, j % 16) AS tile FROM mat GROUP BY ALL")
+@register("l5_tensor4", f"WITH {MAT} SELECT i // 32 AS rb, j // 16 AS cb, count(*) AS n, list(v ORDER BY i % 32, j % 16)[1] AS head, list(v ORDER BY i % 32, j % 16)[18] AS inner_, round(sum(v * (i % 32 * 16 + j % 16)), 4) AS weighed FROM mat GROUP BY ALL")
 def l5(spark, sf_dir):
     rb, cb, r, c = L.tensor4(F.col("i"), F.col("j"), COLS, 32, 16)
     m = matrix(spark, sf_dir).select(rb.alias("rb"), cb.alias("cb"), F.struct(r.alias("r"), c.alias("c"), "v").alias("x"))
-    return m.groupBy("rb", "cb").agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["v"]).alias("tile"))
+    tiles = m.groupBy("rb", "cb").agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["v"]).alias("tile"))
+    weighed = F.aggregate(F.transform("tile", lambda v, k: v * k), F.lit(0.0), lambda a, v: a + v)
+    return tiles.select("rb", "cb", F.size("tile").cast("long").alias("n"), F.get("tile", F.lit(0)).alias("head"), F.get("tile", F.lit(17)).alias("inner_"), F.round(weighed, 4).alias("weighed"))
 
 
-@register("l6_aos_soa_aosoa", "WITH p AS (SELECT p_partkey AS i, p_retailprice AS x, CAST(p_size AS DOUBLE) AS y FROM part) SELECT i // 8 AS g, list(x ORDER BY i) AS x, list(y ORDER BY i) AS y FROM p GROUP BY 1")
+@register("l6_aos_soa_aosoa", "WITH p AS (SELECT p_partkey AS i, p_retailprice AS x, CAST(p_size AS DOUBLE) AS y FROM part) SELECT i // 8 AS g, count(*) AS n, arg_min(x, i) AS x_first, arg_max(x, i) AS x_last, arg_max(y, i) AS y_last FROM p GROUP BY 1")
 def l6(spark, sf_dir):
     """Records (AoS) to groups of eight with a vector per field (AoSoA)."""
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("i"), F.struct(F.col("p_partkey").alias("i"), F.col("p_retailprice").alias("x"), F.col("p_size").cast("double").alias("y")).alias("r"))
     g = p.groupBy(L.div(F.col("i"), 8).alias("g")).agg(F.sort_array(F.collect_list("r")).alias("r"))
-    return g.select("g", F.col("r.x").alias("x"), F.col("r.y").alias("y"))
+    g = g.select("g", F.col("r.x").alias("x"), F.col("r.y").alias("y"))
+    return g.select("g", F.size("x").cast("long").alias("n"), F.get("x", F.lit(0)).alias("x_first"), F.element_at("x", -1).alias("x_last"), F.element_at("y", -1).alias("y_last"))
 
 
 @register(

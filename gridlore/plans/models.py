@@ -166,9 +166,13 @@ def relation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select(F.col("l_suppkey").alias("array"), F.month("l_shipdate").alias("nest"), (F.col("l_tax") > 0.07).alias("indirect"), (F.col("l_returnflag") == "A").alias("writes")).distinct()
 
 
-@register("g1_nests_of_arrays", f"WITH {SETS} SELECT array, list(nest ORDER BY nest) AS nests FROM r GROUP BY array")
+def _joined(df: DataFrame) -> DataFrame:
+    return df.withColumn("nests", F.concat_ws(",", F.col("nests").cast("array<string>")))
+
+
+@register("g1_nests_of_arrays", f"WITH {SETS} SELECT array, string_agg(CAST(nest AS VARCHAR), ',' ORDER BY nest) AS nests FROM r GROUP BY array")
 def g1(spark, sf_dir):
-    return G.nests_of(relation(spark, sf_dir))
+    return _joined(G.nests_of(relation(spark, sf_dir)))
 
 
 @register("g2_co_occurrence", f"WITH {SETS} SELECT a, b, shared FROM co")
@@ -176,9 +180,9 @@ def g2(spark, sf_dir):
     return G.co_occurrence(relation(spark, sf_dir))
 
 
-@register("g3_g12_equivalence_classes", f"WITH {SETS}, k AS (SELECT array, list(nest ORDER BY nest) AS nests FROM r GROUP BY array) SELECT nests, count(*) AS size, min(array) AS first FROM k GROUP BY nests")
+@register("g3_g12_equivalence_classes", f"WITH {SETS}, k AS (SELECT array, string_agg(CAST(nest AS VARCHAR), ',' ORDER BY nest) AS nests FROM r GROUP BY array) SELECT nests, count(*) AS size, min(array) AS first FROM k GROUP BY nests")
 def g3(spark, sf_dir):
-    return G.equivalence_classes(relation(spark, sf_dir))
+    return _joined(G.equivalence_classes(relation(spark, sf_dir)))
 
 
 @register("g4_jaccard", f"WITH {SETS} SELECT a, b, shared, round(shared / (x.n + y.n - shared), 9) AS j FROM co JOIN sz x ON a = x.array JOIN sz y ON b = y.array")

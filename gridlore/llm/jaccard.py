@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlore.llm.common import materialise
@@ -29,7 +29,8 @@ from gridlore.llm.words import Words, lots, mix, sequences
 FREQUENT, MOST_MATCHES, VERIFY = 1 << 18, 8, 20.0
 #: Members of a posting list that one task compares; longer lists are dealt over pairs of their parts.
 LIST = 2048
-#: Partners that a class gets from each of its n-grams before components are known.
+#: Partners that a class gets from each list before components are known, at its head and next to it each;
+#: of smaller id, twice as many in all.
 NEAREST = 4
 #: N-grams whose texts meet in one place for verification.
 CELL = 1 << 20
@@ -165,20 +166,32 @@ def _pairs(num: int, den: int, nearest: int):
             # lists with one label have nothing to say
             heads = np.flatnonzero(begins)
             labels = (np.maximum.reduceat(x["label"], heads) != np.minimum.reduceat(x["label"], heads))[np.cumsum(begins) - 1]
-            j, step, given = np.flatnonzero(labels), 0, np.zeros(len(size), np.int64)
+
+            def passing(i, j):
+                apart = sum(np.bitwise_count((x[c][i] ^ x[c][j]).view(np.uint64)).astype(np.int64) for c in ("s0", "s1"))
+                ok = (apart * (den + num) <= (size[i] + size[j]) * (den - num)) & (x["label"][i] != x["label"][j]) & (size[i] * den >= size[j] * num)
+                return ok & ((x["part"][i] != x["part"][j]) | (x["p"][i] == x["q"][i]))  # a pair within a part is met in the part's own list
+
+            def pairs(i, j):
+                a, b, need = x["a"][i], x["a"][j], np.minimum(x["matches"][i], x["matches"][j])
+                return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(need)], names=["a", "b", "need"])
+
+            every = np.flatnonzero(labels)
+            if nearest:  # the list's first rows are everyone's partners, so that one chain's break parts nothing
+                for k in range(nearest):
+                    j = every[every - begin[every] > k]
+                    ok = passing(begin[j] + k, j)
+                    yield pairs((begin[j] + k)[ok], j[ok])
+            j, step, given = every, 0, np.zeros(len(size), np.int64)
             while len(j):
                 step += 1
                 j = j[j - step >= begin[j]]
                 i = j - step
                 go = size[i] * den >= size[j] * num  # sorted by size: a row that has come to too small ones is done
                 i, j = i[go], j[go]
-                apart = sum(np.bitwise_count((x[c][i] ^ x[c][j]).view(np.uint64)).astype(np.int64) for c in ("s0", "s1"))
-                ok = (apart * (den + num) <= (size[i] + size[j]) * (den - num)) & (x["label"][i] != x["label"][j])
-                ok &= (x["part"][i] != x["part"][j]) | (x["p"][i] == x["q"][i])  # a pair within a part is met in the part's own list
-                a, b = x["a"][i[ok]], x["a"][j[ok]]
-                if len(a):
-                    need = np.minimum(x["matches"][i[ok]], x["matches"][j[ok]])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(need)], names=["a", "b", "need"])
+                ok = passing(i, j)
+                if ok.any():
+                    yield pairs(i[ok], j[ok])
                 if nearest:
                     given[j[ok]] += 1
                     j = j[given[j] < nearest]
@@ -202,7 +215,12 @@ def candidates(lists: DataFrame, sets: DataFrame, num: int, den: int, nearest: i
     dealt = lists.repartition("gram", "p", "q").sortWithinPartitions("gram", "p", "q", "size", "a")
     pairs = dealt.mapInArrow(_pairs(num, den, nearest), "a long, b long, need int")
     pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("met"), F.min("need").alias("need"))
-    pairs = (pairs if nearest else pairs.filter("met >= need")).select("a", "b")
+    if nearest:  # so many for each class at most, any of them: links grow with classes, not with pairs
+        best = F.row_number().over(Window.partitionBy("b").orderBy(F.xxhash64("a", "b"), "a"))
+        pairs = pairs.withColumn("place", best).filter(F.col("place") <= 2 * nearest)
+    else:
+        pairs = pairs.filter("met >= need")
+    pairs = pairs.select("a", "b")
     left = pairs.join(sets.select("a", F.col("size").alias("size_a"), F.col("sketch").alias("sketch_a")), "a")
     both = left.join(sets.select(F.col("a").alias("b"), F.col("size").alias("size_b"), F.col("sketch").alias("sketch_b")), "b")
     return both.select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b").mapInArrow(_sketched(num, den), "a long, b long")

@@ -27,6 +27,8 @@ from gridlore.llm.words import Words, lots, mix, sequences, spans
 
 #: Bytes of per-document lists that are sent to all executors at once; more are joined by a shuffle.
 SENT_BYTES = 128 << 20
+#: First rows of one n-gram's classes that wait for a row of the batch.
+HEADS = 1 << 16
 _KINDS = {"anchor": pa.int64(), "span": pa.int64(), "off": pa.int32(), "n": pa.int32(), "doc_id": pa.int64(), "start": pa.int64(), "gone": pa.bool_()}
 _DDL = "anchor long, span long, off int, n int, doc_id long, start long, gone boolean"
 
@@ -93,13 +95,14 @@ def _map_entries(window: int, gram: int):
 
 
 def _merge(batch: int):
-    """Walks entries sorted by (anchor, span, off, seq, doc_id, start).  Keeps one row back: the first of the
-    last class, whose fate depends on whether its n-gram has another class."""
+    """Walks entries sorted by (anchor, span, off, seq, doc_id, start).  Keeps back the first rows of the last n-gram's
+    classes while it has one class only or no row of the batch: whether they are asked is open until then.  Beyond
+    HEADS of them they are asked at once, which adds work but no result."""
     names = ("anchor", "span", "off", "seq", "doc_id", "start", "n", "gone")
     kinds = {"anchor": pa.int64(), "span": pa.int64(), "off": pa.int32(), "n": pa.int32(), "doc_id": pa.int64(), "start": pa.int64(), "gone": pa.bool_(), "ask": pa.bool_(), "seq": pa.int32()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        back, sent, mixed_before = None, False, False
+        back, sent = None, False  # sent: only the last class's first row is kept, and all before it were asked
 
         def out(x, keep):
             keep = keep & ((x["seq"] == batch) | x["ask"])
@@ -121,22 +124,27 @@ def _merge(batch: int):
             group = np.cumsum(new_anchor) - 1
             mixed = np.bincount(group, new_class) > 1
             touched = np.bincount(group, x["seq"] == batch) > 0
-            if back is not None and mixed_before:
+            if sent:
                 mixed[0] = touched[0] = True
+            asked = mixed & touched
+            last = np.flatnonzero(new_class & (group == group[-1]))
+            asked[-1] |= len(last) > HEADS
             head = np.maximum.accumulate(np.where(new_class, np.arange(rows), 0))
             same = (x["seq"] == x["seq"][head]) & (x["doc_id"] == x["doc_id"][head]) & (x["start"] == x["start"][head])
             gone = ~same
-            x["gone"], x["ask"] = gone, (mixed & touched)[group] & ~gone
+            x["gone"], x["ask"] = gone, asked[group] & ~gone
             keep = new_class | gone
-            if back is not None:
-                keep[0] = not sent
-            last, settled = int(head[-1]), bool(mixed[-1])
-            if not settled:
+            if sent:
+                keep[0] = False
+            sent = bool(asked[-1])
+            if sent:
+                last = last[-1:]
+            else:
                 keep[last] = False
             yield out(x, keep)
-            back, sent, mixed_before = {c: x[c][last : last + 1] for c in names}, settled, settled
+            back = {c: x[c][last] for c in names}
         if back is not None and not sent:
-            yield out(back | {"ask": np.zeros(1, bool)}, np.ones(1, bool))
+            yield out(back | {"ask": np.zeros(len(back["n"]), bool)}, np.ones(len(back["n"]), bool))
 
     return run
 

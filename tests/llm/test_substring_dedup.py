@@ -4,6 +4,7 @@ import re
 
 import pytest
 
+from gridlore.llm import substring_dedup as module
 from gridlore.llm.substring_dedup import SubstringIndex, remove, substring_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -53,6 +54,34 @@ def test_against_brute_force(spark, window, gram, batches):
     assert got == want and sum(v[1] for v in want.values()) > 100
 
 
+@pytest.mark.parametrize(("records", "heads"), [(2, 1 << 16), (3, 1 << 16), (2, 2)])
+def test_entries_of_one_gram_straddle_arrow_batches(records, heads, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(module, "HEADS", heads)
+    # n-gram 1: three old classes, then a new one; n-gram 2: old classes only; n-gram 3: new ones only
+    rows = [(1, s, 0, 0, s, 0, 1, False) for s in (10, 20, 30)] + [(1, 40, 0, 1, 90, 0, 1, False)]
+    rows += [(2, s, 0, 0, s, 5, 1, False) for s in (10, 20, 30)] + [(3, s, 0, 1, 90 + s, 5, 1, False) for s in (10, 20)] + [(4, 10, 0, 1, 95, 7, 1, False)]
+    names = ("anchor", "span", "off", "seq", "doc_id", "start", "n", "gone")
+    batches = [pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows[k : k + records]]) for k in range(0, len(rows), records)]
+    out = [r for b in module._merge(1)(iter(batches)) for r in b.to_pylist()]
+    got = sorted((r["anchor"], r["span"], r["ask"]) for r in out if heads > 2 or r["anchor"] != 2)
+    assert got == [(1, 10, True), (1, 20, True), (1, 30, True), (1, 40, True), (3, 10, True), (3, 20, True), (4, 10, False)]
+
+
+@pytest.mark.parametrize("records", [2, 3])
+def test_small_arrow_batches_against_brute_force(spark, records):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(records))
+    try:
+        rows = corpus(17)
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 8, 4, 2).collect()}
+    finally:
+        spark.conf.set(key, before)
+    assert got == brute(rows, 8)
+
+
 def test_many_batches_compact(spark):
     rows = corpus(9, 60)
     df = spark.createDataFrame(rows, "doc_id long, text string")

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlore.llm.common import materialise
+from gridlore.llm.common import ascii_lower, materialise
 from gridlore.llm.exact_dedup import exact_dedup
 from gridlore.llm.jaccard import SENT_IDS, near_duplicates
-from gridlore.llm.langid import UNKNOWN, identify, train
+from gridlore.llm.langid import explained, train
 from gridlore.llm.packing import pack
 from gridlore.llm.secrets import Scanner
 
@@ -18,29 +18,46 @@ UNEXPLAINED = 5.5
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The documents whose id is not in ``gone`` (doc_id); few ids are sent around, many are joined by a shuffle."""
+    """The rows that agree with no row of ``gone`` in all its columns; few are sent around, many are joined by a shuffle."""
     gone = materialise(gone.distinct(), "gone")
-    ids = gone.select(F.col("doc_id").alias("_gone"))
-    return docs.join(F.broadcast(ids) if ids.count() <= SENT_IDS else ids, docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
+    keys = gone.select(*(F.col(c).alias(f"_gone{c}") for c in gone.columns))
+    same = F.lit(True)
+    for c in gone.columns:
+        same = same & docs[c].eqNullSafe(F.col(f"_gone{c}"))
+    return docs.join(F.broadcast(keys) if gone.count() <= SENT_IDS else keys, same, "left_anti")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in a language: neither without letters nor unexplained by every learnt language."""
-    found = identify(docs, train(docs), more=True)
-    return _without(docs, found.filter((F.col("lang_pred") == UNKNOWN) | (F.col("bits_per_byte") > UNEXPLAINED)).select("doc_id"))
+    """Keeps rows in a language: neither without letters nor unexplained by every learnt language."""
+    return explained(docs, train(docs), UNEXPLAINED)
+
+
+def _halves(sha: Column) -> dict[str, Column]:
+    """120 bits of a hash as two numbers."""
+    return {f"_h{k}": F.conv(F.substring(sha, 1 + 15 * k, 15), 16, 10).cast("long") for k in range(2)}
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest id of each group of equal texts; of rows with one id and text, one."""
-    found = materialise(exact_dedup(docs, keep="smallest"), "exact")
-    kept = _without(docs, found.filter("not kept").select("doc_id"))
-    again = found.filter("kept").groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if again else kept
+    found = materialise(exact_dedup(docs, keep="smallest").select("doc_id", "kept", *(c.alias(k) for k, c in _halves(F.col("text_sha256")).items())), "exact")
+    keyed = docs.withColumns(_halves(F.sha2(ascii_lower(F.col("text")), 256)))
+    kept = _without(keyed, found.filter("not kept").select("doc_id", "_h0", "_h1"))
+    again = found.filter("kept").groupBy("doc_id", "_h0", "_h1").count().filter("count > 1").limit(1).count()
+    return (kept.dropDuplicates(["doc_id", "_h0", "_h1"]) if again else kept).drop("_h0", "_h1")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group that near-duplicate links (five words, 0.8) connect."""
-    return _without(docs, near_duplicates(docs, n=5, num=8, den=10).filter("doc_id <> component_id").select("doc_id"))
+    """Keeps the smallest id of each group that near-duplicate links (five words, 0.8) connect; rows without an id stay."""
+    if not docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        return _without(docs, near_duplicates(docs, n=5, num=8, den=10).filter("doc_id <> component_id").select("doc_id"))
+    # rows of one id with different texts are linked apart, under numbers of their own
+    rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    known = rows.filter("doc_id is not null")
+    linked = near_duplicates(known, n=5, num=8, den=10, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    linked = materialise(linked.join(known.select("_row", "doc_id", F.xxhash64("text").alias("_h")), "_row"), "linked")
+    first = linked.groupBy("component_id").agg(F.min(F.struct("doc_id", "_h", "_row")).alias("_first"))
+    gone = linked.join(first, "component_id").filter("_row <> _first._row").select("_row")
+    return _without(rows, gone).drop("_row")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

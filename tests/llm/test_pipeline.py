@@ -43,3 +43,26 @@ def test_run_and_registration(spark, tmp_path):
     assert queries.queries()["pipeline"] is corpus_pipeline.run
     assert corpus_pipeline.run(spark, str(tmp_path)).count() >= 60
     assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in queries.queries() if k.startswith("op")}
+
+
+def test_null_and_repeated_ids_lose_only_their_own_rows(spark, tmp_path):
+    r = random.Random(8)
+    text = lambda n: " ".join(r.choice("the of and thing other reading story house river stone".split()) + r.choice(["", "er", "en", "ing"]) for _ in range(n))
+    known, other, third, unique = text(60), text(60), text(60), text(60)
+    near = lambda t: " ".join(["changed" if k == 10 else w for k, w in enumerate(t.split())])
+    rows = [(k, text(60)) for k in range(20, 40)] + [(1, known), (None, known.upper()), (None, unique), (None, "12 34 !!")]
+    rows += [(2, known), (2, other), (3, third), (3, third), (3, near(other)), (4, near(third)), (4, text(60)), (5, "99 !!"), (5, text(60)), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "src", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    want = sorted([x for x in rows if x[1] and any(c.isalpha() for c in x[1])], key=str)
+    seen = []
+    for n, (_, stage) in enumerate(corpus_pipeline.STAGES[:3]):
+        stage(spark, docs, "").write.parquet(f"{tmp_path}/{n}")
+        docs = spark.read.parquet(f"{tmp_path}/{n}")
+        seen.append(sorted([(x.doc_id, x.text) for x in docs.collect()], key=str))
+    assert seen[0] == want
+    for x in [(None, known.upper()), (2, known), (3, third)]:
+        want.remove(x)
+    assert seen[1] == want
+    for x in [(3, near(other)), (4, near(third))]:
+        want.remove(x)
+    assert seen[2] == want

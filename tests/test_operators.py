@@ -243,3 +243,18 @@ def test_column_blocks_do_not_matter(spark):
     rows = [(jl, jk, 230.0 + 9 * jk + jl, 0.5, 5000.0, 0.7, 0.002, -1e-4, 2e-4, 1e-4, 0.0, 1e-5, 0.004) for jl in range(10) for jk in range(5)]
     df = spark.createDataFrame(rows, "jl long, jk int, t double, cover double, dp double, rho double, saturated double, change double, liquid double, ice double, rain double, snow double, vapour double")
     assert np.allclose(*(np.array(sorted(map(tuple, microphysics(df, block=b).collect()))) for b in (3, 256)), rtol=1e-12)
+
+
+def test_bundles_take_all_arrays(spark, tmp_path):
+    from gridlore.plans import models
+
+    # 32 suppliers in two classes of months, none of which g1's filter selects
+    rows = [(k, f"1995-{m:02d}-15", 1, 0.0, 0.0, "N") for k in range(1, 33) for m in ((1, 2, 3) if k % 2 else (7, 8, 9))]
+    df = spark.createDataFrame(rows, "l_suppkey long, day string, l_quantity int, l_discount double, l_tax double, l_returnflag string")
+    df.selectExpr("*", "cast(day as date) as l_shipdate").write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = {tuple(range(1, 33, 2)), tuple(range(2, 33, 2))}
+    for query in (models.g6, models.g7, models.g9):
+        found = {}
+        for r in query(spark, str(tmp_path)).collect():
+            found.setdefault(r["bundle"], []).append(r["array"])
+        assert {tuple(sorted(x)) for x in found.values()} == want

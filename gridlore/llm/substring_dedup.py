@@ -8,8 +8,8 @@ one n-gram, with a seventh of the entries that windows would take.
 The index is a list of immutable runs, sorted by fingerprint.  A new batch's entries are brought into the
 same order and merged with the runs.  Entries that agree in n-gram, covered words and position of the
 n-gram hold the same windows: all but the earliest go.  Where entries under one n-gram differ, their
-windows are fingerprinted anew from the texts, twice and independently, and only those that agree in both
-count as equal.  What remains of the batch is a new run; runs of like size are compacted into one.
+windows are verified from the texts: two independent 64-bit fingerprints of their words' bytes, and only those
+that agree in both count as equal.  What remains of the batch is a new run; runs of like size are compacted into one.
 """
 
 from __future__ import annotations
@@ -23,12 +23,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlore.llm.common import materialise
-from gridlore.llm.words import Words, lots, mix, sequences, spans
+from gridlore.llm.words import Words, joined, lots, mix, sequences
 
 #: Bytes of per-document lists that are sent to all executors at once; more are joined by a shuffle.
 SENT_BYTES = 128 << 20
 #: First rows of one n-gram's classes that wait for a row of the batch.
 HEADS = 1 << 16
+#: Seed of the second fingerprint of words, which shares nothing with the first but the bytes.
+OTHER = np.uint64(0x5851F42D4C957F2D)
 _KINDS = {"anchor": pa.int64(), "span": pa.int64(), "off": pa.int32(), "n": pa.int32(), "doc_id": pa.int64(), "start": pa.int64(), "gone": pa.bool_()}
 _DDL = "anchor long, span long, off int, n int, doc_id long, start long, gone boolean"
 
@@ -58,7 +60,10 @@ def entries(texts: list[bytes], window: int, gram: int) -> tuple[np.ndarray, ...
     count = np.diff(np.append(head, len(at)))
     first = at[head]
     text = owner[first]
-    return text, grams[place[head]], spans(w.hash, first, first + count + window - 1), place[head] - first, count, first - w.first[text]
+    # at most ``reach`` windows share an n-gram's place: the first and the last one cover all words between them
+    whole = sequences(w.hashed(OTHER), window)
+    span = joined(whole[first], whole[first + count - 1]) + count.astype(np.uint64)
+    return text, grams[place[head]], span, place[head] - first, count, first - w.first[text]
 
 
 def _tell_apart(cols: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
@@ -234,7 +239,7 @@ class SubstringIndex:
                 at = 0
                 for lot, raw in lots(ids, b.column("text")):
                     w = Words(raw)
-                    one, two = sequences(w.hash, window), sequences(mix(w.hash ^ np.uint64(0x5851F42D4C957F2D)), window)
+                    one, two = sequences(w.hash, window), sequences(w.hashed(OTHER), window)
                     for k, i in enumerate(lot):
                         s, n = np.array(starts[at + k], np.int64), np.array(ns[at + k], np.int64)
                         here = np.repeat(s - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 _U = np.uint64
 #: Fixed odd multipliers of the fingerprints.
 _BASE, _STEP = _U(0x9E3779B97F4A7C15), _U(0xD1342543DE82EF95)
-_BASE_BACK = _U(pow(int(_BASE), -1, 1 << 64))
+#: Bytes up to which words are hashed together; longer ones go one by one.
+LONG_WORD = 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -28,6 +31,14 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
 _BYTE = mix((np.arange(256, dtype=_U) + _U(1)) * _U(0x2545F4914F6CDD1D))
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: The lowest k bytes of a number, for k from 0 to 8.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], _U)
+
+
+def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The fingerprint of what two fingerprints stand for, one after the other.  Neither addition nor multiplication
+    carries through ``mix``, so that no arrangement of parts cancels out as it can in a polynomial."""
+    return mix(left * _BASE + right)
 
 
 class Words:
@@ -35,14 +46,12 @@ class Words:
 
     def __init__(self, texts: list[bytes]):
         sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-        self.raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+        self.raw = np.frombuffer(b"\n".join(texts) + b"\n" + bytes(8), np.uint8)
         begins = np.cumsum(sizes) - sizes
-        space = _SPACE[self.raw]
+        space = _SPACE[self.raw[:-8]]
         edge = np.flatnonzero(np.diff(space, prepend=True))
         self.start, self.end = edge[0::2], edge[1::2]
-        total = np.concatenate([np.zeros(1, _U), np.cumsum(_BYTE[self.raw] * powers(_BASE, len(self.raw)))])
-        h = (total[self.end] - total[self.start]) * powers(_BASE_BACK, len(self.raw))[self.start]
-        self.hash = mix(h + (self.end - self.start).astype(_U))
+        self.hash = self.hashed(_U(0))
         self.first = np.searchsorted(self.start, begins)  # of each text, and one more
         self.first = np.append(self.first, len(self.start))
         self.begins = begins
@@ -50,22 +59,43 @@ class Words:
     def __len__(self) -> int:
         return len(self.start)
 
+    def hashed(self, seed: np.uint64) -> np.ndarray:
+        """Each word's fingerprint; another seed gives an independent one."""
+        return stretches(self.raw, self.start, self.end, seed)
+
+
+def stretches(raw: np.ndarray, start: np.ndarray, end: np.ndarray, seed: np.uint64) -> np.ndarray:
+    """The fingerprint of each stretch of bytes start..end, eight bytes at a time; ``raw`` has eight bytes more."""
+    eight = np.ndarray(len(raw) - 7, "<u8", np.ascontiguousarray(raw), strides=(1,))
+    size = end - start
+    out = mix(size.astype(_U) + _U(int(seed) * int(_STEP) & (1 << 64) - 1))
+    here, k = np.flatnonzero(size <= LONG_WORD), 0
+    here = here[size[here] > 0]
+    while len(here):
+        part = eight[start[here] + k].astype(_U) & _LOW[np.minimum(size[here] - k, 8)]
+        out[here] = joined(out[here], mix(part ^ seed))
+        k += 8
+        here = here[size[here] > k]
+    for j in np.flatnonzero(size > LONG_WORD).tolist():
+        digest = hashlib.blake2b(raw[start[j] : end[j]].tobytes(), digest_size=8, salt=int(seed).to_bytes(8, "little")).digest()
+        out[j] = int.from_bytes(digest, "little")
+    return out
+
 
 def sequences(word_hash: np.ndarray, n: int) -> np.ndarray:
     """The fingerprint of the n words from each word on, as far as there are n."""
     count = max(0, len(word_hash) - n + 1)
     if not count:
         return np.zeros(0, _U)
-    total = np.concatenate([np.zeros(1, _U), np.cumsum(word_hash * powers(_STEP, len(word_hash)))])
-    back = powers(_U(pow(int(_STEP), -1, 1 << 64)), len(word_hash))
-    return mix((total[n:] - total[:-n]) * back[:count] + _U(n))
-
-
-def spans(word_hash: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """The fingerprint of each word sequence start..end (end excluded)."""
-    total = np.concatenate([np.zeros(1, _U), np.cumsum(word_hash * powers(_STEP, len(word_hash)))])
-    back = powers(_U(pow(int(_STEP), -1, 1 << 64)), len(word_hash))
-    return mix((total[end] - total[start]) * back[start] + (end - start).astype(_U))
+    out, done, part, size = None, 0, word_hash, 1  # part: of ``size`` words, twice as many in each round
+    while True:
+        if n & size:
+            out = part[:count] if out is None else joined(out, part[done : done + count])
+            done += size
+        if 2 * size > n:
+            return mix(out + _U(n))
+        part = joined(part[:-size], part[size:])
+        size *= 2
 
 
 def lots(ids, texts, most: int = 1 << 19):

@@ -100,3 +100,13 @@ def test_odd_tables(spark):
     got = sorted(((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
     assert got == sorted([(3, 0, 0), (4, 0, 0), (5, 0, 0), (6, 2, 0), (None, 5000, 0), (7, 5000, 0), (7, 5000, 0), (8, 5001, 5000)], key=str)
     assert substring_dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_long_words_of_cancelling_patterns_stay_apart(spark):
+    """Words that collide under any polynomial with an odd base modulo a power of two are different words."""
+    bits = [0]
+    for _ in range(10):
+        bits += [1 - x for x in bits]
+    frame = lambda pair: " ".join([f"w{k}" for k in range(12)] + ["".join(pair[b] for b in bits)] + [f"v{k}" for k in range(12)])
+    got = {r.doc_id: r.n_removed for r in substring_dedup(spark.createDataFrame([(1, frame("ab")), (2, frame("ba")), (3, frame("ab"))], "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 0, 3: 25}

@@ -6,8 +6,9 @@ that link share at least l n-grams within their first n - o + l, where o is the
 can link with, for any l: each document picks the l whose prefix promises the least work (postings read
 plus candidates verified, by estimated frequencies), and a pair needs as many shared prefix n-grams as the
 smaller l of the two.  Candidates of fitting size and parity sketches are verified on the whole sets: first
-a few nearest ones of each class, which tie groups of near copies together, then all pairs between the
-components so found.  The estimates move work only, never the result.
+a few of each class, from a few elected lists only and by a thin sketch, which tie groups of near copies
+together in a number of rows that grows with the classes; then all pairs between the components so found.
+Estimates, elections and thin sketches move work only, never the result.
 """
 
 from __future__ import annotations
@@ -29,13 +30,15 @@ from gridlore.llm.words import Words, lots, mix, sequences
 FREQUENT, MOST_MATCHES, VERIFY = 1 << 18, 8, 20.0
 #: Members of a posting list that one task compares; longer lists are dealt over pairs of their parts.
 LIST = 2048
-#: Partners that a class gets from each list before components are known, at its head and next to it each;
-#: of smaller id, twice as many in all.
-NEAREST = 4
+#: Before components are known, each class meets partners in so many of its lists, elected alike by all, and in each
+#: of them the first and so many next to it whose thin sketches differ in at most so many of 128 bits.
+FIRST, NEAREST, ALIKE = 4, 2, 28
 #: N-grams whose texts meet in one place for verification.
 CELL = 1 << 20
 #: Ids that are sent to all executors at once; more are joined by a shuffle.
 SENT_IDS = 1 << 20
+#: Columns of the parity sketch of a whole set and of the thin one.
+_SKETCHES = ("s0", "s1", "t0", "t1")
 
 
 def ngram_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
@@ -60,6 +63,14 @@ def parity_bits(s: np.ndarray, bits: int) -> np.ndarray:
     return np.bincount((mix(s) & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
 
 
+def thin_parity(s: np.ndarray) -> np.ndarray:
+    """Parity in 128 classes of 32 to 64 of a set's elements, or of all of fewer: by its size it takes one in a power
+    of two.  Near copies, however long, differ in few classes; unrelated sets do in about 45."""
+    h = mix(s ^ np.uint64(0x6A09E667F3BCC909))
+    some = s[(h & np.uint64((1 << max(0, len(s).bit_length() - 6)) - 1)) == 0]
+    return np.packbits(parity_bits(some, 128)).view("<i8")
+
+
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
@@ -106,7 +117,7 @@ def prefixes(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col:
                 for i, s in zip(ids, ngram_sets(raw, n), strict=True):
                     size = len(s)
                     if not size:
-                        rows.append((i, 0, b"", 0, 0, b"", 0, b""))
+                        rows.append((i, 0, b"", 0, 0, 0, 0, b"", 0, b""))
                         continue
                     df = np.ones(size, np.int64)
                     if len(grams):
@@ -121,12 +132,12 @@ def prefixes(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col:
                     bits = parity_bits(s, max(128, 1 << (size - 1).bit_length()))
                     parity = np.packbits(np.bitwise_xor.reduce(bits.reshape(-1, 128), 0)).view("<i8")
                     prefix = s[order[: size - overlap + m]]
-                    rows.append((i, size, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), int(parity[0]), int(parity[1]), np.packbits(bits).tobytes(), m, prefix.tobytes()))
+                    rows.append((i, size, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), *parity.tolist(), *thin_parity(s).tolist(), np.packbits(bits).tobytes(), m, prefix.tobytes()))
                 if rows:
-                    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "size", "digest", "s0", "s1", "sketch", "matches", "prefix"])
+                    kinds = [pa.int64(), pa.int32(), pa.binary(), *[pa.int64()] * 4, pa.binary(), pa.int32(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "size", "digest", *_SKETCHES, "sketch", "matches", "prefix"])
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, size int, digest binary, s0 long, s1 long, sketch binary, matches int, prefix binary")
+    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, size int, digest binary, s0 long, s1 long, t0 long, t1 long, sketch binary, matches int, prefix binary")
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,29 +147,32 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(prefix), np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), sizes))], names=["gram", "a"])
 
 
-def _pairs(num: int, den: int, nearest: int):
-    """Candidate pairs of each list (gram, p, q), whose rows come sorted by list and size: all pairs of different
-    labels, or the first ``nearest`` that each row meets going down in size."""
+_NAMES = ("gram", "p", "q", "part", "a", "size", "matches", *_SKETCHES, "label")
 
-    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-        """Whole lists, several at a time."""
-        names = ("gram", "p", "q", "part", "a", "size", "matches", "s0", "s1", "label")
-        held: dict[str, np.ndarray] | None = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            new = {c: b.column(c).to_numpy() for c in names}
-            held = new if held is None else {c: np.concatenate([held[c], new[c]]) for c in names}
-            last = (held["gram"] == held["gram"][-1]) & (held["p"] == held["p"][-1]) & (held["q"] == held["q"][-1])
-            if not last.all():
-                cut = len(last) - int(last[::-1].argmin())
-                yield {c: v[:cut] for c, v in held.items()}
-                held = {c: v[cut:] for c, v in held.items()}
-        if held is not None:
-            yield held
+
+def _whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """Whole lists (gram, p, q), several at a time, of rows that come sorted by list."""
+    held: dict[str, np.ndarray] | None = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        new = {c: b.column(c).to_numpy() for c in _NAMES}
+        held = new if held is None else {c: np.concatenate([held[c], new[c]]) for c in _NAMES}
+        last = (held["gram"] == held["gram"][-1]) & (held["p"] == held["p"][-1]) & (held["q"] == held["q"][-1])
+        if not last.all():
+            cut = len(last) - int(last[::-1].argmin())
+            yield {c: v[:cut] for c, v in held.items()}
+            held = {c: v[cut:] for c, v in held.items()}
+    if held is not None:
+        yield held
+
+
+def _pairs(num: int, den: int, ties: bool):
+    """Candidate pairs of each list (gram, p, q), whose rows come sorted by list and size: all pairs of different
+    labels, or with ``ties`` each row with the list's first and the NEAREST like ones that it meets going down in size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in lists(batches):
+        for x in _whole_lists(batches):
             size = x["size"].astype(np.int64)
             begins = np.ones(len(size), bool)
             begins[1:] = (x["gram"][1:] != x["gram"][:-1]) | (x["p"][1:] != x["p"][:-1]) | (x["q"][1:] != x["q"][:-1])
@@ -167,22 +181,25 @@ def _pairs(num: int, den: int, nearest: int):
             heads = np.flatnonzero(begins)
             labels = (np.maximum.reduceat(x["label"], heads) != np.minimum.reduceat(x["label"], heads))[np.cumsum(begins) - 1]
 
+            def differ(i, j, sketch):
+                return sum(np.bitwise_count((x[c][i] ^ x[c][j]).view(np.uint64)).astype(np.int64) for c in sketch)
+
             def passing(i, j):
-                apart = sum(np.bitwise_count((x[c][i] ^ x[c][j]).view(np.uint64)).astype(np.int64) for c in ("s0", "s1"))
+                apart = differ(i, j, ("s0", "s1"))
                 ok = (apart * (den + num) <= (size[i] + size[j]) * (den - num)) & (x["label"][i] != x["label"][j]) & (size[i] * den >= size[j] * num)
+                if ties:
+                    ok &= differ(i, j, ("t0", "t1")) <= ALIKE
                 return ok & ((x["part"][i] != x["part"][j]) | (x["p"][i] == x["q"][i]))  # a pair within a part is met in the part's own list
 
             def pairs(i, j):
                 a, b, need = x["a"][i], x["a"][j], np.minimum(x["matches"][i], x["matches"][j])
                 return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(need)], names=["a", "b", "need"])
 
-            every = np.flatnonzero(labels)
-            if nearest:  # the list's first rows are everyone's partners, so that one chain's break parts nothing
-                for k in range(nearest):
-                    j = every[every - begin[every] > k]
-                    ok = passing(begin[j] + k, j)
-                    yield pairs((begin[j] + k)[ok], j[ok])
-            j, step, given = every, 0, np.zeros(len(size), np.int64)
+            j, step, given = np.flatnonzero(labels), 0, np.zeros(len(size), np.int64)
+            if ties:  # so that one chain's break parts nothing; rows next to the first one meet it below
+                far = j[j - begin[j] > NEAREST]
+                far = far[passing(begin[far], far)]
+                yield pairs(begin[far], far)
             while len(j):
                 step += 1
                 j = j[j - step >= begin[j]]
@@ -192,35 +209,37 @@ def _pairs(num: int, den: int, nearest: int):
                 ok = passing(i, j)
                 if ok.any():
                     yield pairs(i[ok], j[ok])
-                if nearest:
+                if ties:
                     given[j[ok]] += 1
-                    j = j[given[j] < nearest]
+                    j = j[given[j] < NEAREST]
 
     return run
 
 
 def posting_lists(sets: DataFrame) -> DataFrame:
-    """Rows (gram, p, q, part, a, size, matches, s0, s1) of all prefix n-grams that several classes share."""
+    """Rows (gram, parts, part, a, first, size, matches, sketches) of all prefix n-grams that several classes share.
+    A class lies in unrelated parts of different lists."""
     postings = sets.select("a", "prefix").mapInArrow(_postings, "gram long, a long")
     lengths = postings.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1")
-    parts = F.ceil(F.col("n") / F.lit(LIST)).cast("int")
-    shared = postings.join(lengths, "gram").withColumn("parts", parts).join(sets.select("a", "size", "matches", "s0", "s1"), "a")
-    shared = shared.withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return shared.select("gram", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "a", "size", "matches", "s0", "s1")
-
-
-def candidates(lists: DataFrame, sets: DataFrame, num: int, den: int, nearest: int = 0) -> DataFrame:
-    """(a, b) of classes with different labels that share enough prefix n-grams; with ``nearest`` only that many
-    for each class and n-gram, and no count is asked for."""
-    dealt = lists.repartition("gram", "p", "q").sortWithinPartitions("gram", "p", "q", "size", "a")
-    pairs = dealt.mapInArrow(_pairs(num, den, nearest), "a long, b long, need int")
-    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("met"), F.min("need").alias("need"))
-    if nearest:  # so many for each class at most, any of them: links grow with classes, not with pairs
-        best = F.row_number().over(Window.partitionBy("b").orderBy(F.xxhash64("a", "b"), "a"))
-        pairs = pairs.withColumn("place", best).filter(F.col("place") <= 2 * nearest)
+    shared = postings.join(lengths, "gram").withColumn("parts", F.ceil(F.col("n") / F.lit(LIST)).cast("int"))
+    part = F.pmod(F.xxhash64("a", "gram"), F.col("parts")).cast("int").alias("part")
+    shared = shared.join(sets.select("a", "size", "matches", *_SKETCHES), "a")
+    elected = F.row_number().over(Window.partitionBy("a").orderBy(F.col("parts") > 1, F.xxhash64("gram"), "gram"))
+    return shared.withColumn("first", elected <= FIRST).select("gram", "parts", part, "a", "first", "size", "matches", *_SKETCHES)
+
+
+def candidates(lists: DataFrame, sets: DataFrame, num: int, den: int, ties: bool) -> DataFrame:
+    """(a, b) of classes with different labels that share enough prefix n-grams; with ``ties`` a few for each class,
+    and no count is asked for."""
+    if ties:
+        dealt = lists.withColumns({"p": F.col("part"), "q": F.col("part")})
     else:
-        pairs = pairs.filter("met >= need")
-    pairs = pairs.select("a", "b")
+        each = lists.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        dealt = each.withColumns({"p": F.least("part", "other"), "q": F.greatest("part", "other")})
+    dealt = dealt.select(*_NAMES).repartition("gram", "p", "q").sortWithinPartitions("gram", "p", "q", "size", "a")
+    pairs = dealt.mapInArrow(_pairs(num, den, ties), "a long, b long, need int")
+    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("met"), F.min("need").alias("need"))
+    pairs = (pairs if ties else pairs.filter("met >= need")).select("a", "b")
     left = pairs.join(sets.select("a", F.col("size").alias("size_a"), F.col("sketch").alias("sketch_a")), "a")
     both = left.join(sets.select(F.col("a").alias("b"), F.col("size").alias("size_b"), F.col("sketch").alias("sketch_b")), "b")
     return both.select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b").mapInArrow(_sketched(num, den), "a long, b long")
@@ -246,7 +265,7 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, n: int, num: in
     """The pairs whose whole sets link.
 
     Texts travel once: all that candidates connect meets in one place and is compared there.  What weighs
-    more than CELL n-grams is dealt in parts, and every two parts of it meet somewhere.
+    more than CELL n-grams is dealt in parts, and two parts meet where a pair asks for it.
     """
     whole = components(pairs)
     weighed = materialise(whole.join(sets.select(F.col("a").alias("node"), "size"), "node"), "candidate-sizes")
@@ -259,13 +278,13 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, n: int, num: in
     def cell(p, q):
         return F.when(F.col("parts") > 1, F.xxhash64("component", p, q)).otherwise(F.pmod(F.xxhash64("component"), buckets)).alias("cell")
 
-    at = node.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    at = materialise(at.select(F.col("node").alias("doc_id"), cell(F.least("part", "other"), F.greatest("part", "other"))).distinct(), "candidate-cells")
-    asked = F.broadcast(at) if at.count() <= SENT_IDS else at
-    texts = _texts(docs, id_col, text_col).join(asked, "doc_id").select("cell", "doc_id", "text")
     ends = pairs.join(node.select(F.col("node").alias("a"), "component", "parts", F.col("part").alias("part_a")), "a")
     ends = ends.join(node.select(F.col("node").alias("b"), F.col("part").alias("part_b")), "b")
-    ends = ends.select(cell(F.least("part_a", "part_b"), F.greatest("part_a", "part_b")), "a", "b")
+    ends = materialise(ends.select(cell(F.least("part_a", "part_b"), F.greatest("part_a", "part_b")), "a", "b"), "candidate-ends")
+    at = ends.select(F.col("a").alias("doc_id"), "cell").unionByName(ends.select(F.col("b").alias("doc_id"), "cell"))
+    at = materialise(at.distinct(), "candidate-cells")
+    asked = F.broadcast(at) if at.count() <= SENT_IDS else at
+    texts = _texts(docs, id_col, text_col).join(asked, "doc_id").select("cell", "doc_id", "text")
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         held: dict[int, np.ndarray] = {}
@@ -297,16 +316,20 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id
     usable = rows.filter("size > 0 and doc_id is not null")
     classes = materialise(usable.groupBy("digest").agg(F.min("doc_id").alias("class_id")), "classes")
     sets = usable.join(classes.select("digest", F.col("class_id").alias("doc_id")), ["digest", "doc_id"], "left_semi").dropDuplicates(["doc_id"])
-    sets = materialise(sets.select(F.col("doc_id").alias("a"), "size", "matches", "s0", "s1", "sketch", "prefix"), "sets")
+    sets = materialise(sets.select(F.col("doc_id").alias("a"), "size", "matches", *_SKETCHES, "sketch", "prefix"), "sets")
     lists = materialise(posting_lists(sets), "lists")
-    # a group of near copies is tied together by a few links each; all other pairs are needed between components only
-    pairs = materialise(candidates(lists.withColumn("label", F.col("a")), sets, num, den, NEAREST), "near-candidates")
-    links = materialise(verified(pairs, sets, docs, n, num, den, id_col, text_col), "links")
-    label = F.coalesce("component", "a").alias("label")
-    apart = lists.join(components(links).withColumnRenamed("node", "a"), "a", "left").select(*lists.columns, label)
-    pairs = materialise(candidates(apart, sets, num, den).join(pairs, ["a", "b"], "left_anti"), "far-candidates")
-    more = materialise(verified(pairs, sets, docs, n, num, den, id_col, text_col), "links")
-    found = components(links.unionByName(more))
+    # a group of near copies is tied together by a few links each, in elected lists and, where that left like classes
+    # apart, in all; other pairs are needed between components only
+    links, met = None, None
+    for ties, among in ((True, lists.filter("first")), (True, lists), (False, lists)):
+        label = F.col("a").alias("label") if links is None else F.coalesce("component", "a").alias("label")
+        if links is not None:
+            among = among.join(components(links).withColumnRenamed("node", "a"), "a", "left")
+        pairs = candidates(among.select(*lists.columns, label), sets, num, den, ties)
+        pairs = materialise(pairs if met is None else pairs.join(met, ["a", "b"], "left_anti"), "candidates")
+        found = materialise(verified(pairs, sets, docs, n, num, den, id_col, text_col), "links")
+        links, met = (found, pairs) if links is None else (links.unionByName(found), met.unionByName(pairs))
+    found = components(links)
     named = classes.join(found.withColumnRenamed("node", "class_id"), "class_id", "left").select("digest", "class_id", F.coalesce("component", "class_id").alias("component_id"))
     out = rows.select("doc_id", "size", "digest").join(named, "digest", "left")
     own = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long"))

@@ -65,6 +65,40 @@ def test_odd_tables(spark):
     assert near_duplicates(df.limit(0)).collect() == []
 
 
+def thue_morse(k):
+    out = [0]
+    for _ in range(k):
+        out += [1 - x for x in out]
+    return out
+
+
+def test_long_words_of_cancelling_patterns_stay_apart(spark):
+    """Words of 64 to 1,024 letters that collide under any polynomial with an odd base modulo a power of two."""
+    rows = []
+    for k in (6, 8, 10):
+        for pair in ("ab", "ba"):
+            words = [f"w{x}" for x in range(12)] + ["".join(pair[b] for b in thue_morse(k))] + [f"v{x}" for x in range(12)]
+            rows.append((len(rows), " ".join(words)))
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect()}
+    assert got == {i: i for i, _ in rows}
+
+
+def test_large_group_of_near_copies_is_tied(spark, monkeypatch):
+    """One group far beyond a list's part: the same components as by brute force."""
+    monkeypatch.setattr(m, "LIST", 16)
+    monkeypatch.setattr(m, "CELL", 2000)
+    r = random.Random(3)
+    base = [f"b{k}" for k in range(100)]
+    rows = []
+    for i in range(150):
+        w = base[:]
+        for _ in range(r.randint(0, 2)):
+            w[r.randrange(100)] = f"e{r.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(df, 3, 90, 100).collect()} == brute(rows, 3, 90, 100)
+
+
 def test_chain_components(spark):
     n = 300
     order = list(range(n))

@@ -3,15 +3,16 @@
 The lengths' histogram (at most one bin per length up to the capacity, however many documents there are)
 is all that the driver sees.  A configuration is a multiset of lengths that fits one sequence.  The
 configuration linear program is solved by multiplicative weights: lengths whose demand lags are priced up,
-a knapsack dynamic program finds the best configuration at these prices, and part of what it can cover is
-taken.  Rounding takes whole multiples only; what is left over goes by best fit, longest first.  Every piece
-then finds its place from its rank among the pieces of its length.
+a knapsack dynamic program finds the best configuration at these prices, and whole multiples of it are taken
+until it runs out of one of its lengths, so that there are hardly more rounds than lengths.  What cannot fill a
+sequence any more goes by best fit, longest first, over groups of equal sequences.  Every piece then finds its
+place from its rank among the pieces of its length.
 """
 
 from __future__ import annotations
 
-import bisect
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,8 +25,12 @@ from pyspark.sql import functions as F
 from gridlore.llm.bpe import byte_letters
 from gridlore.llm.common import materialise, process_cache
 
-#: Rounds of multiplicative weights, the share of a configuration's reach taken in a round, and the weights' rate.
-ROUNDS, SHARE, RATE = 1200, 0.4, 4.0
+#: Rounds of multiplicative weights at most, the weights' rate, what the longest piece is worth more by token than the
+#: shortest, and the part of a sequence that a configuration may leave empty.
+ROUNDS, RATE, LONG, SLACK = 3000, 0.1, 0.2, 32
+
+#: Long runs of white space, as the vocabulary's splitter has it.
+_WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
 
 
 def byte_encoding(path: str) -> tiktoken.Encoding:
@@ -46,6 +51,19 @@ def byte_encoding(path: str) -> tiktoken.Encoding:
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.string()), ("rank", pa.int64())])
 
 
+def encode(enc: tiktoken.Encoding, text: str) -> np.ndarray:
+    """The ids of a whole text.  Its pattern goes back over a run of white space, whose depth is bounded: a long run's
+    characters but the last, which belongs to what follows, are one piece and are merged by themselves."""
+    out, at = [], 0
+    for run in _WHITE.finditer(text):
+        end = run.end() - (run.end() < len(text) and not text.startswith(tuple(enc.special_tokens_set), run.end()))
+        out.append(enc.encode_to_numpy(text[at : run.start()], allowed_special="all"))
+        out.append(np.array(enc._encode_single_piece(text[run.start() : end]), np.uint32))
+        at = end
+    out.append(enc.encode_to_numpy(text[at:], allowed_special="all"))
+    return np.concatenate(out) if len(out) > 1 else out[0]
+
+
 def cut(docs: DataFrame, vocabulary: str, capacity: int, id_col: str, text_col: str) -> DataFrame:
     """One row per piece, with its rank among the pieces of its length in its partition."""
 
@@ -56,7 +74,7 @@ def cut(docs: DataFrame, vocabulary: str, capacity: int, id_col: str, text_col:
         for b in batches:
             rows = []
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = np.append(enc.encode_to_numpy(text, allowed_special="all").astype("<u4"), np.uint32(0))
+                ids = np.append(encode(enc, text).astype("<u4"), np.uint32(0))
                 at, piece = 0, 0
                 while at < len(ids):
                     n = (len(ids) - at - 1) % capacity + 1
@@ -92,7 +110,10 @@ def best_configuration(price: np.ndarray, capacity: int) -> list[int]:
 
 
 def solve(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> list[tuple[list[int], int]]:
-    """(lengths of a sequence, how many such sequences) that place every piece of the histogram once."""
+    """(lengths of a sequence, how many such sequences) that place every piece of the histogram once.
+
+    The work depends on the number of different lengths and of rounds, not on the number of pieces.
+    """
     want = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         if not 1 <= length <= capacity:
@@ -103,54 +124,62 @@ def solve(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> lis
         plan.append(([capacity], int(want[capacity])))
         want[capacity] = 0
     size = np.arange(capacity + 1)
+    value = size * (1 + LONG * size / capacity)
     left, need = want.copy(), np.maximum(want, 1)
     for _ in range(rounds):
-        if not left.any():
-            break
-        weight = np.exp(RATE * (left / need - left.sum() / want.sum()))  # lagging lengths weigh more
-        lengths = best_configuration(np.where(left > 0, size * weight, 0.0), capacity)
-        take = np.zeros(capacity + 1, np.int64)
-        for x in lengths:
-            if take[x] < left[x]:
-                take[x] += 1
+        weight = np.exp(RATE * (left / need - left.sum() / max(1, want.sum())))  # lagging lengths weigh more
+        plenty = left * size > capacity - size  # what is rarer than that fills up below
+        take = np.bincount(best_configuration(np.where(plenty, value * weight, 0.0), capacity), minlength=capacity + 1)
         room = capacity - int((take * size).sum())
-        while room > 0:  # what the demand refused is filled with the longest that fits
+        while room > 0:
             fits = np.flatnonzero(left[: room + 1] > take[: room + 1])
             if not len(fits):
                 break
             take[fits[-1]] += 1
             room -= int(fits[-1])
+        if room > capacity // SLACK:
+            break  # too little is left to fill a sequence with
         used = np.flatnonzero(take)
-        reach = int((left[used] // take[used]).min())
-        times = max(1, int(SHARE * reach))
+        times = int((left[used] // take[used]).min())
         plan.append(([int(x) for x in np.repeat(used, take[used])], times))
         left -= take * times
-    # best fit, longest first, over counts: rooms[r] holds the open sequences with r tokens of room
-    opened: list[list[int]] = []
-    rooms: dict[int, list[int]] = {}
-    order: list[int] = []
+    return plan + best_fit(left, capacity)
+
+
+def best_fit(left: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
+    """Best fit, longest first, of ``left[length]`` pieces each, over groups of sequences with the same content: a
+    length changes groups as wholes and parts one of them at most, however many pieces there are."""
+    groups: dict[int, list[tuple[list[int], int]]] = {}  # by room left
+    closed: list[tuple[list[int], int]] = []
+
+    def put(room: int, content: list[int], n: int) -> None:
+        if n and room:
+            groups.setdefault(room, []).append((content, n))
+        elif n:
+            closed.append((content, n))
+
     for length in np.flatnonzero(left)[::-1].tolist():
-        for _ in range(int(left[length])):
-            k = bisect.bisect_left(order, length)
-            if k < len(order):
-                r = order[k]
-                s = rooms[r].pop()
-                if not rooms[r]:
-                    del rooms[r]
-                    order.pop(k)
-            else:
-                s, r = len(opened), capacity
-                opened.append([])
-            opened[s].append(length)
-            if r > length:
-                if r - length not in rooms:
-                    rooms[r - length] = []
-                    bisect.insort(order, r - length)
-                rooms[r - length].append(s)
-    same: dict[tuple, int] = {}
-    for s in opened:
-        same[tuple(s)] = same.get(tuple(s), 0) + 1
-    return plan + [(list(s), n) for s, n in same.items()]
+        n = int(left[length])
+        for room in sorted(r for r in groups if r >= length):
+            copies, open_ = room // length, groups.pop(room)
+            while open_ and n:
+                content, m = open_.pop()
+                whole = min(m, n // copies)
+                put(room - copies * length, content + [length] * copies, whole)
+                n, m = n - whole * copies, m - whole
+                if m and n:  # fewer than a sequence takes
+                    put(room - n * length, content + [length] * n, 1)
+                    n, m = 0, m - 1
+                if m:
+                    open_.append((content, m))
+            for content, m in open_:
+                put(room, content, m)
+            if not n:
+                break
+        copies = capacity // length
+        put(capacity - copies * length, [length] * copies, n // copies)
+        put(capacity - n % copies * length, [length] * (n % copies), 1 if n % copies else 0)
+    return closed + [g for room in groups.values() for g in room]
 
 
 def places(plan: list[tuple[list[int], int]]) -> dict[int, tuple[np.ndarray, ...]]:
@@ -176,7 +205,8 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, id_col: str = "
 
     Only longer documents are cut, the remainder first.  Returns per piece: doc_id, piece (from 0), start
     (ids of its document before it), length, ids_crc32, sequence_id, offset (gapless from 0 in a sequence).
-    Null and empty texts are one piece of the single id 0.  Repeated rows and null ids are documents of
+    Null and empty texts are one piece of the single id 0; texts are taken whole, however long they or their
+    runs of white space are.  Pieces of equal length may change places in ties.  Repeated rows and null ids are documents of
     their own; an empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession

@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from gridlore.llm.packing import best_configuration, byte_encoding, pack, solve
+from gridlore.llm.packing import best_configuration, best_fit, byte_encoding, encode, pack, solve
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LIBRARY = Tokenizer.from_file(PATH)
@@ -18,6 +18,47 @@ def test_same_ids_as_library():
         assert byte_encoding(PATH).encode(t, allowed_special="all") == LIBRARY.encode(t, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("white", [" ", "\n", "\t\n", "\u3000", " \xa0"])
+def test_long_white_runs_are_the_librarys(white):
+    run = white * 10_000
+    for t in [run, "a" + run, run + "b", "a b" + run + "c  d" + run, run + "<|endoftext|>" + run + "x", "<|endoftext|>" + run + "<|endoftext|>", run + "\x1c" + run]:
+        assert encode(byte_encoding(PATH), t).tolist() == LIBRARY.encode(t, add_special_tokens=False).ids
+
+
+def test_very_long_texts(spark):
+    texts = [" " * 1_200_000, "\n" * 1_200_000 + "end", "x" * 300_000, "word " * 200_000]
+    got = pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PATH).groupBy("doc_id").sum("length").collect()
+    assert dict(got) == {i: len(LIBRARY.encode(t, add_special_tokens=False).ids) + 1 for i, t in enumerate(texts)}
+
+
+def one_by_one(lengths, capacity):
+    rooms = []
+    for x in sorted(lengths, reverse=True):
+        fits = [k for k, r in enumerate(rooms) if r >= x]
+        if fits:
+            rooms[min(fits, key=lambda k: rooms[k])] -= x
+        else:
+            rooms.append(capacity - x)
+    return sorted(rooms)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_best_fit_of_groups_is_best_fit_of_pieces(seed):
+    rng = np.random.default_rng(seed)
+    left = np.zeros(101, np.int64)
+    left[rng.integers(1, 101, 25)] = rng.integers(1, 40, 25)
+    got = [100 - sum(s) for s, n in best_fit(left, 100) for _ in range(n)]
+    assert sorted(got) == one_by_one(np.repeat(np.arange(101), left).tolist(), 100)
+
+
+def test_driver_work_does_not_grow_with_pieces():
+    rng = np.random.default_rng(1)
+    lengths = np.minimum(512, rng.lognormal(4.5, 1, 3000).astype(int) + 1)
+    once = dict(zip(*map(np.ndarray.tolist, np.unique(lengths, return_counts=True)), strict=True))
+    plans = [solve({x: n * k for x, n in once.items()}, 512) for k in (1, 10**6)]
+    assert len(plans[1]) < 4 * len(plans[0]) and sum(n for _, n in plans[1]) <= math.ceil(lengths.sum() * 10**6 / 512 * 1.001)
+
+
 def test_knapsack_against_brute_force():
     price = np.array([0, 1, 5, 8, 9, 10, 17, 17, 20.0])
     assert sum(price[x] for x in best_configuration(price, 8)) == 22  # 5 + 17

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlore.llm.common import process_cache
+from gridlore.llm.common import process_cache, tidy
 
 END = "\0"  # stands for the end-of-word mark; no mapped byte is a NUL
 #: The rank of a pair that is no merge; symbols beyond which a word is merged by a heap.
@@ -251,4 +251,4 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     ddl = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>, decoded string" * keep_text
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, ddl)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(tidy(run), ddl)

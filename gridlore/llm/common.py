@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
+import functools
+import re
+import shutil
 import sys
 import tempfile
+import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,13 +20,16 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset (tests), a local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir; in one local process (tests) any will do."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     store = process_cache("shared_dir")
     if "dir" not in store:
         store["dir"] = tempfile.mkdtemp(prefix="gridlore-")
+        atexit.register(shutil.rmtree, store["dir"], ignore_errors=True)
     return f"file://{store['dir']}"
 
 
@@ -47,9 +55,51 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     with small_batches(spark):
         df.write.option("compression", "zstd").parquet(path)
+    process_cache("steps").setdefault(threading.get_ident(), []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clears_steps(operator: Callable) -> Callable:
+    """``operator``, after which the steps written meanwhile are deleted but for those that its result still reads."""
+
+    @functools.wraps(operator)
+    def outer(*args, **named):
+        steps = process_cache("steps").setdefault(threading.get_ident(), [])
+        before = len(steps)
+        out = operator(*args, **named)
+        spark = SparkSession.getActiveSession()
+        if spark is None:
+            return out
+        read = {f.rsplit("/", 2)[-2] for f in out.inputFiles()} if isinstance(out, DataFrame) else set()
+        for path in [p for p in steps[before:] if p.rsplit("/", 1)[-1] not in read]:
+            steps.remove(path)
+            there = spark._jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+        return out
+
+    return outer
+
+
+def tidy(run: Callable) -> Callable:
+    """``run`` over a partition's batches; what it freed goes back to the system then, as the process lives on."""
+
+    def outer(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+            import gc
+
+            import pyarrow
+
+            gc.collect()
+            pyarrow.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # another C library keeps what it likes
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return outer
+
+
 def revived(kind: type, state: dict):
     """An object of ``kind`` from its broadcast state: broadcasts carry data only, code comes with the function."""
     out = kind.__new__(kind)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlore.llm.common import materialise
+from gridlore.llm.common import clears_steps, materialise
 
 
+@clears_steps
 def components(links: DataFrame) -> DataFrame:
     """node, component (the smallest node that links reach) for every node of ``links`` (a, b).
 

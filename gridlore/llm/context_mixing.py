@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridlore.llm.common import materialise, revived
+from gridlore.llm.common import clears_steps, materialise, revived, tidy
 from gridlore.llm.words import lots, mix
 
 ORDERS, END = 5, b"\xff"
@@ -117,8 +117,8 @@ def gram_counts(training: DataFrame, text_col: str) -> DataFrame:
             yield _packed(_GRAMS, list(out()))
 
     ddl = "bucket long, keys binary, counts binary"
-    dealt = training.select(F.coalesce(F.col(text_col), F.lit(""))).mapInArrow(count, ddl)
-    return materialise(dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add, ddl), "grams")
+    dealt = training.select(F.coalesce(F.col(text_col), F.lit(""))).mapInArrow(tidy(count), ddl)
+    return materialise(dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(add), ddl), "grams")
 
 
 def slots(keys: np.ndarray, order: int, bit: int) -> np.ndarray:
@@ -175,9 +175,9 @@ def slot_tables(grams: DataFrame) -> list[np.ndarray]:
         if piece is not None:
             yield _packed(out, [(piece, encoded(zeros, ones).tobytes())])
 
-    dealt = grams.mapInArrow(spread, "piece long, slots binary, zeros binary, ones binary").repartition("piece").sortWithinPartitions("piece")
+    dealt = grams.mapInArrow(tidy(spread), "piece long, slots binary, zeros binary, ones binary").repartition("piece").sortWithinPartitions("piece")
     tables = [np.zeros(1 << SLOT_BITS, np.int16) for _ in range(ORDERS)]
-    for p, raw in zip(*(c.to_pylist() for c in dealt.mapInArrow(gather, "piece long, table binary").toArrow().columns), strict=True):
+    for p, raw in zip(*(c.to_pylist() for c in dealt.mapInArrow(tidy(gather), "piece long, table binary").toArrow().columns), strict=True):
         order, k = divmod(p, pieces)
         tables[order][k << PIECE_BITS : (k + 1) << PIECE_BITS] = np.frombuffer(raw, np.int16)
     return tables
@@ -266,6 +266,7 @@ class Mixer:
         return cost / np.log(2)
 
 
+@clears_steps
 def train(training: DataFrame, text_col: str = "text") -> Mixer:
     """Counts, weights and map from all rows of ``training``."""
     grams = gram_counts(training, text_col)
@@ -282,7 +283,7 @@ def train(training: DataFrame, text_col: str = "text") -> Mixer:
                 yield _packed({"w": pa.binary(), "seen": pa.binary()}, [((own.weights * seen[:, None]).astype(np.float64).tobytes(), seen.tobytes())])
 
     total, seen = np.zeros((_GATES, ORDERS + 1)), np.zeros(_GATES)
-    for row in grams.mapInArrow(weights, "w binary, seen binary").toLocalIterator():  # a few kB from each packed row
+    for row in grams.mapInArrow(tidy(weights), "w binary, seen binary").toLocalIterator():  # a few kB from each packed row
         total += np.frombuffer(row.w).reshape(total.shape)
         seen += np.frombuffer(row.seen)
     known = seen > 0
@@ -296,7 +297,7 @@ def train(training: DataFrame, text_col: str = "text") -> Mixer:
                 out += own.outcomes(keys, n)
         yield _packed({"at": pa.int32(), "zeros": pa.float64(), "ones": pa.float64()}, [(int(k), out[0, k], out[1, k]) for k in np.flatnonzero(out.sum(0))] or [(0, 0.0, 0.0)])
 
-    rows = grams.mapInArrow(outcomes, "at int, zeros double, ones double").groupBy("at").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones")).toArrow()
+    rows = grams.mapInArrow(tidy(outcomes), "at int, zeros double, ones double").groupBy("at").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones")).toArrow()
     at, zeros, ones = (c.to_numpy() for c in rows.columns)
     start = np.tile(np.arange(-8, 8.5, 0.5), 256)[at]
     share = 1 / (1 + np.exp(-start))
@@ -339,7 +340,7 @@ def score(docs: DataFrame, mixer: Mixer, text_col: str = "text", keep: list[str
             yield pa.RecordBatch.from_arrays([*left, pa.array(sizes, pa.int64()), pa.array(-bits * np.log10(2)), pa.array(bits / np.maximum(sizes, 1))], names=[*(c for c in b.schema.names if c != "_text"), "n_bytes", "score", "bits_per_byte"])
 
     ddl = ", ".join(f"`{c}` {t}" for c, t in kept.dtypes if c != "_text")
-    return kept.mapInArrow(run, f"{ddl}, n_bytes long, score double, bits_per_byte double")
+    return kept.mapInArrow(tidy(run), f"{ddl}, n_bytes long, score double, bits_per_byte double")
 
 
 def word_scores(rows: DataFrame) -> DataFrame:
@@ -387,7 +388,7 @@ def word_scores(rows: DataFrame) -> DataFrame:
         if keys:
             yield from out()
 
-    found = materialise(rows.mapInArrow(numbered, "lot string, number int, word binary, n long, keys binary, sizes binary, numbers binary"), "words")
+    found = materialise(rows.mapInArrow(tidy(numbered), "lot string, number int, word binary, n long, keys binary, sizes binary, numbers binary"), "words")
     words = found.filter("word is not null").select("lot", "number", "word", "n")
     # a word stands once in a lot, so that its rows are as many as lots
     counted = materialise(words.select("lot", "number", F.sum("n").over(Window.partitionBy("word")).alias("c"), (F.row_number().over(Window.partitionBy("word").orderBy("lot")) == 1).alias("head")), "counted")
@@ -411,6 +412,7 @@ def word_scores(rows: DataFrame) -> DataFrame:
     return counted.select("lot", "number", "c").groupBy("lot").cogroup(texts.groupBy("lot")).applyInArrow(sums, "key long, n_tokens long, n_known long, train_tokens long, base_score double")
 
 
+@clears_steps
 def score_corpus(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Learns from the rows that are not held out, and scores all of them.
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlore.llm.common import ascii_lower, materialise
+from gridlore.llm.common import ascii_lower, clears_steps, materialise, tidy
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("text_sha256", pa.string()), ("best", pa.int64()), ("size", pa.int64()), ("edge", pa.bool_()), ("part", pa.string())])
 
@@ -65,6 +65,7 @@ def _runs(keep: str):
     return scan
 
 
+@clears_steps
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
     """Groups texts that are identical after lower-casing A-Z; one row per input row.
 
@@ -79,7 +80,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), ascii_lower(F.col(text_col)).alias("norm"))
     rows = rows.withColumns({"_p": F.substring("norm", 1, 64), "_h": F.xxhash64("norm")})
     ordered = rows.repartitionByRange("_p", "_h", "doc_id").sortWithinPartitions("_p", "_h", "norm", "doc_id")
-    found = materialise(ordered.mapInArrow(_runs(keep), "doc_id long, text_sha256 string, best long, size long, edge boolean, part string"), "content-sort")
+    found = materialise(ordered.mapInArrow(tidy(_runs(keep)), "doc_id long, text_sha256 string, best long, size long, edge boolean, part string"), "content-sort")
     # stretches at a partition's edge: at most those of two splitter keys per partition
     edges = found.filter("edge").groupBy("text_sha256", "part").agg(F.first("best").alias("best"), F.first("size").alias("size"))
     best = F.max("best") if keep == "largest" else F.min("best")

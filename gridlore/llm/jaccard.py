@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridlore.llm.common import materialise
+from gridlore.llm.common import clears_steps, materialise, tidy
 from gridlore.llm.components import components
 from gridlore.llm.words import Words, lots, mix, sequences
 
@@ -89,7 +89,7 @@ def frequent_ngrams(docs: DataFrame, n: int, id_col: str, text_col: str) -> tupl
             keep = count > 2
             yield pa.RecordBatch.from_arrays([pa.array(gram[at[keep]].view(np.int64)), pa.array(count[keep])], names=["gram", "n"])
 
-    counts = materialise(_texts(docs, id_col, text_col).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "frequent")
+    counts = materialise(_texts(docs, id_col, text_col).mapInArrow(tidy(run), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "frequent")
     by_size = sorted(((r["size"], r["grams"]) for r in counts.groupBy(F.floor(F.log2("n") * 4).alias("size")).agg(F.count("*").alias("grams")).collect()), reverse=True)
     least, total = None, 0
     for size, grams in by_size:  # from the most frequent down, as long as the table stays small
@@ -137,7 +137,7 @@ def prefixes(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col:
                     kinds = [pa.int64(), pa.int32(), pa.binary(), *[pa.int64()] * 4, pa.binary(), pa.int32(), pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "size", "digest", *_SKETCHES, "sketch", "matches", "prefix"])
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, size int, digest binary, s0 long, s1 long, t0 long, t1 long, sketch binary, matches int, prefix binary")
+    return _texts(docs, id_col, text_col).mapInArrow(tidy(run), "doc_id long, size int, digest binary, s0 long, s1 long, t0 long, t1 long, sketch binary, matches int, prefix binary")
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +219,7 @@ def _pairs(num: int, den: int, ties: bool):
 def posting_lists(sets: DataFrame) -> DataFrame:
     """Rows (gram, parts, part, a, first, size, matches, sketches) of all prefix n-grams that several classes share.
     A class lies in unrelated parts of different lists."""
-    postings = sets.select("a", "prefix").mapInArrow(_postings, "gram long, a long")
+    postings = sets.select("a", "prefix").mapInArrow(tidy(_postings), "gram long, a long")
     lengths = postings.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1")
     shared = postings.join(lengths, "gram").withColumn("parts", F.ceil(F.col("n") / F.lit(LIST)).cast("int"))
     part = F.pmod(F.xxhash64("a", "gram"), F.col("parts")).cast("int").alias("part")
@@ -237,12 +237,12 @@ def candidates(lists: DataFrame, sets: DataFrame, num: int, den: int, ties: bool
         each = lists.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         dealt = each.withColumns({"p": F.least("part", "other"), "q": F.greatest("part", "other")})
     dealt = dealt.select(*_NAMES).repartition("gram", "p", "q").sortWithinPartitions("gram", "p", "q", "size", "a")
-    pairs = dealt.mapInArrow(_pairs(num, den, ties), "a long, b long, need int")
+    pairs = dealt.mapInArrow(tidy(_pairs(num, den, ties)), "a long, b long, need int")
     pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("met"), F.min("need").alias("need"))
     pairs = (pairs if ties else pairs.filter("met >= need")).select("a", "b")
     left = pairs.join(sets.select("a", F.col("size").alias("size_a"), F.col("sketch").alias("sketch_a")), "a")
     both = left.join(sets.select(F.col("a").alias("b"), F.col("size").alias("size_b"), F.col("sketch").alias("sketch_b")), "b")
-    return both.select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b").mapInArrow(_sketched(num, den), "a long, b long")
+    return both.select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b").mapInArrow(tidy(_sketched(num, den)), "a long, b long")
 
 
 def _sketched(num: int, den: int):
@@ -261,6 +261,7 @@ def _sketched(num: int, den: int):
     return run
 
 
+@clears_steps
 def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
     """The pairs whose whole sets link.
 
@@ -300,6 +301,7 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, n: int, num: in
     return texts.groupBy("cell").cogroup(ends.groupBy("cell")).applyInArrow(compare, "a long, b long")
 
 
+@clears_steps
 def near_duplicates(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Links documents whose n-gram sets have den * |intersection| >= num * |union|.
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlore.llm.bpe import byte_letters
-from gridlore.llm.common import materialise, process_cache
+from gridlore.llm.common import clears_steps, materialise, process_cache, tidy
 
 #: Rounds of multiplicative weights at most, the weights' rate, what the longest piece is worth more by token than the
 #: shortest, and the part of a sequence that a configuration may leave empty.
@@ -85,7 +85,7 @@ def cut(docs: DataFrame, vocabulary: str, capacity: int, id_col: str, text_col:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PIECES, strict=True)], schema=_PIECES)
 
     texts = docs.select(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")))
-    return texts.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, part string, rank long")
+    return texts.mapInArrow(tidy(run), "doc_id long, piece int, start long, length long, ids_crc32 long, part string, rank long")
 
 
 def best_configuration(price: np.ndarray, capacity: int) -> list[int]:
@@ -200,6 +200,7 @@ def places(plan: list[tuple[list[int], int]]) -> dict[int, tuple[np.ndarray, ...
     return out
 
 
+@clears_steps
 def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Packs every document's tokens, followed by id 0, into sequences of at most ``capacity`` tokens.
 
@@ -234,4 +235,4 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, id_col: str = "
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(seq), pa.array(off)], names=[*kept, "sequence_id", "offset"])
 
     ranked = pieces.join(bases, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("base")).alias("rank"))
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(tidy(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlore.llm.common import materialise
+from gridlore.llm.common import clears_steps, materialise, tidy
 from gridlore.llm.words import Words, joined, lots, mix, sequences
 
 #: Bytes of per-document lists that are sent to all executors at once; more are joined by a shuffle.
@@ -156,7 +156,7 @@ def _merge(batch: int):
 
 def _merged(rows: DataFrame, batch: int) -> DataFrame:
     ordered = rows.repartition("anchor").sortWithinPartitions("anchor", "span", "off", "seq", "doc_id", "start")
-    return ordered.select("anchor", "span", "off", "seq", "doc_id", "start", "n", "gone").mapInArrow(_merge(batch), _DDL + ", ask boolean, seq int")
+    return ordered.select("anchor", "span", "off", "seq", "doc_id", "start", "n", "gone").mapInArrow(tidy(_merge(batch)), _DDL + ", ask boolean, seq int")
 
 
 def per_document(rows: DataFrame) -> DataFrame:
@@ -179,7 +179,7 @@ def per_document(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(first, kind), pa.array(last, kind)], names=["doc_id", "starts", "ns"])
 
     listed = rows.groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("ns"))
-    return listed.mapInArrow(join, "doc_id long, starts array<long>, ns array<long>")
+    return listed.mapInArrow(tidy(join), "doc_id long, starts array<long>, ns array<long>")
 
 
 def with_places(docs: DataFrame, places: DataFrame, how: str) -> DataFrame:
@@ -206,7 +206,7 @@ class SubstringIndex:
         ``known`` has the texts of all batches, this one included.
         """
         seq, self.batches = self.batches, self.batches + 1
-        new = batch.filter("doc_id is not null").select("doc_id", "text").mapInArrow(_map_entries(self.window, self.gram), _DDL).withColumn("seq", F.lit(seq))
+        new = batch.filter("doc_id is not null").select("doc_id", "text").mapInArrow(tidy(_map_entries(self.window, self.gram)), _DDL).withColumn("seq", F.lit(seq))
         rows = new
         for _, run in self.runs:
             rows = rows.unionByName(run)
@@ -253,7 +253,7 @@ class SubstringIndex:
                 yield from flush()
 
         texts = with_places(known.select("doc_id", "text"), lists, "inner").select("doc_id", "text", "starts", "ns", "seq")
-        windows = texts.mapInArrow(run, _DDL + ", seq int")
+        windows = texts.mapInArrow(tidy(run), _DDL + ", seq int")
         return _merged(windows, seq).filter((F.col("seq") == seq) & F.col("gone")).select("doc_id", "start", "n")
 
     def _compact(self) -> None:
@@ -294,9 +294,10 @@ def remove(docs: DataFrame, repeats: DataFrame, window: int) -> DataFrame:
 
     lists = materialise(per_document(repeats), "repeats")
     texts = with_places(docs.select("doc_id", "text"), lists, "left").select("doc_id", "text", "starts", "ns")
-    return texts.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    return texts.mapInArrow(tidy(run), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
+@clears_steps
 def substring_dedup(docs: DataFrame, window: int = 20, gram: int = 8, batches: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Removes every word covered by a window that starts earlier too (smaller id, or same text, earlier start).
 

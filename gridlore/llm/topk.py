@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridlore.llm.common import materialise
+from gridlore.llm.common import clears_steps, materialise, tidy
 
 #: Vectors of a block, and bytes of a chunk of queries as it is broadcast.
 BLOCK, CHUNK_BYTES = 128, 16 << 20
@@ -56,7 +56,7 @@ def block_index(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], schema=schema)
 
     ordered = rows.repartitionByRange("vec_id").sortWithinPartitions("vec_id")
-    return ordered.mapInArrow(cut, "ids binary, forward binary, most binary, least binary")
+    return ordered.mapInArrow(tidy(cut), "ids binary, forward binary, most binary, least binary")
 
 
 class _Best:
@@ -110,6 +110,7 @@ class _Best:
         return len(q) * len(blocks)
 
 
+@clears_steps
 def topk(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", scale: float = 1024.0) -> DataFrame:
     """The k vectors of highest whole-number inner product for each query, its own id left out.
 
@@ -145,7 +146,7 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec
         ids, q = part.column("vec_id").to_numpy(), _matrix(part.column("q").combine_chunks()) if part.num_rows else np.zeros((0, 0))
         if part.num_rows:
             run = search(spark.sparkContext.broadcast(ids), spark.sparkContext.broadcast(q))
-            hits = blocks.mapInArrow(run, "query_id long, vec_id long, score long")
+            hits = blocks.mapInArrow(tidy(run), "query_id long, vec_id long, score long")
             found = hits if found is None else found.unionByName(hits)
     if found is None:
         found = spark.createDataFrame([], "query_id long, vec_id long, score long")

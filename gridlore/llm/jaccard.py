@@ -28,8 +28,10 @@ from gridlore.llm.words import Words, lots, mix, sequences
 #: Entries of the table of frequent n-grams (a hint for the order), the longest l, and what verifying a
 #: candidate costs in postings.
 FREQUENT, MOST_MATCHES, VERIFY = 1 << 18, 8, 20.0
-#: Members of a posting list that one task compares; longer lists are dealt over pairs of their parts.
-LIST = 2048
+#: Members of a posting list that one task compares; longer lists are dealt over pairs of their parts.  Lists of up to
+#: LED members lie with the other lists that their smallest class leads, so that a pair which shares many n-grams is
+#: counted in one place; PAIRS that wait to be counted.
+LIST, LED, PAIRS = 2048, 512, 1 << 18
 #: Before components are known, each class meets partners in so many of its lists, elected alike by all, and in each
 #: of them the first and so many next to it whose thin sketches differ in at most so many of 128 bits.
 FIRST, NEAREST, ALIKE = 4, 2, 28
@@ -147,7 +149,7 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(prefix), np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), sizes))], names=["gram", "a"])
 
 
-_NAMES = ("gram", "p", "q", "part", "a", "size", "matches", *_SKETCHES, "label")
+_NAMES = ("key", "gram", "p", "q", "part", "a", "size", "matches", *_SKETCHES, "label")
 
 
 def _whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
@@ -158,7 +160,7 @@ def _whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.nda
             continue
         new = {c: b.column(c).to_numpy() for c in _NAMES}
         held = new if held is None else {c: np.concatenate([held[c], new[c]]) for c in _NAMES}
-        last = (held["gram"] == held["gram"][-1]) & (held["p"] == held["p"][-1]) & (held["q"] == held["q"][-1])
+        last = (held["key"] == held["key"][-1]) & (held["gram"] == held["gram"][-1]) & (held["p"] == held["p"][-1]) & (held["q"] == held["q"][-1])
         if not last.all():
             cut = len(last) - int(last[::-1].argmin())
             yield {c: v[:cut] for c, v in held.items()}
@@ -172,6 +174,16 @@ def _pairs(num: int, den: int, ties: bool):
     labels, or with ``ties`` each row with the list's first and the NEAREST like ones that it meets going down in size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[tuple[np.ndarray, ...]] = []
+
+        def counted() -> pa.RecordBatch:
+            a, b, need = map(np.concatenate, zip(*waiting, strict=True))
+            waiting.clear()
+            order = np.lexsort((b, a))
+            a, b, need = a[order], b[order], need[order]
+            head = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+            return pa.RecordBatch.from_arrays([pa.array(a[head]), pa.array(b[head]), pa.array(need[head]), pa.array(np.diff(np.append(head, len(a))))], names=["a", "b", "need", "met"])
+
         for x in _whole_lists(batches):
             size = x["size"].astype(np.int64)
             begins = np.ones(len(size), bool)
@@ -193,13 +205,14 @@ def _pairs(num: int, den: int, ties: bool):
 
             def pairs(i, j):
                 a, b, need = x["a"][i], x["a"][j], np.minimum(x["matches"][i], x["matches"][j])
-                return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(need)], names=["a", "b", "need"])
+                if len(a):
+                    waiting.append((np.minimum(a, b), np.maximum(a, b), need))
 
             j, step, given = np.flatnonzero(labels), 0, np.zeros(len(size), np.int64)
             if ties:  # so that one chain's break parts nothing; rows next to the first one meet it below
                 far = j[j - begin[j] > NEAREST]
                 far = far[passing(begin[far], far)]
-                yield pairs(begin[far], far)
+                pairs(begin[far], far)
             while len(j):
                 step += 1
                 j = j[j - step >= begin[j]]
@@ -208,24 +221,28 @@ def _pairs(num: int, den: int, ties: bool):
                 i, j = i[go], j[go]
                 ok = passing(i, j)
                 if ok.any():
-                    yield pairs(i[ok], j[ok])
+                    pairs(i[ok], j[ok])
+                if sum(len(y[0]) for y in waiting) > PAIRS:
+                    yield counted()
                 if ties:
                     given[j[ok]] += 1
                     j = j[given[j] < NEAREST]
+        if waiting:
+            yield counted()
 
     return run
 
 
 def posting_lists(sets: DataFrame) -> DataFrame:
-    """Rows (gram, parts, part, a, first, size, matches, sketches) of all prefix n-grams that several classes share.
+    """Rows (key, gram, parts, part, a, first, size, matches, sketches) of all prefix n-grams that several classes share.
     A class lies in unrelated parts of different lists."""
     postings = sets.select("a", "prefix").mapInArrow(tidy(_postings), "gram long, a long")
-    lengths = postings.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = postings.join(lengths, "gram").withColumn("parts", F.ceil(F.col("n") / F.lit(LIST)).cast("int"))
+    lengths = postings.groupBy("gram").agg(F.count("*").alias("n"), F.min("a").alias("leader")).filter("n > 1")
+    shared = postings.join(lengths, "gram").withColumn("key", F.when(F.col("n") <= LED, F.col("leader")).otherwise(F.col("gram"))).withColumn("parts", F.ceil(F.col("n") / F.lit(LIST)).cast("int"))
     part = F.pmod(F.xxhash64("a", "gram"), F.col("parts")).cast("int").alias("part")
     shared = shared.join(sets.select("a", "size", "matches", *_SKETCHES), "a")
     elected = F.row_number().over(Window.partitionBy("a").orderBy(F.col("parts") > 1, F.xxhash64("gram"), "gram"))
-    return shared.withColumn("first", elected <= FIRST).select("gram", "parts", part, "a", "first", "size", "matches", *_SKETCHES)
+    return shared.withColumn("first", elected <= FIRST).select("key", "gram", "parts", part, "a", "first", "size", "matches", *_SKETCHES)
 
 
 def candidates(lists: DataFrame, sets: DataFrame, num: int, den: int, ties: bool) -> DataFrame:
@@ -236,9 +253,9 @@ def candidates(lists: DataFrame, sets: DataFrame, num: int, den: int, ties: bool
     else:
         each = lists.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         dealt = each.withColumns({"p": F.least("part", "other"), "q": F.greatest("part", "other")})
-    dealt = dealt.select(*_NAMES).repartition("gram", "p", "q").sortWithinPartitions("gram", "p", "q", "size", "a")
-    pairs = dealt.mapInArrow(tidy(_pairs(num, den, ties)), "a long, b long, need int")
-    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("met"), F.min("need").alias("need"))
+    dealt = dealt.select(*_NAMES).repartition("key", "p", "q").sortWithinPartitions("key", "gram", "p", "q", "size", "a")
+    pairs = dealt.mapInArrow(tidy(_pairs(num, den, ties)), "a long, b long, need int, met long")
+    pairs = pairs.groupBy("a", "b").agg(F.sum("met").alias("met"), F.min("need").alias("need"))
     pairs = (pairs if ties else pairs.filter("met >= need")).select("a", "b")
     left = pairs.join(sets.select("a", F.col("size").alias("size_a"), F.col("sketch").alias("sketch_a")), "a")
     both = left.join(sets.select(F.col("a").alias("b"), F.col("size").alias("size_b"), F.col("sketch").alias("sketch_b")), "b")

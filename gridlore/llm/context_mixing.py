@@ -5,9 +5,14 @@ order from one to five the preceding bytes and the bits so far hash to a slot wh
 bit.  The predictions are combined in the logistic domain by weights that a gate selects (bit position,
 deepest order that has been seen, and how often), learnt online by gradient steps; an adaptive map then
 refines the mixed probability.  Counts, weights and map come from all training texts: what is gathered are
-the distinct (five bytes, next byte) pairs with their numbers, which grow with the corpus.  While the
+the distinct (five bytes, next byte) keys with their numbers, which grow with the corpus.  While the
 weights and the map are learnt, the counts leave out the occurrence at hand.
 
+Keys that share three bytes of context lie in one bucket, and with them all that orders three to five know
+about them: a bucket's slots are as many as its keys ask for, so that contexts collide alike at every size of
+the corpus, and no table of a high order leaves its task.  Texts lie in lots; a lot asks the buckets for the
+cost of its distinct keys.  Orders one and two have few contexts and are sent to all.
+
 Beside it stands a word model: the number of each word in all training texts.
 """
 
@@ -17,19 +22,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridlore.llm.common import clears_steps, materialise, revived, tidy
-from gridlore.llm.words import lots, mix
-
-ORDERS, END = 5, b"\xff"
-#: Slots of an order's table (as a power of two), and pieces of all tables that are summed apart.
-SLOT_BITS, PIECE_BITS = 22, 18
-#: Bytes that are keyed at once; distinct keys held before they are passed on; keys of a gradient step and rounds.
-STRETCH, HELD, STEP, EPOCHS, RATE = 1 << 21, 1 << 20, 1024, 4, 0.2
-#: Bytes of text whose distinct words are counted together.
-WORD_LOT = 24 << 20
+from gridlore.llm.common import clears_steps, materialise, partitions_for, revived, tidy
+from gridlore.llm.words import mix
+
+ORDERS, LOW, END = 5, 2, b"\xff"
+#: Slots for each bit position of an order up to LOW, as a power of two; there are 2^24 keys of such orders at most.
+SLOT_BITS = 19
+#: Bytes of a lot of texts; of training text for each bucket, and the most buckets that lots are dealt to.
+LOT, BUCKET, BUCKETS = 4 << 20, 16 << 20, 1 << 16
+#: Bytes that are keyed at once; keys that wait to be summed or answered; keys of a gradient step.
+STRETCH, HELD, STEP = 1 << 21, 1 << 20, 1024
+#: Every task learns from the mean of the tasks' weights, ROUNDS times, passing EPOCHS times over its keys.
+ROUNDS, EPOCHS, RATE = 2, 2, 0.2
+#: Lots that a word may be in before its count is sent to all instead of being joined.
+COMMON = 4096
 _ADD, _UNIT, _TOP = 0.4, 128.0, 2040
 _LEAST = np.array([0, 1, 2, 3, 4, 6, 10, 18, 34, 66, 130, 260, 600, 2000, 8000, 100_000])  # counts from which a level begins
 _TYPICAL = np.array([0, 1, 2, 3, 4.5, 7.5, 13, 25, 48, 95, 190, 400, 1200, 4500, 30_000, 300_000])
@@ -69,63 +78,116 @@ def _packed(kinds: dict, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
 
 
-_GRAMS = {"bucket": pa.int64(), "keys": pa.binary(), "counts": pa.binary()}
+_LOTS = {"lot": pa.string(), "ids": pa.binary(), "known": pa.binary(), "training": pa.binary(), "sizes": pa.binary(), "raw": pa.binary()}
 
 
-def gram_counts(training: DataFrame, text_col: str) -> DataFrame:
-    """All distinct keys of the training texts with their counts, packed; keys that share three bytes of context lie together."""
-    buckets = max(1, int(training.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def packed_lots(rows: DataFrame) -> DataFrame:
+    """Rows (doc_id, training, text) as lots of texts with A-Z lower-cased."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import uuid
 
-        def deal():
-            keys, n = _summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
+        held: list[tuple[int | None, bool, bytes]] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            ids, training, texts = zip(*held, strict=True)
+            known = np.array([i is not None for i in ids])
+            row = [uuid.uuid4().hex, np.array([i or 0 for i in ids], np.int64).tobytes(), known.tobytes(), np.array(training, bool).tobytes(), np.array([*map(len, texts)], np.int64).tobytes(), b"".join(texts)]
             held.clear()
-            to = (mix((keys >> _U(8)) & _U(0xFFFFFF)) % _U(buckets)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            cut = np.flatnonzero(np.concatenate([[True], np.diff(to[order]) > 0]))
-            for part in np.split(order, cut[1:]):
-                yield int(to[part[0]]), keys[part].tobytes(), n[part].astype(np.uint32).tobytes()
+            return _packed(_LOTS, [tuple(row)])
 
         for b in batches:
-            texts = b.column(0).to_pylist()
-            for _, raw in lots(texts, texts, 2 << 20):
-                for keys, _ in keyed([t.lower() for t in raw]):
-                    held.append(np.unique(keys, return_counts=True))
-                if sum(len(k) for k, _ in held) > HELD:
-                    yield _packed(_GRAMS, list(deal()))
+            for lo in range(0, b.num_rows, 256):
+                for i, training, text in zip(*(c.to_pylist() for c in b.slice(lo, 256).columns), strict=True):
+                    held.append((i, training, text_bytes(text)))
+                    size += len(held[-1][2])
+                    if size >= LOT:
+                        yield out()
+                        size = 0
         if held:
-            yield _packed(_GRAMS, list(deal()))
+            yield out()
+
+    return materialise(rows.select("doc_id", "training", "text").mapInArrow(tidy(run), "lot string, ids binary, known binary, training binary, sizes binary, raw binary"), "lots")
+
+
+def _texts(sizes: bytes, raw: bytes) -> list[bytes]:
+    cut = np.concatenate([[0], np.cumsum(np.frombuffer(sizes, np.int64))]).tolist()
+    return [raw[a:z] for a, z in zip(cut, cut[1:], strict=False)]
+
+
+def _distinct(texts: list[bytes]) -> np.ndarray:
+    parts = [np.unique(k) for k, _ in keyed(texts)]
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, _U)
+
+
+def _dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted keys by bucket: their order, the buckets that have any, and where each begins."""
+    to = (mix((keys >> _U(8)) & _U(0xFFFFFF)) % _U(buckets)).astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    head = np.flatnonzero(np.concatenate([[True], np.diff(to[order]) > 0])) if len(keys) else np.zeros(0, np.int64)
+    return order, to[order][head], head
+
+
+_GRAMS = {"bucket": pa.int64(), "keys": pa.binary(), "counts": pa.binary()}
+
+
+def gram_counts(lots: DataFrame, buckets: int) -> DataFrame:
+    """All distinct keys of the training texts with their counts: one row for each bucket."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for training, sizes, raw in zip(*(b.column(c).to_pylist() for c in ("training", "sizes", "raw")), strict=True):
+                texts = [t for t, x in zip(_texts(sizes, raw), np.frombuffer(training, bool).tolist(), strict=True) if x]
+                parts = [np.unique(k, return_counts=True) for k, _ in keyed(texts)]
+                if not parts:
+                    continue
+                keys, n = _summed(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
+                order, to, head = _dealt(keys, buckets)
+                yield _packed(_GRAMS, [(int(k), keys[part].tobytes(), n[part].astype(np.uint32).tobytes()) for k, part in zip(to, np.split(order, head[1:]), strict=True)])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, held = None, []
+        bucket, held, waiting = None, [], 0
 
-        def out():
-            keys, n = _summed(np.concatenate([np.frombuffer(k, _U) for k, _ in held]), np.concatenate([np.frombuffer(c, np.uint32).astype(np.uint64) for _, c in held]))
-            for lo in range(0, len(keys), HELD):
-                yield bucket, keys[lo : lo + HELD].tobytes(), n[lo : lo + HELD].tobytes()
+        def merge() -> None:
+            keys, n = _summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
+            held[:] = [(keys, n)]
+
+        def out() -> pa.RecordBatch:
+            merge()
+            ((keys, n),) = held
+            held.clear()
+            return _packed(_GRAMS, [(bucket, keys.tobytes(), n.tobytes())])
 
         for b in batches:
             for k, keys, n in zip(*(b.column(c).to_pylist() for c in _GRAMS), strict=True):
                 if k != bucket and held:
-                    yield _packed(_GRAMS, list(out()))
-                    held = []
+                    yield out()
+                    waiting = 0
                 bucket = k
-                held.append((keys, n))
+                held.append((np.frombuffer(keys, _U), np.frombuffer(n, np.uint32).astype(np.uint64)))
+                waiting += len(held[-1][0])
+                if waiting > HELD:
+                    merge()
+                    waiting = 0
         if held:
-            yield _packed(_GRAMS, list(out()))
+            yield out()
 
     ddl = "bucket long, keys binary, counts binary"
-    dealt = training.select(F.coalesce(F.col(text_col), F.lit(""))).mapInArrow(tidy(count), ddl)
+    dealt = lots.select("training", "sizes", "raw").mapInArrow(tidy(count), ddl)
     return materialise(dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(add), ddl), "grams")
 
 
-def slots(keys: np.ndarray, order: int, bit: int) -> np.ndarray:
-    """The slot in the order's table of each key's context and first ``bit`` bits."""
+def _unpacked(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for keys, n in zip(b.column("keys").to_pylist(), b.column("counts").to_pylist(), strict=True):
+        yield np.frombuffer(keys, _U), np.frombuffer(n, np.uint64).astype(np.float64)
+
+
+def slots(keys: np.ndarray, order: int, bit: int, bits: int) -> np.ndarray:
+    """The slot, among 2^bits of its bit position, of each key's context and first ``bit`` bits."""
     context = (keys >> _U(8)) & _U((1 << 8 * order) - 1)
     node = ((keys & _U(255)) | _U(256)) >> _U(8 - bit)
-    return (mix(context * _U(0x9E3779B97F4A7C15) + node * _U(0xC2B2AE3D27D4EB4F) + _U(order)) >> _U(64 - SLOT_BITS)).astype(np.int64)
+    return (mix(context * _U(0x9E3779B97F4A7C15) + node * _U(0xC2B2AE3D27D4EB4F) + _U(order)) >> _U(64 - bits)).astype(np.int64)
 
 
 def _bit(keys: np.ndarray, bit: int) -> np.ndarray:
@@ -138,66 +200,55 @@ def encoded(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return ((odds << 4) | (np.searchsorted(_LEAST, n0 + n1, side="right") - 1)).astype(np.int16)
 
 
-def slot_tables(grams: DataFrame) -> list[np.ndarray]:
-    """The tables of all orders, of a size that the corpus does not move."""
-    pieces = 1 << (SLOT_BITS - PIECE_BITS)
-    kinds = {"piece": pa.int64(), "slots": pa.binary(), "zeros": pa.binary(), "ones": pa.binary()}
+def slot_tables(keys: np.ndarray, counts: np.ndarray, orders: range, bits: int | None = None) -> dict[int, np.ndarray]:
+    """For each order a row of slots for each bit position; by default there are at least twice as many as keys."""
+    bits = max(8, (2 * len(keys)).bit_length()) if bits is None else bits
+    out = {}
+    for order in orders:
+        out[order] = np.zeros((8, 1 << bits), np.int16)
+        for bit in range(8):
+            at, one = slots(keys, order, bit, bits), _bit(keys, bit)
+            ones, total = np.bincount(at, counts * one, 1 << bits), np.bincount(at, counts, 1 << bits)
+            used = np.flatnonzero(total)
+            out[order][bit, used] = encoded(total[used] - ones[used], ones[used])
+    return out
+
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for raw, n in zip(b.column("keys").to_pylist(), b.column("counts").to_pylist(), strict=True):
-                keys, n = np.frombuffer(raw, _U), np.frombuffer(n, np.uint64).astype(np.float64)
-                for order in range(1, ORDERS + 1):
-                    at = np.concatenate([slots(keys, order, bit) for bit in range(8)])
-                    one = np.concatenate([_bit(keys, bit) for bit in range(8)])
-                    used, back = np.unique(at, return_inverse=True)
-                    ones, all_ = np.bincount(back, np.tile(n, 8) * one), np.bincount(back, np.tile(n, 8))
-                    cut = np.searchsorted(used, np.arange(1, pieces) << PIECE_BITS)
-                    rows = []
-                    for k, (u, o, a) in enumerate(zip(*(np.split(x, cut) for x in (used, ones, all_)), strict=True)):
-                        if len(u):
-                            rows.append(((order - 1) * pieces + k, (u & ((1 << PIECE_BITS) - 1)).astype("<u4").tobytes(), (a - o).astype("<f4").tobytes(), o.astype("<f4").tobytes()))
-                    if rows:
-                        yield _packed(kinds, rows)
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece, zeros, ones = None, None, None
-        out = {"piece": pa.int64(), "table": pa.binary()}
+def low_tables(grams: DataFrame) -> dict[int, np.ndarray]:
+    """The tables of the orders up to LOW, from the counts of at most 2^24 strings of three bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for p, at, z, o in zip(*(b.column(c).to_pylist() for c in kinds), strict=True):
-                if p != piece:
-                    if piece is not None:
-                        yield _packed(out, [(piece, encoded(zeros, ones).tobytes())])
-                    piece, zeros, ones = p, np.zeros(1 << PIECE_BITS), np.zeros(1 << PIECE_BITS)
-                at = np.frombuffer(at, "<u4")
-                zeros[at] += np.frombuffer(z, "<f4")
-                ones[at] += np.frombuffer(o, "<f4")
-        if piece is not None:
-            yield _packed(out, [(piece, encoded(zeros, ones).tobytes())])
-
-    dealt = grams.mapInArrow(tidy(spread), "piece long, slots binary, zeros binary, ones binary").repartition("piece").sortWithinPartitions("piece")
-    tables = [np.zeros(1 << SLOT_BITS, np.int16) for _ in range(ORDERS)]
-    for p, raw in zip(*(c.to_pylist() for c in dealt.mapInArrow(tidy(gather), "piece long, table binary").toArrow().columns), strict=True):
-        order, k = divmod(p, pieces)
-        tables[order][k << PIECE_BITS : (k + 1) << PIECE_BITS] = np.frombuffer(raw, np.int16)
-    return tables
+            for keys, n in _unpacked(b):
+                low, n = _summed(keys & _U(0xFFFFFF), n)
+                yield pa.RecordBatch.from_arrays([pa.array(low.astype(np.int64)), pa.array(n)], names=["low", "n"])
+
+    rows = grams.mapInArrow(tidy(run), "low long, n double").groupBy("low").agg(F.sum("n").alias("n")).toArrow()
+    return slot_tables(rows.column("low").to_numpy().astype(_U), rows.column("n").to_numpy(), range(1, LOW + 1), SLOT_BITS)
 
 
 class Mixer:
-    def __init__(self, tables: list[np.ndarray]):
-        self.tables = tables
+    """Weights and map, the tables of low orders, and the training texts' keys by bucket."""
+
+    def __init__(self, low: dict[int, np.ndarray], buckets: int):
+        self.low, self.buckets = low, buckets
         self.weights = np.full((_GATES, ORDERS + 1), 0.35, np.float32)
         self.weights[:, 0] = 0  # a constant input
         grid = np.arange(-8, 8.5, 0.5)
         self.map = np.tile(grid, (256, 1)).astype(np.float32)  # refined log odds for each bit node and mixed log odds
 
-    def inputs(self, keys: np.ndarray, bit: int, leave_out: bool) -> tuple[np.ndarray, np.ndarray]:
+    def tables(self, keys: np.ndarray, counts: np.ndarray) -> dict[int, np.ndarray]:
+        """All orders' tables for a bucket, from its training keys."""
+        return self.low | slot_tables(keys, counts, range(LOW + 1, ORDERS + 1))
+
+    def inputs(self, tables: dict[int, np.ndarray], keys: np.ndarray, bit: int, leave_out: bool) -> tuple[np.ndarray, np.ndarray]:
         """Log odds of each order's slot, and the gate."""
         x = np.ones((ORDERS + 1, len(keys)), np.float32)
         gate = np.zeros(len(keys), np.int64)
         one = _bit(keys, bit) if leave_out else None
         for order in range(1, ORDERS + 1):
-            code = self.tables[order - 1][slots(keys, order, bit)]
+            row = tables[order][bit]
+            code = row[slots(keys, order, bit, len(row).bit_length() - 1)]
             odds, level = (code >> 4).astype(np.float32) / np.float32(_UNIT), (code & 15).astype(np.int64)
             if leave_out:
                 n = _TYPICAL[level]
@@ -222,19 +273,20 @@ class Mixer:
         refined = self.map[row, k] * (1 - part) + self.map[row, k + 1] * part
         return np.where(np.abs(odds) >= 8, odds, (odds + refined) / 2)
 
-    def learn(self, keys: np.ndarray, counts: np.ndarray, seed: int) -> np.ndarray:
-        """Online gradient steps over the keys in a random order; returns how much each gate has seen."""
+    def learn(self, keys: np.ndarray, counts: np.ndarray, seed: int, rate: float) -> np.ndarray:
+        """Online gradient steps over a bucket's keys in a random order; returns how much each gate has seen."""
+        tables = self.tables(keys, counts)
         rng, seen = np.random.default_rng(seed), np.zeros(_GATES)
         for lo in range(0, len(keys), 1 << 16):
             k, n = keys[lo : lo + (1 << 16)], counts[lo : lo + (1 << 16)]
-            given = [(*self.inputs(k, bit, True), _bit(k, bit)) for bit in range(8)]
+            given = [(*self.inputs(tables, k, bit, True), _bit(k, bit)) for bit in range(8)]
             for epoch in range(EPOCHS):
                 order = rng.permutation(len(k))
                 for at in range(0, len(order), STEP):
                     rows = order[at : at + STEP]
                     some = n[rows]
                     for x, gate, one in given:
-                        self.step(x[:, rows], gate[rows], one[rows], some, RATE / (1 + epoch))
+                        self.step(x[:, rows], gate[rows], one[rows], some, rate / (1 + epoch))
             for _, gate, _ in given:
                 seen += np.bincount(gate, n, _GATES)
         return seen
@@ -247,9 +299,9 @@ class Mixer:
 
     def outcomes(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Per bit node and mixed log odds: zeros and ones that came."""
-        out = np.zeros((2, 256 * 33))
+        out, tables = np.zeros((2, 256 * 33)), self.tables(keys, counts)
         for bit in range(8):
-            odds = self.mixed(*self.inputs(keys, bit, True))
+            odds = self.mixed(*self.inputs(tables, keys, bit, True))
             node = (((keys & _U(255)) | _U(256)) >> _U(8 - bit)).astype(np.int64)
             at = node * 33 + np.rint((np.clip(odds, -8, 8) + 8) * 2).astype(np.int64)
             one = _bit(keys, bit)
@@ -257,45 +309,50 @@ class Mixer:
             out[1] += np.bincount(at, counts * one, 256 * 33)
         return out
 
-    def bits(self, keys: np.ndarray) -> np.ndarray:
-        """Bits that each key's byte costs after its context."""
+    def bits(self, tables: dict[int, np.ndarray], keys: np.ndarray) -> np.ndarray:
+        """Bits that each key's byte costs after its context, by its bucket's tables."""
         cost = np.zeros(len(keys))
         for bit in range(8):
-            odds = self.refined(keys, bit, self.mixed(*self.inputs(keys, bit, False))).astype(np.float64)
+            odds = self.refined(keys, bit, self.mixed(*self.inputs(tables, keys, bit, False))).astype(np.float64)
             cost += np.logaddexp(0, np.where(_bit(keys, bit) > 0, -odds, odds))
         return cost / np.log(2)
 
 
-@clears_steps
-def train(training: DataFrame, text_col: str = "text") -> Mixer:
-    """Counts, weights and map from all rows of ``training``."""
-    grams = gram_counts(training, text_col)
-    mixer = Mixer(slot_tables(grams))
-    sc = training.sparkSession.sparkContext
-    unpack = lambda b: [(np.frombuffer(k, _U), np.frombuffer(n, np.uint64).astype(np.float64)) for k, n in zip(b.column("keys").to_pylist(), b.column("counts").to_pylist(), strict=True)]
-    sent = sc.broadcast(vars(mixer))  # tables of a fixed size
-
-    def weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for keys, n in unpack(b):
-                own = Mixer(sent.value["tables"])
-                seen = own.learn(keys, n, 7)
-                yield _packed({"w": pa.binary(), "seen": pa.binary()}, [((own.weights * seen[:, None]).astype(np.float64).tobytes(), seen.tobytes())])
-
-    total, seen = np.zeros((_GATES, ORDERS + 1)), np.zeros(_GATES)
-    for row in grams.mapInArrow(tidy(weights), "w binary, seen binary").toLocalIterator():  # a few kB from each packed row
-        total += np.frombuffer(row.w).reshape(total.shape)
-        seen += np.frombuffer(row.seen)
-    known = seen > 0
-    mixer.weights[known] = (total[known] / seen[known, None]).astype(np.float32)
+def train(lots: DataFrame, buckets: int) -> tuple[Mixer, DataFrame]:
+    """Weights and map from all training texts of the lots, and their keys by bucket."""
+    grams = gram_counts(lots, buckets)
+    mixer = Mixer(low_tables(grams), buckets)
+    sc = lots.sparkSession.sparkContext
+    size = _GATES * (ORDERS + 1)
+    for turn in range(ROUNDS):
+        sent = sc.broadcast(vars(mixer))  # tables of a fixed size
+
+        def weights(batches: Iterator[pa.RecordBatch], turn=turn, sent=sent) -> Iterator[pa.RecordBatch]:
+            total, seen = np.zeros((_GATES, ORDERS + 1)), np.zeros(_GATES)
+            for b in batches:
+                for keys, n in _unpacked(b):
+                    own = revived(Mixer, sent.value)
+                    own.weights = own.weights.copy()
+                    by = own.learn(keys, n, 7 + turn, RATE / (1 + turn * EPOCHS))
+                    total += own.weights * by[:, None]
+                    seen += by
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array(total.ravel()), pa.array(np.repeat(seen, ORDERS + 1))], names=["at", "total", "seen"])
+
+        rows = grams.mapInArrow(tidy(weights), "at int, total double, seen double").groupBy("at").agg(F.sum("total").alias("total"), F.sum("seen").alias("seen")).filter("seen > 0").toArrow()
+        at, total, seen = (c.to_numpy() for c in rows.columns)  # a row for each weight
+        flat = mixer.weights.ravel().copy()
+        flat[at] = (total / seen).astype(np.float32)
+        mixer.weights = flat.reshape(mixer.weights.shape)
+        sent.destroy()
     learnt = sc.broadcast(vars(mixer))
 
     def outcomes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, out = revived(Mixer, learnt.value), np.zeros((2, 256 * 33))
         for b in batches:
-            for keys, n in unpack(b):
+            for keys, n in _unpacked(b):
                 out += own.outcomes(keys, n)
-        yield _packed({"at": pa.int32(), "zeros": pa.float64(), "ones": pa.float64()}, [(int(k), out[0, k], out[1, k]) for k in np.flatnonzero(out.sum(0))] or [(0, 0.0, 0.0)])
+        some = np.flatnonzero(out.sum(0))
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(out[0, some]), pa.array(out[1, some])], names=["at", "zeros", "ones"])
 
     rows = grams.mapInArrow(tidy(outcomes), "at int, zeros double, ones double").groupBy("at").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones")).toArrow()
     at, zeros, ones = (c.to_numpy() for c in rows.columns)
@@ -305,111 +362,152 @@ def train(training: DataFrame, text_col: str = "text") -> Mixer:
     mixer.map = mixer.map.ravel()
     mixer.map[at] = np.clip(odds, -12, 12)
     mixer.map = mixer.map.reshape(256, 33).astype(np.float32)
-    sent.destroy()
     learnt.destroy()
-    return mixer
+    return mixer, grams
 
 
-def score(docs: DataFrame, mixer: Mixer, text_col: str = "text", keep: list[str | Column] | None = None) -> DataFrame:
-    """The columns ``keep`` with n_bytes (end mark included), score (log10 probability of the text) and bits_per_byte."""
-    model = docs.sparkSession.sparkContext.broadcast(vars(mixer))  # tables of a fixed size
-    kept = docs.select(*(keep or ["doc_id"]), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+def key_costs(lots: DataFrame, mixer: Mixer, grams: DataFrame) -> DataFrame:
+    """(lot, at, costs): the bits of each lot's distinct keys, bucket by bucket."""
+    model = lots.sparkSession.sparkContext.broadcast(vars(mixer))  # tables of a fixed size
+    kinds = {"bucket": pa.int64(), "lot": pa.string(), "keys": pa.binary(), "counts": pa.binary()}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = revived(Mixer, model.value)
-        known, cost = np.zeros(0, _U), np.zeros(0)  # keys are scored once in a while
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, scored, sizes = b.column("_text").to_pylist(), [], []
-            for _, raw in lots(texts, texts, 2 << 20):
-                total = np.zeros(len(raw))
-                for keys, owner in keyed([t.lower() for t in raw]):
-                    used, back = np.unique(keys, return_inverse=True)
-                    at = np.minimum(np.searchsorted(known, used), max(len(known) - 1, 0))
-                    new = used[known[at] != used] if len(known) else used
-                    if len(new):
-                        if len(known) > HELD:
-                            known, cost, new = np.zeros(0, _U), np.zeros(0), used
-                        known, cost = np.concatenate([known, new]), np.concatenate([cost, own.bits(new)])
-                        order = np.argsort(known)
-                        known, cost = known[order], cost[order]
-                    total += np.bincount(owner, cost[np.searchsorted(known, used)][back], len(raw))
-                scored.extend(total.tolist())
-                sizes.extend(len(t) + 1 for t in raw)
-            left = [b.column(c) for c in b.schema.names if c != "_text"]
-            bits = np.array(scored)
-            yield pa.RecordBatch.from_arrays([*left, pa.array(sizes, pa.int64()), pa.array(-bits * np.log10(2)), pa.array(bits / np.maximum(sizes, 1))], names=[*(c for c in b.schema.names if c != "_text"), "n_bytes", "score", "bits_per_byte"])
-
-    ddl = ", ".join(f"`{c}` {t}" for c, t in kept.dtypes if c != "_text")
-    return kept.mapInArrow(tidy(run), f"{ddl}, n_bytes long, score double, bits_per_byte double")
-
-
-def word_scores(rows: DataFrame) -> DataFrame:
-    """The word model over rows (key long, training boolean, text): key, n_tokens, n_known, train_tokens, base_score.
-
-    Each lot of texts sends its distinct words, numbered, to be counted and gets the counts back; the texts
-    themselves stay behind as word numbers.
-    """
-    kinds = {"lot": pa.string(), "number": pa.int32(), "word": pa.binary(), "n": pa.int64(), "keys": pa.binary(), "sizes": pa.binary(), "numbers": pa.binary()}
+            for lot, sizes, raw in zip(*(b.column(c).to_pylist() for c in ("lot", "sizes", "raw")), strict=True):
+                keys = _distinct(_texts(sizes, raw))
+                order, to, head = _dealt(keys, model.value["buckets"])
+                yield _packed(kinds, [(int(k), lot, keys[part].tobytes(), None) for k, part in zip(to, np.split(order, head[1:]), strict=True)])
+
+    def reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, bucket, tables = revived(Mixer, model.value), None, None
+        known, cost = np.zeros(0, _U), np.zeros(0, np.float32)  # what has been computed for the bucket
+        asked: list[tuple[str, np.ndarray]] = []
+
+        def out() -> pa.RecordBatch:
+            nonlocal known, cost
+            used = np.unique(np.concatenate([k for _, k in asked]))
+            new = used[known.take(np.searchsorted(known, used), mode="clip") != used] if len(known) else used
+            if len(known) + len(new) > 2 * HELD:
+                known, cost, new = known[:0], cost[:0], used
+            known, cost = np.concatenate([known, new]), np.concatenate([cost, own.bits(tables, new).astype(np.float32)])
+            order = np.argsort(known)
+            known, cost = known[order], cost[order]
+            rows = [(lot, bucket, cost[np.searchsorted(known, k)].tobytes()) for lot, k in asked]
+            asked.clear()
+            return _packed({"lot": pa.string(), "at": pa.int64(), "costs": pa.binary()}, rows)
 
-    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import uuid
+        for b in batches:
+            for k, lot, keys, counts in zip(*(b.column(c).to_pylist() for c in kinds), strict=True):
+                if k != bucket:
+                    if asked:
+                        yield out()
+                    bucket, known, cost = k, known[:0], cost[:0]
+                    tables = own.tables(np.zeros(0, _U), np.zeros(0))  # of a bucket that training texts don't know
+                keys = np.frombuffer(keys, _U)
+                if lot is None:
+                    tables = own.tables(keys, np.frombuffer(counts, np.uint64).astype(np.float64))
+                    continue
+                asked.append((lot, keys))
+                if sum(len(x) for _, x in asked) > HELD // 2:
+                    yield out()
+        if asked:
+            yield out()
+
+    asks = lots.select("lot", "sizes", "raw").mapInArrow(tidy(ask), "bucket long, lot string, keys binary, counts binary")
+    met = asks.unionByName(grams.select("bucket", F.lit(None).cast("string").alias("lot"), "keys", "counts"))
+    met = met.repartition("bucket").sortWithinPartitions("bucket", F.asc_nulls_first("lot"))  # a bucket's training keys first
+    return met.mapInArrow(tidy(reply), "lot string, at long, costs binary")
+
+
+def _numbers(texts: list[bytes]) -> tuple[dict[bytes, int], list[np.ndarray]]:
+    """All words and ends of the texts, numbered as they come, and each text as numbers."""
+    numbers: dict[bytes, int] = {}
+    parts = []
+    for t in texts:
+        words = t.split()
+        words.append(END)  # no word holds this byte
+        parts.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.uint32, len(words)))
+    return numbers, parts
+
+
+def word_counts(lots: DataFrame) -> tuple[DataFrame, int, int]:
+    """(lot, at, n): how often the training texts have each distinct word of a lot, by its number there; how many words
+    and ends they have, and how many distinct ones."""
+    kinds = {"lot": pa.string(), "at": pa.int64(), "word": pa.binary(), "n": pa.int64()}
 
-        numbers: dict[bytes, int] = {}
-        keys, trained, parts, size = [], [], [], 0
-
-        def out():
-            lot = uuid.uuid4().hex
-            flat = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
-            lengths = np.array([len(p) for p in parts], np.int64)
-            train_n = np.bincount(flat[np.repeat(np.array(trained, bool), lengths)], minlength=len(numbers))
-            words = list(numbers)
-            for lo in range(0, len(words), 1 << 16):
-                n = len(words[lo : lo + (1 << 16)])
-                yield pa.RecordBatch.from_arrays([pa.array([lot] * n), pa.array(np.arange(lo, lo + n, dtype=np.int32)), pa.array(words[lo : lo + n], pa.binary()), pa.array(train_n[lo : lo + n].astype(np.int64)), *(pa.nulls(n, pa.binary()) for _ in range(3))], names=list(kinds))
-            cuts = np.concatenate([[0], np.cumsum(lengths)])
-            for lo in range(0, len(keys), 4000):
-                hi = min(lo + 4000, len(keys))
-                yield _packed(kinds, [(lot, None, None, None, np.array(keys[lo:hi], np.int64).tobytes(), lengths[lo:hi].tobytes(), flat[cuts[lo] : cuts[hi]].astype("<u4").tobytes())])
-            numbers.clear()
-            keys.clear(), trained.clear(), parts.clear()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lot, training, sizes, raw in zip(*(b.column(c).to_pylist() for c in ("lot", "training", "sizes", "raw")), strict=True):
+                numbers, parts = _numbers(_texts(sizes, raw))
+                trained = np.repeat(np.frombuffer(training, bool), [len(p) for p in parts])
+                n = np.bincount(np.concatenate(parts)[trained], minlength=len(numbers))
+                words = list(numbers)
+                for lo in range(0, len(words), 1 << 16):
+                    some = words[lo : lo + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array([lot] * len(some)), pa.array(np.arange(lo, lo + len(some))), pa.array(some, pa.binary()), pa.array(n[lo : lo + len(some)].astype(np.int64))], names=list(kinds))
+
+    found = materialise(lots.select("lot", "training", "sizes", "raw").mapInArrow(tidy(run), "lot string, at long, word binary, n long"), "words")
+    counted = materialise(found.groupBy("word").agg(F.sum("n").alias("c"), F.count("*").alias("lots")), "counted")
+    total, distinct, common = counted.agg(F.sum("c"), F.sum((F.col("c") > 0).cast("long")), F.sum((F.col("lots") > COMMON).cast("long"))).first()
+    rare = found.join(counted.filter(F.col("lots") <= COMMON).select("word", "c"), "word")
+    if common:  # such words have many rows: their counts travel instead
+        often = counted.filter(F.col("lots") > COMMON).select("word", "c")
+        rare = rare.unionByName(found.join(F.broadcast(often) if common <= HELD else often, "word"))
+    return rare.select("lot", "at", F.col("c").alias("n")), total or 0, distinct or 0
+
+
+def scores(lots: DataFrame, costs: DataFrame, buckets: int, counts: DataFrame, total: int, distinct: int) -> DataFrame:
+    """A row for each text of the lots, from the costs of its keys and the counts of its words."""
+    names = ("lot", "kind", "at", "n", "costs", *[c for c in _LOTS if c != "lot"])
+    void = lambda *cs: [F.lit(None).cast("binary").alias(c) for c in cs]
+    heads = [c for c in _LOTS if c != "lot"]
+    whole = lots.select("lot", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("n"), *void("costs"), *heads)
+    whole = whole.unionByName(counts.select("lot", F.lit(1).alias("kind"), "at", "n", *void("costs", *heads)))
+    whole = whole.unionByName(costs.select("lot", F.lit(2).alias("kind"), "at", F.lit(0).cast("long").alias("n"), "costs", *void(*heads)))
+    kinds = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64(), "bits_per_byte": pa.float64()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lot, head, words, bits = None, None, [], []
+
+        def out() -> pa.RecordBatch:
+            ids, known, training, sizes, raw = head
+            texts = _texts(sizes, raw)
+            keys, sums, at = _distinct(texts), np.zeros(len(texts)), 0
+            cost = np.zeros(len(keys))
+            cost[_dealt(keys, buckets)[0]] = np.concatenate([np.frombuffer(x, np.float32) for x in bits])
+            for some, owner in keyed(texts):
+                sums += np.bincount(owner, cost[np.searchsorted(keys, some)], len(texts))
+            numbers, parts = _numbers(texts)
+            c = np.concatenate(words)
+            logs = np.log10((c + 1.0) / (total + distinct + 1.0))
+            flat, length = np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+            at = np.cumsum(length) - length  # every text has its end mark at least
+            ids = pa.array(np.frombuffer(ids, np.int64), mask=~np.frombuffer(known, bool))
+            seen, base = np.add.reduceat((c[flat] > 0).astype(np.int64), at), np.add.reduceat(logs[flat], at)
+            cols = [ids, pa.array(~np.frombuffer(training, bool)), length, seen, np.full(len(texts), total), base, -sums * np.log10(2), sums / (np.frombuffer(sizes, np.int64) + 1)]
+            return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(cols, kinds.values(), strict=True)], names=list(kinds))
 
         for b in batches:
-            for key, train_, text in zip(*(b.column(c).to_pylist() for c in ("key", "training", "text")), strict=True):
-                raw = text_bytes(text)
-                words = raw.split()
-                words.append(END)  # no word holds this byte
-                parts.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.uint32, len(words)))
-                keys.append(key)
-                trained.append(train_)
-                size += len(raw)
-                if size > WORD_LOT:
-                    yield from out()
-                    size = 0
-        if keys:
-            yield from out()
-
-    found = materialise(rows.mapInArrow(tidy(numbered), "lot string, number int, word binary, n long, keys binary, sizes binary, numbers binary"), "words")
-    words = found.filter("word is not null").select("lot", "number", "word", "n")
-    # a word stands once in a lot, so that its rows are as many as lots
-    counted = materialise(words.select("lot", "number", F.sum("n").over(Window.partitionBy("word")).alias("c"), (F.row_number().over(Window.partitionBy("word").orderBy("lot")) == 1).alias("head")), "counted")
-    total, distinct = counted.agg(F.sum(F.when(F.col("head"), F.col("c"))), F.count(F.when(F.col("head") & (F.col("c") > 0), 1))).first()
-    total, distinct = total or 0, distinct or 0
-
-    def sums(left: pa.Table, right: pa.Table) -> pa.Table:
-        c = np.zeros(left.num_rows, np.int64)
-        c[left.column("number").to_numpy()] = left.column("c").to_numpy()
-        logs = np.log10((c + 1.0) / (total + distinct + 1.0))
-        parts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
-        for keys, sizes, flat in zip(*(right.column(x).to_pylist() for x in ("keys", "sizes", "numbers")), strict=True):
-            keys, sizes, flat = np.frombuffer(keys, np.int64), np.frombuffer(sizes, np.int64), np.frombuffer(flat, "<u4")
-            head = np.cumsum(sizes) - sizes  # every text has its end mark at least
-            for part, x in zip(parts, (keys, sizes, np.add.reduceat((c[flat] > 0).astype(np.int64), head), np.add.reduceat(logs[flat], head)), strict=True):
-                part.append(x)
-        keys, sizes, seen, base = map(np.concatenate, parts)
-        return pa.table({"key": keys, "n_tokens": sizes, "n_known": seen, "train_tokens": np.full(len(keys), total, np.int64), "base_score": base})
-
-    texts = found.filter("keys is not null").select("lot", "keys", "sizes", "numbers")
-    return counted.select("lot", "number", "c").groupBy("lot").cogroup(texts.groupBy("lot")).applyInArrow(sums, "key long, n_tokens long, n_known long, train_tokens long, base_score double")
+            kind = b.column("kind").to_numpy()
+            name = b.column("lot").to_pylist()
+            cut = [0, *(np.flatnonzero((kind[1:] != kind[:-1]) | np.array([x != y for x, y in zip(name, name[1:], strict=False)], bool)) + 1).tolist(), len(kind)]
+            for lo, hi in zip(cut, cut[1:], strict=False):
+                if lo == hi:
+                    continue
+                if kind[lo] == 0:
+                    if lot is not None:
+                        yield out()
+                    lot, words, bits = name[lo], [], []
+                    head = [b.column(c)[lo].as_py() for c in heads]
+                elif kind[lo] == 1:
+                    words.append(b.column("n").slice(lo, hi - lo).to_numpy())
+                else:
+                    bits.extend(b.column("costs").slice(lo, hi - lo).to_pylist())
+        if lot is not None:
+            yield out()
+
+    ordered = whole.select(*names).repartition("lot").sortWithinPartitions("lot", "kind", "at")
+    return ordered.mapInArrow(tidy(run), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
 
 
 @clears_steps
@@ -422,8 +520,9 @@ def score_corpus(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text
     ids are rows of their own; without training rows every byte costs about eight bits; an empty table gives
     no rows; other columns are not read.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text_col).alias("text"))
-    rows = rows.withColumn("key", F.xxhash64("doc_id", "text", "held_out"))
-    words = word_scores(rows.select("key", (~F.col("held_out")).alias("training"), "text")).dropDuplicates(["key"])
-    scored = score(rows, train(rows.filter(~F.col("held_out"))), keep=["key", "doc_id", "held_out"])
-    return scored.join(words, "key").select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (~held_out).alias("training"), F.col(text_col).alias("text"))
+    buckets = min(BUCKETS, partitions_for(rows, "text", BUCKET))
+    lots = packed_lots(rows)
+    mixer, grams = train(lots, buckets)
+    counts, total, distinct = word_counts(lots)
+    return scores(lots, key_costs(lots, mixer, grams), buckets, counts, total, distinct)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import gridlore.llm.context_mixing as m
-from gridlore.llm.context_mixing import gram_counts, keyed, score, score_corpus, train
+from gridlore.llm.context_mixing import gram_counts, keyed, packed_lots, score_corpus, train
 
 
 def texts(seed, n):
@@ -27,31 +27,105 @@ def test_keys_by_stretches(monkeypatch):
     assert whole[0][0][1:5].tolist() == [int.from_bytes(x, "big") for x in (b"\0\0\0\0\0a", b"\0\0\0\0ab", b"\0\0\0abc", b"\0\0abc\xff")]
 
 
-def test_counts_cover_all_texts(spark, monkeypatch):
-    rows = texts(1, 50)
-    df = spark.createDataFrame([(t,) for t in rows] + [(None,)], "text string").repartition(3)
-    got = Counter()
-    for r in gram_counts(df, "text").collect():
+def lots_of(spark, rows, parts=3):
+    return packed_lots(spark.createDataFrame(rows, "doc_id long, training boolean, text string").repartition(parts))
+
+
+@pytest.mark.parametrize("held", [1 << 20, 50])
+def test_counts_cover_all_training_texts(spark, monkeypatch, held):
+    monkeypatch.setattr(m, "LOT", 300)
+    monkeypatch.setattr(m, "HELD", held)
+    rows = [(k, k % 4 > 0, t) for k, t in enumerate(texts(1, 50))] + [(50, True, None), (None, True, "")]
+    got, rows_of = Counter(), Counter()
+    for r in gram_counts(lots_of(spark, rows), 7).collect():
+        rows_of[r["bucket"]] += 1
         got.update(dict(zip(np.frombuffer(r["keys"], np.uint64).tolist(), np.frombuffer(r["counts"], np.uint64).tolist(), strict=True)))
-    want = Counter(np.concatenate([k for k, _ in keyed([t.encode() for t in [*rows, ""]])]).tolist())
-    assert got == want
+    want = Counter(np.concatenate([k for k, _ in keyed([(t or "").encode() for _, x, t in rows if x])]).tolist())
+    assert got == want and set(rows_of.values()) == {1}
+
+
+def scalar_mix(x):
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+    x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+    return x ^ x >> 31
+
+
+def brute_score(mixer, training, text):
+    """Bit by bit, with dictionaries instead of tables: bits that the text takes."""
+    occurrences = Counter()
+    for t in training:
+        raw = bytes(5) + t.lower().encode() + b"\xff"
+        occurrences.update((raw[k - 5 : k], raw[k]) for k in range(5, len(raw)))
+    bucket = lambda c: scalar_mix(int.from_bytes(c[2:], "big")) % mixer.buckets
+    sizes = Counter(bucket(c) for c, _ in occurrences)
+
+    def slot(order, context, byte, bit):
+        bits = m.SLOT_BITS if order <= m.LOW else max(8, (2 * sizes[bucket(context)]).bit_length())
+        h = int.from_bytes(context[5 - order :], "big") * 0x9E3779B97F4A7C15 + ((byte | 256) >> 8 - bit) * 0xC2B2AE3D27D4EB4F + order
+        return order, None if order <= m.LOW else bucket(context), bit, scalar_mix(h % 2**64) >> 64 - bits
+
+    counts = {}
+    for (context, byte), n in occurrences.items():
+        for order in range(1, 6):
+            for bit in range(8):
+                counts.setdefault(slot(order, context, byte, bit), [0, 0])[byte >> 7 - bit & 1] += n
+    raw, total = bytes(5) + text.lower().encode() + b"\xff", 0.0
+    for k in range(5, len(raw)):
+        for bit in range(8):
+            inputs, gate = [1.0], 0
+            for order in range(1, 6):
+                zeros, ones = counts.get(slot(order, raw[k - 5 : k], raw[k], bit), (0, 0))
+                inputs.append(max(-2040, min(2040, round(math.log((ones + 0.4) / (zeros + 0.4)) * 128))) / 128)
+                gate = 2 * order + (zeros + ones > 3) if zeros + ones else gate
+            odds = sum(x * float(w) for x, w in zip(inputs, mixer.weights[gate + 12 * bit], strict=True))
+            odds = max(-12, min(12, odds))
+            if abs(odds) < 8:
+                at = min(max((odds + 8) * 2, 0), 32 - 1e-4)
+                row = mixer.map[(raw[k] | 256) >> 8 - bit]
+                odds = (odds + float(row[int(at)]) * (1 - at % 1) + float(row[int(at) + 1]) * (at % 1)) / 2
+            total += math.log2(1 + math.exp(-odds if raw[k] >> 7 - bit & 1 else odds))
+    return total
+
+
+def test_scores_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(m, "LOT", 400)
+    monkeypatch.setattr(m, "BUCKET", 700)
+    kept = {}
+    monkeypatch.setattr(m, "train", lambda lots, buckets, own=m.train: kept.setdefault("model", own(lots, buckets)))
+    rows = [(k, t) for k, t in enumerate(texts(3, 40))] + [(40, None), (41, "NEW words é"), (None, "abc abd")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.score, r.bits_per_byte) for r in score_corpus(df, F.coalesce(F.col("doc_id") % 5, F.lit(1)) == 0).collect()}
+    mixer = kept["model"][0]
+    assert mixer.buckets > 3 and np.abs(mixer.weights[:, 1:] - 0.35).max() > 0.01
+    training = [t or "" for i, t in rows if i is None or i % 5]
+    for i, t in rows[::4] + rows[-3:]:
+        bits = brute_score(mixer, training, t or "")
+        assert got[i][0] == pytest.approx(-bits * math.log10(2), rel=1e-4)
+        assert got[i][1] == pytest.approx(bits / (len((t or "").encode()) + 1), rel=1e-4)
 
 
 def test_probabilities_sum_to_one_and_beat_uniform(spark):
-    df = spark.createDataFrame([(t,) for t in texts(1, 200)], "text string")
-    mixer = train(df)
+    mixer, grams = train(lots_of(spark, [(k, True, t) for k, t in enumerate(texts(1, 200))]), 5)
+    known = {r["bucket"]: (np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["counts"], np.uint64).astype(float)) for r in grams.collect()}
     for context in (b"\0\0\0\0\0", b"abcde", b" abc ", b"zzzzz"):
         keys = np.uint64(int.from_bytes(context, "big") << 8) | np.arange(256, dtype=np.uint64)
-        assert math.isclose(float(np.exp2(-mixer.bits(keys)).sum()), 1, rel_tol=1e-6)
-    same = spark.createDataFrame([(k, t) for k, t in enumerate(texts(1, 230)[200:])], "doc_id long, text string")
-    got = score(same, mixer).collect()
+        tables = mixer.tables(*known.get(int(m._dealt(keys, 5)[1][0]), (keys[:0], np.zeros(0))))
+        assert math.isclose(float(np.exp2(-mixer.bits(tables, keys)).sum()), 1, rel_tol=1e-6)
+    same = spark.createDataFrame([(k, t) for k, t in enumerate(texts(1, 230))], "doc_id long, text string")
+    got = score_corpus(same, F.col("doc_id") >= 200).filter("held_out").collect()
     assert len(got) == 30 and sum(r.bits_per_byte for r in got) / 30 < 2.6
-    for r in got:
-        assert math.isclose(r.score, -r.bits_per_byte * r.n_bytes * math.log10(2), rel_tol=1e-9)
+
+
+@pytest.mark.parametrize("common", [4096, 1])
+def test_very_long_and_common_words(spark, monkeypatch, common):
+    monkeypatch.setattr(m, "COMMON", common)
+    rows = [(1, "word " * 300_000), (2, "x" * 500_000), (3, " " * 500_000), (4, "word x")]
+    got = {r.doc_id: (r.n_tokens, r.n_known, r.train_tokens) for r in score_corpus(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), F.col("doc_id") == 4).collect()}
+    assert got == {1: (300_001, 300_001, 300_004), 2: (2, 2, 300_004), 3: (1, 1, 300_004), 4: (3, 2, 300_004)}
 
 
 def test_words_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(m, "WORD_LOT", 500)
+    monkeypatch.setattr(m, "LOT", 500)
     rows = [(k, t.upper() if k % 3 else t) for k, t in enumerate(texts(5, 60))] + [(60, None), (61, ""), (62, "new\x1cword É"), (None, "abc"), (5, "dup"), (5, "dup")]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as key", "'x' as n_tokens").repartition(3)
     got = score_corpus(df, F.coalesce(F.col("doc_id") % 4, F.lit(0)) == 1).collect()
@@ -67,4 +141,4 @@ def test_empty_and_untrained(spark):
     df = spark.createDataFrame([(1, "abc")], "doc_id long, text string")
     assert score_corpus(df.limit(0), F.lit(False)).collect() == []
     (r,) = score_corpus(df, F.lit(True)).collect()
-    assert r.train_tokens == 0 and r.n_known == 0 and r.bits_per_byte == pytest.approx(8, abs=1e-6)
+    assert r.train_tokens == 0 and r.n_known == 0 and r.bits_per_byte == pytest.approx(8, abs=1e-6) and r.held_out

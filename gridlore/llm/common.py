@@ -11,7 +11,7 @@ import sys
 import tempfile
 import threading
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,12 +51,19 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
 
 def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: lineage is cut, and the rows outlive any executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    with small_batches(spark):
-        df.write.option("compression", "zstd").parquet(path)
+    return materialised_all([df], name)
+
+
+def materialised_all(parts: Iterable[DataFrame], name: str = "step") -> DataFrame:
+    """The rows of all parts, of one schema, each written when it comes: what it needs can go before the next one."""
+    path, last = None, None
+    for last in parts:
+        spark = last.sparkSession
+        path = path or f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        with small_batches(spark):
+            last.write.mode("append").option("compression", "zstd").parquet(path)
     process_cache("steps").setdefault(threading.get_ident(), []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return last.sparkSession.read.schema(last.schema).parquet(path)
 
 
 def clears_steps(operator: Callable) -> Callable:

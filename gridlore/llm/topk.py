@@ -4,8 +4,8 @@ Rows in id order are cut into blocks of a fixed number of vectors; a block keeps
 numbers (the forward index) and, per term (component), the largest and smallest value.  The sum over terms
 of query value times the extreme that helps it bounds every score in the block.  A query visits blocks by
 falling bound and stops when the next bound lies below its k-th best score so far; a bound equal to it is
-still visited, since a smaller id wins a tie.  Queries come in chunks of bounded size, each one broadcast
-to all blocks, so that neither queries nor vectors need fit one place.
+still visited, since a smaller id wins a tie.  Queries come in chunks of bounded size; one at a time is sent to
+all blocks and its hits are written, so that neither queries nor vectors need fit one place.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridlore.llm.common import clears_steps, materialise, tidy
+from gridlore.llm.common import clears_steps, materialise, materialised_all, tidy
 
 #: Vectors of a block, and bytes of a chunk of queries as it is broadcast.
 BLOCK, CHUNK_BYTES = 128, 16 << 20
@@ -124,11 +124,12 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec
     asked = materialise(quantised(queries, id_col, vec_col, scale).groupBy("vec_id").agg(F.min("q").alias("q")), "queries")
     n, dim = asked.agg(F.count("*"), F.max(F.size("q"))).first()
     chunks = max(1, -(-n * max(dim or 1, 1) * 8 // CHUNK_BYTES))
-    found = None
 
     def search(asked_ids, asked_q):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best = _Best(asked_ids.value, asked_q.value, k)
+            if not len(best.ids):
+                return
             for b in batches:
                 lot = []
                 for ids, forward, most, least in zip(*(b.column(c).to_pylist() for c in ("ids", "forward", "most", "least")), strict=True):
@@ -141,14 +142,15 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec
 
         return run
 
-    for c in range(chunks):
-        part = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(chunks)) == c).toArrow()
-        ids, q = part.column("vec_id").to_numpy(), _matrix(part.column("q").combine_chunks()) if part.num_rows else np.zeros((0, 0))
-        if part.num_rows:
-            run = search(spark.sparkContext.broadcast(ids), spark.sparkContext.broadcast(q))
-            hits = blocks.mapInArrow(tidy(run), "query_id long, vec_id long, score long")
-            found = hits if found is None else found.unionByName(hits)
-    if found is None:
-        found = spark.createDataFrame([], "query_id long, vec_id long, score long")
+    def hits() -> Iterator[DataFrame]:
+        for c in range(chunks):
+            part = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(chunks)) == c).toArrow()
+            ids, q = part.column("vec_id").to_numpy(), _matrix(part.column("q").combine_chunks()) if part.num_rows else np.zeros((0, 0))
+            sent = spark.sparkContext.broadcast(ids), spark.sparkContext.broadcast(q)
+            yield blocks.mapInArrow(tidy(search(*sent)), "query_id long, vec_id long, score long")
+            for x in sent:  # its hits are written by now
+                x.destroy()
+
+    found = materialised_all(hits(), "hits")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -3,7 +3,8 @@
 Everything is a column expression: words are split, candidates are found, described and scored inside one
 row's arrays, and the fitted forest is written out as nested conditions, so that a scan neither shuffles
 nor leaves the JVM.  A candidate is a run of at least 16 letters, digits and ``+/_-`` with a digit in it or
-a telling word before it.  It is described by its length, classes and transitions of its characters, how
+a telling word before it, or else any value of at least eight characters that is assigned to a telling word
+(``password=...``, ``token : "..."``).  It is described by its length, classes and transitions of its characters, how
 well neighbouring letters follow each other in the corpus, how much of it frequent words cover, the path,
 and the words around it.  The forest is fitted on labelled findings, a table of a bounded size.
 """
@@ -21,12 +22,15 @@ from pyspark.sql import functions as F
 from gridlore.llm.common import materialise
 
 #: Words of the dictionary, trees and their depth, labelled findings of each kind that are made up.
-DICTIONARY, TREES, DEPTH, EXAMPLES = 4000, 12, 5, 300
+DICTIONARY, TREES, DEPTH, EXAMPLES = 4000, 16, 7, 300
 RUN = "[A-Za-z0-9+/_\\-]{16,}"
+VALUE = "([^\\s\"'`]{8,})"
 WHITE = "[ \\t-\\r]+"
 # fixed values: words that announce a secret, and words that announce a harmless number
 TELLING = "(?i)(token|secret|passwd|password|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential|bearer|auth)"
 HARMLESS = "(?i)(commit|checksum|digest|sha1|sha256|md5|uuid|guid|revision|isbn|integrity|fingerprint|build)"
+#: A telling word, the rest of its name and an assignment; the value may follow at once or as a word of its own.
+ASSIGNED = TELLING + "[A-Za-z0-9_.\\-]*[\"'`\\])]*\\s*[=:]+>?\\s*[\"'`(\\[]*"
 SAMPLE_PATH = "(?i)(test|example|sample|fixture|doc|mock)"
 
 
@@ -54,7 +58,7 @@ def _tables(words: list[tuple[str, int]]) -> tuple[str, str]:
 class Describer:
     """The features of a finding (candidate, word, before, before2, after, path) as columns."""
 
-    NAMES = ("length", "digits", "upper", "lower", "hexadecimal", "changes", "lower_digit", "upper_digit", "distinct", "follows", "covered", "telling", "assigned", "quoted", "harmless", "sample_path", "path_depth")
+    NAMES = ("length", "digits", "upper", "lower", "hexadecimal", "changes", "lower_digit", "upper_digit", "distinct", "enclosed", "follows", "covered", "telling", "assigned", "quoted", "harmless", "sample_path", "path_depth")
 
     def __init__(self, words: list[tuple[str, int]]):
         follow, threes = _tables(words)
@@ -86,6 +90,7 @@ class Describer:
             share("(?=ld)"),
             share("(?=ud)"),
             F.size(F.array_distinct(F.split(c, ""))) / n,
+            number(c.rlike("^[<{(\\[$%]+\\w+[>})\\]%]*$")),
             F.when(size >= 2, follows / (size - 1)).otherwise(F.lit(0.0)),
             F.when(size >= 3, covered / (size - 2)).otherwise(F.lit(0.0)).cast("double"),
             number(told.rlike(TELLING)),
@@ -103,15 +108,26 @@ class Describer:
 def findings(text: Column, path: Column) -> Column:
     """All candidates of a text: array of (word_no, candidate, word, before, before2, after, path)."""
     words = F.split(F.coalesce(text, F.lit("")), WHITE)
-    marked = F.filter(F.transform(words, lambda w, k: F.struct(k.alias("k"), w.alias("w"))), lambda x: (F.length(x["w"]) >= 16) & x["w"].rlike(RUN))
+    # words that may hold a candidate: a long run, an assignment, or what follows one
+    at = lambda k, d: F.when(k + d >= 0, F.get(words, k + d))
+    numbered = F.transform(words, lambda w, k: F.struct(k.alias("k"), w.alias("w")))
+
+    def marked(x: Column) -> Column:
+        w, n = x["w"], F.length(x["w"])
+        follows = F.coalesce(F.right(at(x["k"], -1), F.lit(1)).isin("=", ":", ">"), F.lit(False))
+        return ((n >= 16) & w.rlike(RUN)) | ((n >= 8) & (w.rlike("[=:]") | follows))
 
     def of(x: Column) -> Column:
-        at = lambda d: F.when(x["k"] + d >= 0, F.get(words, x["k"] + d))
-        told = F.concat_ws(" ", at(-2), at(-1), x["w"]).rlike(TELLING)
+        before, before2 = at(x["k"], -1), at(x["k"], -2)
+        told = F.concat_ws(" ", before2, before, x["w"]).rlike(TELLING)
         runs = F.filter(F.regexp_extract_all(x["w"], F.lit(f"({RUN})"), F.lit(1)), lambda c: told | c.rlike("[0-9]"))
-        return F.transform(runs, lambda c: F.struct(x["k"].alias("word_no"), c.alias("candidate"), x["w"].alias("word"), at(-1).alias("before"), at(-2).alias("before2"), at(1).alias("after"), path.cast("string").alias("path")))
+        inside = F.regexp_extract(x["w"], ASSIGNED + VALUE, 2)
+        alone = F.when(F.concat_ws(" ", before2, before, F.lit("")).rlike(ASSIGNED + "\\s*$"), F.regexp_extract(x["w"], VALUE, 1)).otherwise(F.lit(""))
+        value = F.regexp_replace(F.when(inside != "", inside).otherwise(alone), "[,;.)\\]]+$", "")
+        found = F.when(F.size(runs) > 0, runs).when(F.length(value) >= 8, F.array(value)).otherwise(F.array().cast("array<string>"))
+        return F.transform(found, lambda c: F.struct(x["k"].alias("word_no"), c.alias("candidate"), x["w"].alias("word"), before.alias("before"), before2.alias("before2"), at(x["k"], 1).alias("after"), path.cast("string").alias("path")))
 
-    return F.flatten(F.transform(marked, of))
+    return F.flatten(F.transform(F.filter(numbered, marked), of))
 
 
 def labelled_examples(spark: SparkSession, words: list[tuple[str, int]], each: int = EXAMPLES) -> DataFrame:
@@ -125,6 +141,8 @@ def labelled_examples(spark: SparkSession, words: list[tuple[str, int]], each: i
     long_word = F.concat(*(word(f"l{k}") for k in range(6)))
     quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
     lit = F.lit
+    # letters, digits and signs, with signs at places of their own
+    short = lambda salt, n: F.substring(F.concat(F.substring(mixed(salt, 86), 1, 3), F.lit("!"), F.translate(F.substring(mixed(salt, 86), 4, 60), "+/bQ", "#$%&")), 1, n)
     kinds = [  # label, candidate, word around it, the word before, the one before that
         (1, hexadecimal("a", 40), quoted(hexadecimal("a", 40)), lit("="), lit("token")),
         (1, hexadecimal("b", 32), F.concat(lit("secret:"), hexadecimal("b", 32)), word("b1"), word("b2")),
@@ -134,6 +152,20 @@ def labelled_examples(spark: SparkSession, words: list[tuple[str, int]], each: i
         (1, F.concat(lit("ghp_"), F.regexp_replace(mixed("f", 36), "[+/]", "x")), F.concat(lit("ghp_"), F.regexp_replace(mixed("f", 36), "[+/]", "x")), word("f1"), word("f2")),
         (1, mixed("g", 40), F.concat(lit("api_key="), mixed("g", 40)), word("g1"), word("g2")),
         (1, mixed("h", 24), quoted(mixed("h", 24)), lit(":"), lit("password")),
+        (1, short("A", 8), F.concat(lit("password="), short("A", 8)), word("A1"), word("A2")),
+        (1, short("B", 11), F.concat(lit("passwd:"), short("B", 11)), word("B1"), word("B2")),
+        (1, short("C", 14), quoted(short("C", 14)), lit("="), lit("secret")),
+        (1, mixed("D", 10), F.concat(lit("pwd="), mixed("D", 10)), word("D1"), word("D2")),
+        (1, hexadecimal("E", 12), F.concat(lit("token="), hexadecimal("E", 12)), word("E1"), word("E2")),
+        (0, F.concat(word("F1"), word("F2")), F.concat(lit("password="), F.concat(word("F1"), word("F2"))), word("F3"), word("F4")),
+        (0, F.concat(word("G1"), word("G2"), word("G3")), F.concat(word("G1"), word("G2"), word("G3")), lit(":"), lit("secret")),
+        (0, F.repeat(lit("*"), 10), F.concat(lit("password="), F.repeat(lit("*"), 10)), word("H1"), word("H2")),
+        (0, F.concat(lit("<"), word("I1"), lit("_"), word("I2"), lit(">")), F.concat(lit("token=<"), word("I1"), lit("_"), word("I2"), lit(">")), word("I3"), word("I4")),
+        (0, F.concat(lit("<"), word("J1"), word("J2"), lit(">")), F.concat(lit("secret=<"), word("J1"), word("J2"), lit(">")), word("J3"), word("J4")),
+        (0, F.concat(lit("<"), upper("L", 9), lit(">")), F.concat(lit("token=<"), upper("L", 9), lit(">")), word("L1"), word("L2")),
+        (0, F.concat(lit("<"), F.lower(upper("M", 11)), lit(">")), F.concat(lit("<"), F.lower(upper("M", 11)), lit(">")), lit("="), lit("password")),
+        (0, F.concat(lit("${"), F.upper(word("K1")), lit("_"), F.upper(word("K2")), lit("}")), F.concat(lit("password=${"), F.upper(word("K1")), lit("_"), F.upper(word("K2")), lit("}")), word("K3"), word("K4")),
+        (0, F.repeat(lit("x"), 9), quoted(F.repeat(lit("x"), 9)), lit(":"), lit("password")),
         (0, digits("i", 16), digits("i", 16), word("i1"), word("i2")),
         (0, digits("j", 20), F.concat(lit("id="), digits("j", 20)), word("j1"), word("j2")),
         (0, hexadecimal("k", 40), hexadecimal("k", 40), lit("commit"), word("k2")),
@@ -165,7 +197,7 @@ def train(labelled: DataFrame, describer: Describer, trees: int = TREES, depth:
     rows = labelled.select("label", describer.struct(F.struct("candidate", "word", "before", "before2", "after", "path")).alias("f")).select("label", "f.*")
     # the forest reads its rows several times: they are described once
     vectors = VectorAssembler(inputCols=list(Describer.NAMES), outputCol="features").transform(materialise(rows.coalesce(1), "findings"))
-    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=11, featureSubsetStrategy="sqrt").fit(vectors.select("label", "features"))
+    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=11, featureSubsetStrategy="onethird").fit(vectors.select("label", "features"))
 
 
 def written_out(model: RandomForestClassificationModel, features: Column) -> Column:
@@ -206,13 +238,13 @@ class Scanner:
     def scan(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
         """One row per candidate: doc_id, word_no (from 0), candidate, score (0 to 1), secret (score over 0.5).
 
-        Rows without candidates give none; repeated rows give theirs each; null ids, texts and paths are
-        allowed; an empty table gives no rows; other columns are not read.
+        Texts are scanned whole, however long.  Rows without candidates give none; repeated rows give theirs each;
+        null ids, texts and paths are allowed; an empty table gives no rows; other columns are not read.
         """
         rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.explode(self.scored(F.col(text_col), F.col(path_col))).alias("x"))
         return rows.select("doc_id", "x.word_no", "x.candidate", "x.score", (F.col("x.score") > 0.5).alias("secret"))
 
     def redacted(self, text: Column, path: Column, mark: str = "[secret]") -> Column:
-        """The text with every secret replaced; null stays null."""
+        """The text with every secret replaced, wherever its characters stand, inside longer words too; null stays null."""
         secrets = F.filter(self.scored(text, path), lambda x: x["score"] > 0.5)
         return F.aggregate(secrets, text, lambda t, x: F.replace(t, x["candidate"], F.lit(mark)))

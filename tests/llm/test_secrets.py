@@ -1,4 +1,6 @@
 import hashlib
+import os
+import re
 
 import pytest
 from pyspark.ml.feature import VectorAssembler
@@ -50,7 +52,7 @@ def test_conditions_equal_the_forest_and_hold_out(spark, docs):
     words = dictionary(docs)
     describer = Describer(words)
     every = labelled_examples(spark, words, 60)
-    rows = every.withColumn("fold", F.pmod(F.xxhash64("candidate", "word"), F.lit(3)))
+    rows = every.withColumn("fold", F.pmod(F.xxhash64("candidate", "word", "before", "after"), F.lit(3)))
     model = train(rows.filter("fold > 0"), describer)
     x = F.struct("candidate", "word", "before", "before2", "after", "path")
     held = rows.filter("fold = 0").select("label", describer.struct(x).alias("f"))
@@ -67,3 +69,28 @@ def test_no_python_on_the_way_and_empty(docs, scanner):
     assert scanner.scan(docs.limit(0)).collect() == []
     assert dictionary(docs.limit(0)) == []
     assert scanner.scan(docs.unionByName(docs)).count() == 2 * found.count()
+
+
+def test_short_values_of_telling_words(spark, scanner):
+    secret = ["password=Xy7!kQ2pLm9", 'secret: "k9#Lp2$vQ8zT"', "pwd=aB3dE5gH7j", "PASSWORD = 'q8W!e7R#t6'", "auth_token: 7f3a9c2e1b4d"]
+    harmless = ["password=required", "token: somewhere", "password = ********", "secret=<placeholder>", 'password: "xxxxxxxxx"', "time=10:15:30", "password=short", "the secret storyline"]
+    rows = [(k, f"{PROSE} {t} {PROSE}", None) for k, t in enumerate(secret + harmless)]
+    found = scanner.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).filter("secret").collect()
+    assert {r.doc_id for r in found} == set(range(len(secret)))
+    assert {r.candidate for r in found} == {"Xy7!kQ2pLm9", "k9#Lp2$vQ8zT", "aB3dE5gH7j", "q8W!e7R#t6", "7f3a9c2e1b4d"}
+
+
+def test_very_long_texts(spark, scanner):
+    texts = ["word " * 200_000 + "password=b7db7aa4a5fcc78305", " " * 1_000_000, "x" * 1_000_000, "a=" * 300_000]
+    found = scanner.scan(spark.createDataFrame([(k, t, None) for k, t in enumerate(texts)], "doc_id long, text string, source string")).filter("secret").collect()
+    assert [(r.doc_id, r.word_no, r.candidate) for r in found] == [(0, 200_000, "b7db7aa4a5fcc78305")]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables")
+def test_secrets_planted_in_the_tables(spark):
+    """Values that a pattern finds behind telling words and key prefixes are all found, and hardly anything else is."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    pattern = re.compile(r'token = "([0-9a-f]{40})"|password=([0-9a-f]{18})\b|\b(AKIA[0-9A-Z]{16})\b')
+    planted = {(r.doc_id, "".join(x)) for r in docs.select("doc_id", "text").collect() for x in pattern.findall(r.text or "")}
+    found = {(r.doc_id, r.candidate) for r in Scanner.fitted(docs).scan(docs).filter("secret").collect()}
+    assert len(planted) > 10 and planted <= found and len(found - planted) <= 1, (planted - found, found - planted)

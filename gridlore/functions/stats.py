@@ -27,6 +27,14 @@ def truncated_rank(value: Column, by: list, descending: bool = False) -> Column:
     return F.floor(average_rank(value, by, descending)).cast("int")
 
 
+def ranked(rows: DataFrame, value: str, out: str) -> DataFrame:
+    """Adds the average rank among all rows.  Only distinct values are ordered in one place, after they have been counted."""
+    counts = rows.groupBy(value).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranks = counts.select(F.col(value).alias("_v"), (before + 1 + (F.col("_n") - 1) / 2).alias(out))
+    return rows.join(ranks, F.col(value).eqNullSafe(F.col("_v"))).drop("_v")
+
+
 def safe_corr(x: str, y: str) -> Column:
     """Pearson's r over a group's finite pairs; null for fewer than three or for a constant side."""
     both = F.col(x).isNotNull() & F.col(y).isNotNull()

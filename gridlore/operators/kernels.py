@@ -62,6 +62,82 @@ def times_small(matrix: DataFrame, small: DataFrame) -> DataFrame:
     return matrix.withColumnRenamed("j", "k").join(b, "k").groupBy("i", "c").agg(F.sum(F.col("v") * F.col("w")).alias("v")).withColumnRenamed("c", "j")
 
 
+def blocks(matrix: DataFrame, high: int, wide: int) -> DataFrame:
+    """(bi, bj, at, v): a matrix (i, j, v) in blocks of high x wide cells; ``at`` is a cell's place in its block, row by row."""
+    i, j = F.col("i"), F.col("j")
+    cell = F.struct((i % high * wide + j % wide).cast("int").alias("at"), F.col("v"))
+    dealt = matrix.groupBy(F.floor(i / high).alias("bi"), F.floor(j / wide).alias("bj")).agg(F.collect_list(cell).alias("x"))
+    return dealt.select("bi", "bj", F.col("x.at").alias("at"), F.col("x.v").alias("v"))
+
+
+def schedule(how: str, bi: Column, bj: Column, bk: Column, p: int, rows: int, inner: int) -> tuple[Column, Column]:
+    """Who makes a block product, and when.
+
+    ``summa``: a p x p grid owns C's blocks in turns and takes the inner blocks in order, as they are broadcast along rows
+    and columns.  ``cannon``: the same owners, each of which starts at its own skewed inner block and shifts by one.
+    ``static``: p owners of equal stripes of rows.  ``goto``: an inner panel of B is packed once and meets all blocks of A
+    before the next one; owners share out A's blocks.
+    """
+    turn = (bi % p) * p + bj % p
+    if how == "summa":
+        return turn, bk
+    if how == "cannon":
+        return turn, F.pmod(bk - bi - bj, F.lit(inner))
+    if how == "static":
+        return F.least(F.floor(bi / -(-rows // p)), F.lit(p - 1)), bk
+    if how == "goto":
+        return bi % p, (bj * inner + bk) * rows + bi
+    raise ValueError(f"no schedule {how}")
+
+
+def block_product(a: DataFrame, b: DataFrame, shape: tuple[int, int, int], size: tuple[int, int, int], how: str = "summa", p: int = 2) -> DataFrame:
+    """C = A B as block products: (i, j, v).
+
+    ``shape`` is (rows, inner, columns) of the product and ``size`` that of a block.  Blocks meet by an equi-join on the
+    inner block; each owner adds up its products in the order of its schedule, and C's blocks of an owner are all that it
+    holds.  Missing cells are zero; cells of C without any product are left out.
+    """
+    high, deep, wide = size
+    rows, inner = -(-shape[0] // high), -(-shape[1] // deep)
+    left = blocks(a, high, deep).select("bi", F.col("bj").alias("bk"), F.col("at").alias("a_at"), F.col("v").alias("a"))
+    right = blocks(b, deep, wide).select(F.col("bi").alias("bk"), "bj", F.col("at").alias("b_at"), F.col("v").alias("b"))
+    owner, step = schedule(how, F.col("bi"), F.col("bj"), F.col("bk"), p, rows, inner)
+    met = left.join(right, "bk").withColumns({"owner": owner.cast("long"), "step": step.cast("long")})
+    dealt = met.repartition("owner").sortWithinPartitions("owner", "step")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int], np.ndarray] = {}
+
+        def full(cells, values, m: int, n: int) -> np.ndarray:
+            out = np.zeros(m * n)
+            out[cells.values.to_numpy()] = values.values.to_numpy()
+            return out.reshape(m, n)
+
+        for batch in batches:
+            bi, bj = (batch.column(c).to_pylist() for c in ("bi", "bj"))
+            for k, key in enumerate(zip(bi, bj, strict=True)):
+                x = full(batch.column("a_at")[k], batch.column("a")[k], high, deep)
+                y = full(batch.column("b_at")[k], batch.column("b")[k], deep, wide)
+                sums[key] = sums[key] + x @ y if key in sums else x @ y
+        for (r, c), block in sums.items():
+            i, j = np.indices(block.shape)
+            i, j, v = i.ravel() + r * high, j.ravel() + c * wide, block.ravel()
+            there = (i < shape[0]) & (j < shape[2])
+            yield pa.RecordBatch.from_arrays([pa.array(i[there]), pa.array(j[there]), pa.array(v[there])], names=["i", "j", "v"])
+
+    return dealt.select("bi", "bj", "a_at", "a", "b_at", "b").mapInArrow(run, "i long, j long, v double")
+
+
+def narrow(values: Column, scale: float, kind: str = "int8") -> Column:
+    """Numbers of a narrow type in an array: whole ones from -128 to 127 of the scaled value, or bfloat16 by cutting."""
+    if kind == "int8":
+        return F.transform(values, lambda v: F.greatest(F.least(F.floor(v.cast("double") * scale), F.lit(127)), F.lit(-128)).cast("tinyint"))
+    if kind == "bf16":  # the upper half of a 32-bit float: eight bits of fraction are left, the last one cut
+        size = lambda v: F.pow(F.lit(2.0), F.floor(F.log2(F.abs(v))) - 7)
+        return F.transform(values, lambda v: F.when(v == 0, F.lit(0.0)).otherwise(F.signum(v.cast("double")) * F.floor(F.abs(v.cast("double")) / size(v.cast("double"))) * size(v.cast("double"))))
+    raise ValueError(f"no type {kind}")
+
+
 def add_transposed(a: DataFrame, b: DataFrame) -> DataFrame:
     """A + B^T cell by cell."""
     return a.join(b.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("v").alias("w")), ["i", "j"]).select("i", "j", (F.col("v") + F.col("w")).alias("v"))

@@ -51,3 +51,8 @@ def mapped(column: Column, pairs: dict, keep: bool = True) -> Column:
     table = F.create_map(*(F.lit(x) for kv in pairs.items() for x in kv))
     found = F.try_element_at(table, column)
     return F.coalesce(found, column) if keep else found
+
+
+def edge_bytes(n: Column, levels: Column, full: int, half: int, flat: int, indices: int) -> Column:
+    """Bytes that a kernel over n edges moves: reals at all levels, at half levels and without levels, and 32-bit indices."""
+    return n * levels * (8 * full) + n * (levels + 1) * (8 * half) + n * (8 * flat + 4 * indices)

@@ -161,12 +161,31 @@ def k5(spark, sf_dir):
     return rounded(K.gram(e, "embedding", "embedding"), 4)
 
 
-@register("k6_distributed_gemm", f"WITH {MAT}, small AS (SELECT i, j, v FROM mat WHERE i < 8) SELECT m.i, s.i AS j, round(sum(m.v * s.v), 5) AS v FROM mat m JOIN small s ON m.j = s.j GROUP BY ALL")
+@register("k5_int8_gemm", f"WITH {MAT}, q AS (SELECT i, j, CAST(greatest(least(floor(v * 64), 127), -128) AS BIGINT) AS v FROM mat) SELECT a.j AS i, b.j AS j, CAST(sum(a.v * b.v) AS BIGINT) AS v FROM q a JOIN q b ON a.i = b.i GROUP BY ALL")
+def k5_int8(spark, sf_dir):
+    """Operands of eight bits, whole sums: exact as long as they stay below 2^53."""
+    e = table(spark, sf_dir, "embeddings").select(K.narrow(F.col("embedding"), 64.0).alias("q"))
+    return K.gram(e, "q", "q").select("i", "j", F.col("v").cast("long").alias("v"))
+
+
+HOWS = ("summa", "cannon", "static", "goto")
+
+
+@register(
+    "k6_distributed_gemm",
+    f"WITH {MAT}, n AS (SELECT max(i) + 1 AS n FROM mat), w AS (SELECT a.j AS i, b.j AS j, sum(a.v * b.v) / any_value(n) AS v FROM mat a JOIN mat b ON a.i = b.i, n GROUP BY ALL), c AS (SELECT m.i, w.j, sum(m.v * w.v) AS v FROM mat m JOIN w ON m.j = w.i GROUP BY ALL) SELECT unnest([{', '.join(f"'{h}'" for h in HOWS)}]) AS how, i, j, round(v, 5) AS v FROM c",
+)
 def k6(spark, sf_dir):
-    """Every vector times a panel of eight: the panel goes to all partitions, as in a broadcast algorithm."""
+    """All vectors times their scaled Gram matrix, by each of the block algorithms."""
     m = matrix(spark, sf_dir)
-    panel = m.filter("i < 8").select(F.col("j").alias("i"), F.col("i").alias("j"), "v")
-    return rounded(K.times_small(m, panel), 5)
+    n = (m.agg(F.max("i")).first()[0] or 0) + 1
+    e = table(spark, sf_dir, "embeddings")
+    w = K.gram(e, "embedding", "embedding").select("i", "j", (F.col("v") / n).alias("v"))
+    out = None
+    for how in HOWS:
+        c = K.block_product(m, w, (n, COLS, COLS), (128, 16, 32), how, p=4).select(F.lit(how).alias("how"), "i", "j", F.round("v", 5).alias("v"))
+        out = c if out is None else out.unionByName(c)
+    return out
 
 
 GRID = "g0 AS (SELECT x.r AS i, y.r AS j, x.r * (y.r + 2) / 64.0 AS v FROM range(66) x(r), range(66) y(r))"

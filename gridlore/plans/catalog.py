@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from gridlore.plans import arrays, experiments, ingest, models  # noqa: F401
+from gridlore.plans import arrays, experiments, files, ingest, models, velocity  # noqa: F401

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -125,6 +127,14 @@ def parse_dump(text: str) -> tuple[int, list[int], list[int], list[float]]:
     return int((parts.get("rank") or [len(size)])[0]), size, [int(x) for x in parts.get("lbound", [])], data + [0.0] * (total - len(data))
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below the folder that driver and executors share (spark.checkpoint.dir); local where there is one process."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{(shared or 'file://' + tempfile.gettempdir()).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def write_csv(df: DataFrame, path: str, append: bool = False, digits: int | None = None) -> None:
     """Header and, if asked for, fixed decimals; each partition writes its own file."""
     cols = [F.format_string(f"%.{digits}f", c).alias(c) if digits is not None and t in ("double", "float") else F.col(c) for c, t in df.dtypes]

@@ -258,3 +258,112 @@ def test_bundles_take_all_arrays(spark, tmp_path):
         for r in query(spark, str(tmp_path)).collect():
             found.setdefault(r["bundle"], []).append(r["array"])
         assert {tuple(sorted(x)) for x in found.values()} == want
+
+
+def test_block_products_agree(spark):
+    """All schedules give the same product, whatever the blocks' shapes; edges of the blocks are padded."""
+    import numpy as np
+
+    from gridlore.operators import kernels as K
+
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(size=(37, 21)), rng.normal(size=(21, 18))
+    frame = lambda m: spark.createDataFrame([(i, j, float(v)) for (i, j), v in np.ndenumerate(m)], "i long, j long, v double")
+    for how in ("summa", "cannon", "static", "goto"):
+        got = np.zeros((37, 18))
+        for r in K.block_product(frame(a), frame(b), (37, 21, 18), (8, 5, 7), how, p=3).collect():
+            got[r.i, r.j] = r.v
+        assert np.allclose(got, a @ b), how
+
+
+def test_schedules(spark):
+    """Cannon's owners begin with different inner blocks; SUMMA's all take them in order; stripes are whole rows of blocks."""
+    from pyspark.sql import functions as F
+
+    from gridlore.operators import kernels as K
+
+    rows = spark.range(64).select((F.col("id") / 16).cast("int").alias("bi"), (F.col("id") / 4 % 4).cast("int").alias("bj"), (F.col("id") % 4).cast("int").alias("bk"))
+    def of(how):
+        o, s = K.schedule(how, F.col("bi"), F.col("bj"), F.col("bk"), 4, 4, 4)
+        return {(r.bi, r.bj, r.bk): (int(r.o), int(r.s)) for r in rows.select("*", o.alias("o"), s.alias("s")).collect()}
+
+    assert all(s == k for (_, _, k), (_, s) in of("summa").items())
+    cannon = of("cannon")
+    for step in range(4):  # in a step every owner has another inner block of its row of A
+        for bi in range(4):
+            assert len({k for (i, j, k), (_, s) in cannon.items() if i == bi and s == step}) == 4
+    assert all(o == i for (i, _, _), (o, _) in of("static").items())
+    goto = of("goto")
+    assert all(goto[i, j, k][1] < goto[x, j, k + 1][1] for i in range(4) for x in range(4) for j in range(4) for k in range(3))
+
+
+def test_narrow_types(spark):
+    from pyspark.sql import functions as F
+
+    from gridlore.operators import kernels as K
+
+    (r,) = spark.createDataFrame([([0.5, -3.0, 3.0, 0.0, 1.00390625, -0.1],)], "x array<float>").select(K.narrow(F.col("x"), 64.0).alias("q"), K.narrow(F.col("x"), 1.0, "bf16").alias("b")).collect()
+    assert r.q == [32, -128, 127, 0, 64, -7]
+    assert r.b[:5] == [0.5, -3.0, 3.0, 0.0, 1.0] and r.b[5] == -0.099609375
+
+
+def test_ranks_of_counted_values(spark):
+    from gridlore.functions import stats
+
+    df = spark.createDataFrame([(1, 5), (2, 3), (3, 5), (4, None), (5, 9)], "id int, x int")
+    assert {r.id: r.r for r in stats.ranked(df, "x", "r").collect()} == {4: 1.0, 2: 2.0, 1: 3.5, 3: 3.5, 5: 5.0}
+
+
+def test_velocity_tendencies_by_loops(spark):
+    """The array form against plain loops over elements and levels."""
+    import numpy as np
+
+    from gridlore.operators.velocity import tendencies
+
+    rng = np.random.default_rng(5)
+    ne, nc, nv, n, flat = 14, 6, 5, 6, 3
+    f = lambda *shape: rng.normal(size=shape)
+    pick = lambda size, *shape: rng.integers(0, size, shape)
+    E = {"vn": f(ne, n), "weight": f(ne, n), "ddxn": f(ne, n), "ddxt": f(ne, n), "ddqz": 2 + rng.random((ne, n)), "quad": pick(ne, ne, 4), "rbf": f(ne, 4), "cell": pick(nc, ne, 2), "gradekin": f(ne, 2), "lin": f(ne, 2), "vert": pick(nv, ne, 2), "outer": f(ne, 3), "inv_dual": f(ne), "inv_primal": f(ne), "orient": f(ne), "f": f(ne)}
+    C = {"w": f(nc, n + 1), "weight": f(nc, n), "d1": f(nc, n), "d2": f(nc, n), "edge": pick(ne, nc, 3), "bln": f(nc, 3)}
+    V = {"cell": pick(nc, nv, 6), "aw": f(nv, 6), "edge": pick(ne, nv, 6), "rot": f(nv, 6)}
+
+    def frame(d, size):
+        kind = lambda x: ("array<" if x.ndim == 2 else "") + ("long" if x.dtype.kind == "i" else "double") + (">" if x.ndim == 2 else "")
+        return spark.createDataFrame([(i, *(x[i].tolist() for x in d.values())) for i in range(size)], "id long, " + ", ".join(f"{k} {kind(x)}" for k, x in d.items()))
+
+    vn, w = E["vn"], C["w"]
+    vt, kin, terrain, vg = (np.zeros((ne, n)) for _ in range(4))
+    vh, th = np.zeros((ne, n + 1)), np.zeros((ne, n))
+    for e in range(ne):
+        for k in range(n):
+            vt[e, k] = sum(E["rbf"][e, m] * vn[E["quad"][e, m], k] for m in range(4))
+            kin[e, k] = (vn[e, k] ** 2 + vt[e, k] ** 2) / 2
+            a = E["weight"][e, k]
+            vh[e, k] = a * vn[e, k] + (1 - a) * vn[e, k - 1] if k else vn[e, 0] * a + (1 - a) * vn[e, 0]
+            th[e, k] = a * vt[e, k] + (1 - a) * vt[e, k - 1] if k else vt[e, 0]
+            terrain[e, k] = vn[e, k] * E["ddxn"][e, k] + vt[e, k] * E["ddxt"][e, k] if k + 1 >= flat else 0
+        vh[e, n] = sum(E["outer"][e, m] * vn[e, n - 1 - m] for m in range(3))
+    wv = np.array([[sum(V["aw"][v, m] * w[V["cell"][v, m], k] for m in range(6)) for k in range(n)] for v in range(nv)])
+    zeta = np.array([[sum(V["rot"][v, m] * vn[V["edge"][v, m], k] for m in range(6)) for k in range(n)] for v in range(nv)])
+    for e in range(ne):
+        (c1, c2), (v1, v2) = E["cell"][e], E["vert"][e]
+        vg[e] = vh[e, :n] * E["inv_dual"][e] * (w[c1, :n] - w[c2, :n]) + th[e] * E["inv_primal"][e] * E["orient"][e] * (wv[v1] - wv[v2])
+    at = lambda x: np.array([[sum(C["bln"][c, m] * x[C["edge"][c, m], k] for m in range(3)) for k in range(n)] for c in range(nc)])
+    ekin, mc, carried = at(kin), at(terrain), at(vg)
+    con = np.zeros((nc, n + 1))
+    con[:, :n] = w[:, :n]
+    for k in range(flat, n):
+        con[:, k] -= C["weight"][:, k] * mc[:, k] + (1 - C["weight"][:, k]) * mc[:, k - 1]
+    whole = (con[:, :-1] + con[:, 1:]) / 2
+    rise = np.zeros((nc, n))
+    for k in range(1, n):
+        rise[:, k] = carried[:, k] - con[:, k] * (w[:, k - 1] * C["d1"][:, k] - w[:, k + 1] * C["d2"][:, k] + w[:, k] * (C["d2"][:, k] - C["d1"][:, k]))
+    push = np.zeros((ne, n))
+    for e in range(ne):
+        (c1, c2), (v1, v2), (g1, g2) = E["cell"][e], E["vert"][e], E["gradekin"][e]
+        lift = E["lin"][e, 0] * whole[c1] + E["lin"][e, 1] * whole[c2]
+        push[e] = -(kin[e] * (g1 - g2) + g2 * ekin[c2] - g1 * ekin[c1] + vt[e] * (E["f"][e] + (zeta[v1] + zeta[v2]) / 2) + lift * (vh[e, :-1] - vh[e, 1:]) / E["ddqz"][e])
+    edges, cells = tendencies(frame(E, ne), frame(C, nc), frame(V, nv), flat)
+    for got, want in ((edges, push), (cells, rise)):
+        assert np.allclose([r.ddt for r in got.orderBy("id").collect()], want)

@@ -107,15 +107,23 @@ class Describer:
 
 def findings(text: Column, path: Column) -> Column:
     """All candidates of a text: array of (word_no, candidate, word, before, before2, after, path)."""
-    words = F.split(F.coalesce(text, F.lit("")), WHITE)
+    # bound as a variable, so that a text is split once
+    bound = F.transform(F.array(F.split(F.coalesce(text, F.lit("")), WHITE)), lambda words: _of_words(words, path))
+    return F.flatten(F.flatten(bound))
+
+
+def _of_words(words: Column, path: Column) -> Column:
+    """For each word that may hold candidates, an array of these."""
     # words that may hold a candidate: a long run, an assignment, or what follows one
     at = lambda k, d: F.when(k + d >= 0, F.get(words, k + d))
     numbered = F.transform(words, lambda w, k: F.struct(k.alias("k"), w.alias("w")))
 
     def marked(x: Column) -> Column:
         w, n = x["w"], F.length(x["w"])
-        follows = F.coalesce(F.right(at(x["k"], -1), F.lit(1)).isin("=", ":", ">"), F.lit(False))
-        return ((n >= 16) & w.rlike(RUN)) | ((n >= 8) & (w.rlike("[=:]") | follows))
+        assigns = lambda sign: F.locate(sign, w).between(1, n - 8)
+        before = at(x["k"], -1)
+        follows = F.coalesce(F.endswith(before, F.lit("=")) | F.endswith(before, F.lit(":")) | F.endswith(before, F.lit(">")), F.lit(False))
+        return (n >= 8) & (((n >= 16) & w.rlike(RUN)) | assigns("=") | assigns(":") | follows)
 
     def of(x: Column) -> Column:
         before, before2 = at(x["k"], -1), at(x["k"], -2)
@@ -127,7 +135,7 @@ def findings(text: Column, path: Column) -> Column:
         found = F.when(F.size(runs) > 0, runs).when(F.length(value) >= 8, F.array(value)).otherwise(F.array().cast("array<string>"))
         return F.transform(found, lambda c: F.struct(x["k"].alias("word_no"), c.alias("candidate"), x["w"].alias("word"), before.alias("before"), before2.alias("before2"), at(x["k"], 1).alias("after"), path.cast("string").alias("path")))
 
-    return F.flatten(F.transform(F.filter(numbered, marked), of))
+    return F.transform(F.filter(numbered, marked), of)
 
 
 def labelled_examples(spark: SparkSession, words: list[tuple[str, int]], each: int = EXAMPLES) -> DataFrame:

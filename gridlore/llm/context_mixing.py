@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,13 +33,11 @@ ORDERS, LOW, END = 5, 2, b"\xff"
 #: Slots for each bit position of an order up to LOW, as a power of two; there are 2^24 keys of such orders at most.
 SLOT_BITS = 19
 #: Bytes of a lot of texts; of training text for each bucket, and the most buckets that lots are dealt to.
-LOT, BUCKET, BUCKETS = 4 << 20, 16 << 20, 1 << 16
+LOT, BUCKET, BUCKETS = 6 << 20, 16 << 20, 1 << 16
 #: Bytes that are keyed at once; keys that wait to be summed or answered; keys of a gradient step.
 STRETCH, HELD, STEP = 1 << 21, 1 << 20, 1024
 #: Every task learns from the mean of the tasks' weights, ROUNDS times, passing EPOCHS times over its keys.
 ROUNDS, EPOCHS, RATE = 2, 2, 0.2
-#: Lots that a word may be in before its count is sent to all instead of being joined.
-COMMON = 4096
 _ADD, _UNIT, _TOP = 0.4, 128.0, 2040
 _LEAST = np.array([0, 1, 2, 3, 4, 6, 10, 18, 34, 66, 130, 260, 600, 2000, 8000, 100_000])  # counts from which a level begins
 _TYPICAL = np.array([0, 1, 2, 3, 4.5, 7.5, 13, 25, 48, 95, 190, 400, 1200, 4500, 30_000, 300_000])
@@ -53,17 +52,18 @@ def text_bytes(text: str | None) -> bytes:
 def keyed(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Keys (five bytes of context, next byte) of all texts with their end marks, by stretches, and the text of each key."""
     lead = bytes(ORDERS)
-    buffer = np.frombuffer(b"".join(lead + t + END for t in texts), np.uint8)
+    buffer = np.frombuffer(b"".join(lead + t + END for t in texts) + bytes(8), np.uint8)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + ORDERS + 1
     begins = np.cumsum(sizes) - sizes
-    for lo in range(ORDERS, len(buffer), STRETCH):
-        hi = min(lo + STRETCH, len(buffer))
-        key = np.zeros(hi - lo, _U)
-        for k in range(ORDERS, -1, -1):
-            key = (key << _U(8)) | buffer[lo - k : hi - k]
-        at = np.arange(lo, hi)
-        owner = np.repeat(np.arange(len(texts)), np.clip(begins + sizes, lo, hi) - np.clip(begins, lo, hi))
-        real = at - begins[owner] >= ORDERS
+    eight = np.ndarray(len(buffer) - 7, ">u8", buffer, strides=(1,))  # eight bytes from every place on, the first one highest
+    for lo in range(ORDERS, len(buffer) - 8, STRETCH):
+        hi = min(lo + STRETCH, len(buffer) - 8)
+        key = eight[lo - ORDERS : hi - ORDERS].astype(_U) >> _U(16)
+        owner = np.repeat(np.arange(len(texts), dtype=np.int32), np.clip(begins + sizes, lo, hi) - np.clip(begins, lo, hi))
+        real = np.ones(hi - lo, bool)
+        for k in range(ORDERS):
+            at = begins + k - lo
+            real[at[(at >= 0) & (at < hi - lo)]] = False
         yield key[real], owner[real]
 
 
@@ -78,22 +78,24 @@ def _packed(kinds: dict, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
 
 
-_LOTS = {"lot": pa.string(), "ids": pa.binary(), "known": pa.binary(), "training": pa.binary(), "sizes": pa.binary(), "raw": pa.binary()}
+_LOTS = {"lot": pa.int64(), "ids": pa.binary(), "known": pa.binary(), "training": pa.binary(), "sizes": pa.binary(), "raw": pa.binary()}
 
 
 def packed_lots(rows: DataFrame) -> DataFrame:
     """Rows (doc_id, training, text) as lots of texts with A-Z lower-cased."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import uuid
+        from pyspark import TaskContext
 
         held: list[tuple[int | None, bool, bytes]] = []
-        size = 0
+        size, number = 0, TaskContext.get().partitionId() << 33
 
         def out() -> pa.RecordBatch:
+            nonlocal number
+            number += 1
             ids, training, texts = zip(*held, strict=True)
             known = np.array([i is not None for i in ids])
-            row = [uuid.uuid4().hex, np.array([i or 0 for i in ids], np.int64).tobytes(), known.tobytes(), np.array(training, bool).tobytes(), np.array([*map(len, texts)], np.int64).tobytes(), b"".join(texts)]
+            row = [number, np.array([i or 0 for i in ids], np.int64).tobytes(), known.tobytes(), np.array(training, bool).tobytes(), np.array([*map(len, texts)], np.int64).tobytes(), b"".join(texts)]
             held.clear()
             return _packed(_LOTS, [tuple(row)])
 
@@ -108,7 +110,7 @@ def packed_lots(rows: DataFrame) -> DataFrame:
         if held:
             yield out()
 
-    return materialise(rows.select("doc_id", "training", "text").mapInArrow(tidy(run), "lot string, ids binary, known binary, training binary, sizes binary, raw binary"), "lots")
+    return materialise(rows.select("doc_id", "training", "text").mapInArrow(tidy(run), "lot long, ids binary, known binary, training binary, sizes binary, raw binary"), "lots")
 
 
 def _texts(sizes: bytes, raw: bytes) -> list[bytes]:
@@ -129,6 +131,26 @@ def _dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.n
     return order, to[order][head], head
 
 
+def _planes(numbers: np.ndarray, width: int) -> bytes:
+    """The lowest ``width`` bytes of each number, the lowest of all first: like bytes lie together."""
+    return np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def _from_planes(raw: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(raw) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(width, -1).T
+    return out.view(_U).ravel()
+
+
+def _ascending(keys: np.ndarray) -> bytes:
+    """Sorted keys as steps."""
+    return _planes(np.diff(keys, prepend=_U(0)), 6)
+
+
+def _from_ascending(raw: bytes) -> np.ndarray:
+    return np.cumsum(_from_planes(raw, 6))
+
+
 _GRAMS = {"bucket": pa.int64(), "keys": pa.binary(), "counts": pa.binary()}
 
 
@@ -144,7 +166,7 @@ def gram_counts(lots: DataFrame, buckets: int) -> DataFrame:
                     continue
                 keys, n = _summed(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
                 order, to, head = _dealt(keys, buckets)
-                yield _packed(_GRAMS, [(int(k), keys[part].tobytes(), n[part].astype(np.uint32).tobytes()) for k, part in zip(to, np.split(order, head[1:]), strict=True)])
+                yield _packed(_GRAMS, [(int(k), _ascending(keys[part]), _planes(n[part], 4)) for k, part in zip(to, np.split(order, head[1:]), strict=True)])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, held, waiting = None, [], 0
@@ -165,7 +187,7 @@ def gram_counts(lots: DataFrame, buckets: int) -> DataFrame:
                     yield out()
                     waiting = 0
                 bucket = k
-                held.append((np.frombuffer(keys, _U), np.frombuffer(n, np.uint32).astype(np.uint64)))
+                held.append((_from_ascending(keys), _from_planes(n, 4)))
                 waiting += len(held[-1][0])
                 if waiting > HELD:
                     merge()
@@ -369,14 +391,14 @@ def train(lots: DataFrame, buckets: int) -> tuple[Mixer, DataFrame]:
 def key_costs(lots: DataFrame, mixer: Mixer, grams: DataFrame) -> DataFrame:
     """(lot, at, costs): the bits of each lot's distinct keys, bucket by bucket."""
     model = lots.sparkSession.sparkContext.broadcast(vars(mixer))  # tables of a fixed size
-    kinds = {"bucket": pa.int64(), "lot": pa.string(), "keys": pa.binary(), "counts": pa.binary()}
+    kinds = {"bucket": pa.int64(), "lot": pa.int64(), "keys": pa.binary(), "counts": pa.binary()}
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lot, sizes, raw in zip(*(b.column(c).to_pylist() for c in ("lot", "sizes", "raw")), strict=True):
                 keys = _distinct(_texts(sizes, raw))
                 order, to, head = _dealt(keys, model.value["buckets"])
-                yield _packed(kinds, [(int(k), lot, keys[part].tobytes(), None) for k, part in zip(to, np.split(order, head[1:]), strict=True)])
+                yield _packed(kinds, [(int(k), lot, _ascending(keys[part]), None) for k, part in zip(to, np.split(order, head[1:]), strict=True)])
 
     def reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, bucket, tables = revived(Mixer, model.value), None, None
@@ -394,7 +416,7 @@ def key_costs(lots: DataFrame, mixer: Mixer, grams: DataFrame) -> DataFrame:
             known, cost = known[order], cost[order]
             rows = [(lot, bucket, cost[np.searchsorted(known, k)].tobytes()) for lot, k in asked]
             asked.clear()
-            return _packed({"lot": pa.string(), "at": pa.int64(), "costs": pa.binary()}, rows)
+            return _packed({"lot": pa.int64(), "at": pa.int64(), "costs": pa.binary()}, rows)
 
         for b in batches:
             for k, lot, keys, counts in zip(*(b.column(c).to_pylist() for c in kinds), strict=True):
@@ -403,20 +425,19 @@ def key_costs(lots: DataFrame, mixer: Mixer, grams: DataFrame) -> DataFrame:
                         yield out()
                     bucket, known, cost = k, known[:0], cost[:0]
                     tables = own.tables(np.zeros(0, _U), np.zeros(0))  # of a bucket that training texts don't know
-                keys = np.frombuffer(keys, _U)
                 if lot is None:
-                    tables = own.tables(keys, np.frombuffer(counts, np.uint64).astype(np.float64))
+                    tables = own.tables(np.frombuffer(keys, _U), np.frombuffer(counts, np.uint64).astype(np.float64))
                     continue
-                asked.append((lot, keys))
+                asked.append((lot, _from_ascending(keys)))
                 if sum(len(x) for _, x in asked) > HELD // 2:
                     yield out()
         if asked:
             yield out()
 
-    asks = lots.select("lot", "sizes", "raw").mapInArrow(tidy(ask), "bucket long, lot string, keys binary, counts binary")
-    met = asks.unionByName(grams.select("bucket", F.lit(None).cast("string").alias("lot"), "keys", "counts"))
+    asks = lots.select("lot", "sizes", "raw").mapInArrow(tidy(ask), "bucket long, lot long, keys binary, counts binary")
+    met = asks.unionByName(grams.select("bucket", F.lit(None).cast("long").alias("lot"), "keys", "counts"))
     met = met.repartition("bucket").sortWithinPartitions("bucket", F.asc_nulls_first("lot"))  # a bucket's training keys first
-    return met.mapInArrow(tidy(reply), "lot string, at long, costs binary")
+    return met.mapInArrow(tidy(reply), "lot long, at long, costs binary")
 
 
 def _numbers(texts: list[bytes]) -> tuple[dict[bytes, int], list[np.ndarray]]:
@@ -431,39 +452,89 @@ def _numbers(texts: list[bytes]) -> tuple[dict[bytes, int], list[np.ndarray]]:
 
 
 def word_counts(lots: DataFrame) -> tuple[DataFrame, int, int]:
-    """(lot, at, n): how often the training texts have each distinct word of a lot, by its number there; how many words
-    and ends they have, and how many distinct ones."""
-    kinds = {"lot": pa.string(), "at": pa.int64(), "word": pa.binary(), "n": pa.int64()}
+    """(lot, ats, counts): how often the training texts have distinct words of a lot, by their numbers there, packed in
+    several rows; how many words and ends the training texts have, and how many distinct ones.
+
+    A word stands once in a lot, so that it has no more rows than there are lots.
+    """
+    kinds = {"lot": pa.int64(), "at": pa.int32(), "word": pa.binary(), "n": pa.int32()}
+    out_kinds = {"lot": pa.int64(), "ats": pa.binary(), "counts": pa.binary(), "total": pa.int64(), "known": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lot, training, sizes, raw in zip(*(b.column(c).to_pylist() for c in ("lot", "training", "sizes", "raw")), strict=True):
                 numbers, parts = _numbers(_texts(sizes, raw))
                 trained = np.repeat(np.frombuffer(training, bool), [len(p) for p in parts])
-                n = np.bincount(np.concatenate(parts)[trained], minlength=len(numbers))
+                n = np.bincount(np.concatenate(parts)[trained], minlength=len(numbers)).astype(np.int32)
                 words = list(numbers)
                 for lo in range(0, len(words), 1 << 16):
                     some = words[lo : lo + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array([lot] * len(some)), pa.array(np.arange(lo, lo + len(some))), pa.array(some, pa.binary()), pa.array(n[lo : lo + len(some)].astype(np.int64))], names=list(kinds))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), lot)), pa.array(np.arange(lo, lo + len(some), dtype=np.int32)), pa.array(some, pa.binary()), pa.array(n[lo : lo + len(some)])], names=list(kinds))
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Over rows in the order of words: the last word waits for its other rows."""
+        word, held, waiting = None, [], []
+        total = known = 0
 
-    found = materialise(lots.select("lot", "training", "sizes", "raw").mapInArrow(tidy(run), "lot string, at long, word binary, n long"), "words")
-    counted = materialise(found.groupBy("word").agg(F.sum("n").alias("c"), F.count("*").alias("lots")), "counted")
-    total, distinct, common = counted.agg(F.sum("c"), F.sum((F.col("c") > 0).cast("long")), F.sum((F.col("lots") > COMMON).cast("long"))).first()
-    rare = found.join(counted.filter(F.col("lots") <= COMMON).select("word", "c"), "word")
-    if common:  # such words have many rows: their counts travel instead
-        often = counted.filter(F.col("lots") > COMMON).select("word", "c")
-        rare = rare.unionByName(found.join(F.broadcast(often) if common <= HELD else often, "word"))
-    return rare.select("lot", "at", F.col("c").alias("n")), total or 0, distinct or 0
+        def settled() -> None:
+            nonlocal total, known
+            lot, at, n = map(np.concatenate, zip(*held, strict=True))
+            held.clear()
+            c = int(n.sum())
+            total, known = total + c, known + (c > 0)
+            waiting.append((lot, at, np.full(len(lot), c, np.int64)))
+
+        def out() -> pa.RecordBatch:
+            lot, at, c = map(np.concatenate, zip(*waiting, strict=True))
+            waiting.clear()
+            order = np.lexsort((at, lot))
+            lot, at, c = lot[order], at[order], c[order]
+            head = np.flatnonzero(np.concatenate([[True], lot[1:] != lot[:-1]]))
+            cut = zip(head.tolist(), [*head[1:].tolist(), len(lot)], strict=True)
+            return _packed(out_kinds, [(int(lot[x]), _planes(np.diff(at[x:y].astype(np.int64), prepend=0), 4), _planes(c[x:y], 6), None, None) for x, y in cut])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            words = b.column("word")
+            lot, at, n = (b.column(c).to_numpy() for c in ("lot", "at", "n"))
+            new = np.flatnonzero(np.concatenate([[words[0].as_py() != word], pc.not_equal(words.slice(1), words.slice(0, b.num_rows - 1)).to_numpy(zero_copy_only=False)]))
+            word = words[b.num_rows - 1].as_py()
+            if not len(new):
+                held.append((lot, at, n))
+                continue
+            if new[0]:
+                held.append((lot[: new[0]], at[: new[0]], n[: new[0]]))
+            if held:
+                settled()
+            last = new[-1]
+            if len(new) > 1:
+                c = np.add.reduceat(n[: last].astype(np.int64), new[:-1])
+                total, known = total + int(c.sum()), known + int((c > 0).sum())
+                waiting.append((lot[new[0] : last], at[new[0] : last], np.repeat(c, np.diff(new))))
+            held.append((lot[last:], at[last:], n[last:]))
+            if sum(len(x[0]) for x in waiting) > HELD:
+                yield out()
+        if held:
+            settled()
+            yield out()
+        yield _packed(out_kinds, [(None, None, None, total, known)])
+
+    found = lots.select("lot", "training", "sizes", "raw").mapInArrow(tidy(run), "lot long, at int, word binary, n int").repartition("word").sortWithinPartitions("word")
+    counted = materialise(found.mapInArrow(tidy(tally), "lot long, ats binary, counts binary, total long, known long"), "counted")
+    total, distinct = counted.filter("lot is null").agg(F.sum("total"), F.sum("known")).first()
+    return counted.filter("lot is not null").select("lot", "ats", "counts"), total or 0, distinct or 0
 
 
 def scores(lots: DataFrame, costs: DataFrame, buckets: int, counts: DataFrame, total: int, distinct: int) -> DataFrame:
     """A row for each text of the lots, from the costs of its keys and the counts of its words."""
-    names = ("lot", "kind", "at", "n", "costs", *[c for c in _LOTS if c != "lot"])
-    void = lambda *cs: [F.lit(None).cast("binary").alias(c) for c in cs]
     heads = [c for c in _LOTS if c != "lot"]
-    whole = lots.select("lot", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("n"), *void("costs"), *heads)
-    whole = whole.unionByName(counts.select("lot", F.lit(1).alias("kind"), "at", "n", *void("costs", *heads)))
-    whole = whole.unionByName(costs.select("lot", F.lit(2).alias("kind"), "at", F.lit(0).cast("long").alias("n"), "costs", *void(*heads)))
+    names = ("lot", "kind", "at", "x", "y", *heads)
+    void = lambda *cs: [F.lit(None).cast("binary").alias(c) for c in cs]
+    number = lambda k: F.lit(k).cast("long")
+    whole = lots.select("lot", F.lit(0).alias("kind"), number(0).alias("at"), *void("x", "y"), *heads)
+    whole = whole.unionByName(counts.select("lot", F.lit(1).alias("kind"), number(0).alias("at"), F.col("ats").alias("x"), F.col("counts").alias("y"), *void(*heads)))
+    whole = whole.unionByName(costs.select("lot", F.lit(2).alias("kind"), "at", F.col("costs").alias("x"), *void("y", *heads)))
     kinds = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64(), "bits_per_byte": pa.float64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -472,13 +543,16 @@ def scores(lots: DataFrame, costs: DataFrame, buckets: int, counts: DataFrame, t
         def out() -> pa.RecordBatch:
             ids, known, training, sizes, raw = head
             texts = _texts(sizes, raw)
-            keys, sums, at = _distinct(texts), np.zeros(len(texts)), 0
+            keys, sums = _distinct(texts), np.zeros(len(texts))
             cost = np.zeros(len(keys))
             cost[_dealt(keys, buckets)[0]] = np.concatenate([np.frombuffer(x, np.float32) for x in bits])
             for some, owner in keyed(texts):
-                sums += np.bincount(owner, cost[np.searchsorted(keys, some)], len(texts))
+                used, back = np.unique(some, return_inverse=True)
+                sums += np.bincount(owner, cost[np.searchsorted(keys, used)][back], len(texts))
             numbers, parts = _numbers(texts)
-            c = np.concatenate(words)
+            c = np.zeros(len(numbers), np.int64)
+            for x, y in words:
+                c[np.cumsum(_from_planes(x, 4)).astype(np.int64)] = _from_planes(y, 6).astype(np.int64)
             logs = np.log10((c + 1.0) / (total + distinct + 1.0))
             flat, length = np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
             at = np.cumsum(length) - length  # every text has its end mark at least
@@ -488,21 +562,15 @@ def scores(lots: DataFrame, costs: DataFrame, buckets: int, counts: DataFrame, t
             return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(cols, kinds.values(), strict=True)], names=list(kinds))
 
         for b in batches:
-            kind = b.column("kind").to_numpy()
-            name = b.column("lot").to_pylist()
-            cut = [0, *(np.flatnonzero((kind[1:] != kind[:-1]) | np.array([x != y for x, y in zip(name, name[1:], strict=False)], bool)) + 1).tolist(), len(kind)]
-            for lo, hi in zip(cut, cut[1:], strict=False):
-                if lo == hi:
-                    continue
-                if kind[lo] == 0:
+            for row in zip(*(b.column(c).to_pylist() for c in names), strict=True):
+                if row[1] == 0:
                     if lot is not None:
                         yield out()
-                    lot, words, bits = name[lo], [], []
-                    head = [b.column(c)[lo].as_py() for c in heads]
-                elif kind[lo] == 1:
-                    words.append(b.column("n").slice(lo, hi - lo).to_numpy())
+                    lot, head, words, bits = row[0], row[5:], [], []
+                elif row[1] == 1:
+                    words.append(row[3:5])
                 else:
-                    bits.extend(b.column("costs").slice(lo, hi - lo).to_pylist())
+                    bits.append(row[3])
         if lot is not None:
             yield out()
 

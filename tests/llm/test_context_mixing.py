@@ -116,11 +116,22 @@ def test_probabilities_sum_to_one_and_beat_uniform(spark):
     assert len(got) == 30 and sum(r.bits_per_byte for r in got) / 30 < 2.6
 
 
-@pytest.mark.parametrize("common", [4096, 1])
-def test_very_long_and_common_words(spark, monkeypatch, common):
-    monkeypatch.setattr(m, "COMMON", common)
+def test_numbers_in_planes():
+    x = np.array([0, 1, 255, 256, 2**47 + 3], np.uint64)
+    assert m._from_planes(m._planes(x, 6), 6).tolist() == x.tolist() and m._from_ascending(m._ascending(x)).tolist() == x.tolist()
+    assert m._from_planes(m._planes(x[:0], 6), 6).tolist() == []
+
+
+@pytest.mark.parametrize("records", [10_000, 3])
+def test_very_long_and_common_words(spark, monkeypatch, records):
+    """A word whose rows straddle batches is counted once."""
+    monkeypatch.setattr(m, "LOT", 1000)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", records)
     rows = [(1, "word " * 300_000), (2, "x" * 500_000), (3, " " * 500_000), (4, "word x")]
-    got = {r.doc_id: (r.n_tokens, r.n_known, r.train_tokens) for r in score_corpus(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), F.col("doc_id") == 4).collect()}
+    try:
+        got = {r.doc_id: (r.n_tokens, r.n_known, r.train_tokens) for r in score_corpus(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), F.col("doc_id") == 4).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == {1: (300_001, 300_001, 300_004), 2: (2, 2, 300_004), 3: (1, 1, 300_004), 4: (3, 2, 300_004)}
 
 

@@ -66,3 +66,27 @@ def test_null_and_repeated_ids_lose_only_their_own_rows(spark, tmp_path):
     for x in [(3, near(other)), (4, near(third))]:
         want.remove(x)
     assert seen[2] == want
+
+
+def test_empty_table_passes_all_stages(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long, keep_id string")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, "")
+        assert out.collect() == [], name
+        docs = out if name != "sequences" else docs
+
+
+def test_long_texts_extra_columns_and_none_missing(spark):
+    """Very long texts, columns named like those that operators make, no source and no n_chars, rows without a lang."""
+    r = random.Random(9)
+    prose = lambda n: " ".join(r.choice("the of and thing other reading story house river stone".split()) + r.choice(["", "er", "en", "ing"]) for _ in range(n))
+    rows = [(k, prose(80), "en" if k % 2 else None, k) for k in range(20)] + [(100, prose(60_000), "en", 1), (101, " " * 900_000 + prose(50), "en", 2), (102, "\n" * 300_000, "en", 3), (103, "the " * 200_000, "en", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, piece long").selectExpr("*", "'c' as component_id", "1 as keep_id", "'t' as _h0x", "0 as score").repartition(3)
+    texts = {i: t for i, t, _, _ in rows}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns, name
+        docs = spark.createDataFrame(out.collect(), out.schema)
+        assert {x.doc_id: x.text for x in docs.select("doc_id", "text").collect()} == {i: t for i, t in texts.items() if i != 102}, name
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
+    assert {x.doc_id for x in packed} == set(texts) - {102}

@@ -59,39 +59,86 @@ def tensor4(i: Index, j: Index, columns: int, br: int, bc: int) -> tuple[Column,
     return div(i, br), div(j, bc), _c(i) % br, _c(j) % bc
 
 
+def from_tensor4(rb: Index, cb: Index, r: Index, c: Index, br: int, bc: int) -> tuple[Column, Column]:
+    return _c(rb) * br + _c(r), _c(cb) * bc + _c(c)
+
+
 def field(variant: int, je: Index, jk: Index, n: int, levels: int) -> Column:
     """Two-dimensional field: variants 1 and 2 run along edges, 3 and 4 along levels."""
     return _c(je) + _c(jk) * n if variant in (1, 2) else _c(jk) + _c(je) * levels
 
 
+def from_field(variant: int, pos: Index, n: int, levels: int) -> tuple[Column, Column]:
+    """(je, jk)."""
+    return (_c(pos) % n, div(pos, n)) if variant in (1, 2) else (div(pos, levels), _c(pos) % levels)
+
+
 def neighbour(variant: int, je: Index, k: Index, n: int, width: int = 2) -> Column:
     """Neighbour index: odd variants keep edges together, even ones an edge's neighbours."""
     return _c(je) + _c(k) * n if variant in (1, 3) else _c(je) * width + _c(k)
 
 
+def from_neighbour(variant: int, pos: Index, n: int, width: int = 2) -> tuple[Column, Column]:
+    """(je, k)."""
+    return (_c(pos) % n, div(pos, n)) if variant in (1, 3) else (div(pos, width), _c(pos) % width)
+
+
 def stencil_blocked(je: Index, jk: Index, block: int, levels: int) -> Column:
     return _c(je) % block + _c(jk) * block + div(je, block) * block * levels
 
 
+def from_stencil_blocked(pos: Index, block: int, levels: int) -> tuple[Column, Column]:
+    """(je, jk)."""
+    inner = _c(pos) % (block * levels)
+    return div(pos, block * levels) * block + inner % block, div(inner, block)
+
+
 def tile_levels_first(je: Index, jk: Index, tile: int, levels: int) -> Column:
     return div(je, tile) * tile * levels + _c(je) % tile * levels + _c(jk)
 
 
+def from_tile_levels_first(pos: Index, tile: int, levels: int) -> tuple[Column, Column]:
+    """(je, jk)."""
+    inner = _c(pos) % (tile * levels)
+    return div(pos, tile * levels) * tile + div(inner, levels), inner % levels
+
+
 def aosoa(f: Index, je: Index, jk: Index, n: int, fields: int, width: int) -> Column:
     """Groups of ``width`` edges with their fields side by side, level after level."""
     groups = -(-n // width)
     return _c(jk) * (groups * fields * width) + div(je, width) * (fields * width) + _c(f) * width + _c(je) % width
 
 
+def from_aosoa(pos: Index, n: int, fields: int, width: int) -> tuple[Column, Column, Column]:
+    """(field, je, jk)."""
+    level = -(-n // width) * fields * width
+    inner = _c(pos) % level
+    group = inner % (fields * width)
+    return div(group, width), div(inner, fields * width) * width + group % width, div(pos, level)
+
+
 def aosoa_levels_first(f: Index, je: Index, jk: Index, levels: int, fields: int, width: int) -> Column:
     return div(je, width) * (fields * width * levels) + _c(jk) * (fields * width) + _c(f) * width + _c(je) % width
 
 
+def from_aosoa_levels_first(pos: Index, levels: int, fields: int, width: int) -> tuple[Column, Column, Column]:
+    """(field, je, jk)."""
+    inner = _c(pos) % (fields * width * levels)
+    group = inner % (fields * width)
+    return div(group, width), div(pos, fields * width * levels) * width + group % width, div(inner, fields * width)
+
+
 def vnni(i: Index, j: Index, columns: int, pack: int = 4) -> Column:
     """Groups of ``pack`` rows lie together under each column."""
     return div(i, pack) * (columns * pack) + _c(j) * pack + _c(i) % pack
 
 
+def from_vnni(pos: Index, columns: int, pack: int = 4) -> tuple[Column, Column]:
+    """(i, j)."""
+    inner = _c(pos) % (columns * pack)
+    return div(pos, columns * pack) * pack + inner % pack, div(inner, pack)
+
+
 def swizzle(row: Index, column: Index) -> Column:
     """Column of a square power-of-two tile after the exclusive-or that spreads banks."""
     return _c(row).bitwiseXOR(_c(column))

@@ -60,3 +60,19 @@ def vector_steps(pos: Column, width: int, length: int) -> Column:
     """Step of a position under vectors of ``width``; null in the tail that fills no vector."""
     step = F.floor(pos / width)
     return F.when(step < length // width, step)
+
+
+def scheduled(je: Column, jk: Column, n: Column, levels: int, collapse: bool, edges_first: bool, width: int, parts: int) -> tuple[Column, Column]:
+    """(owner, step) of an iteration of a nest over n edges and levels.
+
+    The inner loop goes by vectors of ``width`` along edges or levels; step is null in a tail that fills no vector.  With
+    ``collapse`` owners share out the whole iteration space, edges first, else the outer loop.
+    """
+    share = lambda x, total: F.least(F.floor(x / F.ceil(total / F.lit(parts))), F.lit(parts - 1))
+    if edges_first:
+        owner = share(jk * n + je, n * levels) if collapse else share(jk, F.lit(levels))
+        vector, whole, outer = F.floor(je / width), F.floor(n / width), jk
+    else:
+        owner = share(jk * n + je, n * levels) if collapse else share(je, n)
+        vector, whole, outer = F.floor(jk / width), F.lit(levels // width), je
+    return owner, F.when(vector < whole, outer * whole + vector)

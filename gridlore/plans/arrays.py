@@ -91,6 +91,47 @@ def l10(spark, sf_dir):
     return matrix(spark, sf_dir).select(j.alias("i"), i.alias("j"), "v", L.vnni(i, j, COLS).alias("vnni"), L.swizzle(i % 64, j).alias("swz"))
 
 
+@register(
+    "l5_l7_l8_l9_l10_way_back",
+    """SELECT l_orderkey AS je, CAST(l_linenumber AS BIGINT) AS jk, l_orderkey AS f1, CAST(l_linenumber AS BIGINT) AS k1, l_orderkey AS f3, CAST(l_linenumber AS BIGINT) AS k3, l_orderkey AS n1, l_orderkey AS n2,
+    l_orderkey AS bj, CAST(l_linenumber AS BIGINT) AS bk, l_orderkey AS tj, CAST(l_linenumber AS BIGINT) AS tk, CAST(2 AS BIGINT) AS af, l_orderkey AS aj, CAST(l_linenumber AS BIGINT) AS ak, CAST(2 AS BIGINT) AS lf, l_orderkey AS lj, CAST(l_linenumber AS BIGINT) AS lk,
+    l_orderkey AS vi, CAST(l_linenumber AS BIGINT) AS vj, l_orderkey AS ti, CAST(l_linenumber AS BIGINT) AS tc FROM lineitem""",
+)
+def l_back(spark, sf_dir):
+    """Every layout's position is taken back to where it came from."""
+    je, jk, n, lev = F.col("je"), F.col("jk"), 1_000_000, 8
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("je"), F.col("l_linenumber").cast("long").alias("jk"))
+    long = lambda names, cols: [c.cast("long").alias(k) for k, c in zip(names, cols, strict=True)]
+    return rows.select(
+        "je", "jk",
+        *long(("f1", "k1"), L.from_field(1, L.field(1, je, jk, n, lev), n, lev)), *long(("f3", "k3"), L.from_field(3, L.field(3, je, jk, n, lev), n, lev)),
+        L.from_neighbour(1, L.neighbour(1, je, 1, n), n)[0].cast("long").alias("n1"), L.from_neighbour(2, L.neighbour(2, je, 1, n), n)[0].cast("long").alias("n2"),
+        *long(("bj", "bk"), L.from_stencil_blocked(L.stencil_blocked(je, jk, 16, lev), 16, lev)), *long(("tj", "tk"), L.from_tile_levels_first(L.tile_levels_first(je, jk, 64, lev), 64, lev)),
+        *long(("af", "aj", "ak"), L.from_aosoa(L.aosoa(2, je, jk, n, 3, 16), n, 3, 16)), *long(("lf", "lj", "lk"), L.from_aosoa_levels_first(L.aosoa_levels_first(2, je, jk, lev, 3, 16), lev, 3, 16)),
+        *long(("vi", "vj"), L.from_vnni(L.vnni(je, jk, lev), lev)), *long(("ti", "tc"), L.from_tensor4(*L.tensor4(je, jk, lev, 32, 4), 32, 4)),
+    )
+
+
+@register("l6_way_back", "SELECT p_partkey AS i, p_retailprice AS x, CAST(p_size AS DOUBLE) AS y FROM part")
+def l6_back(spark, sf_dir):
+    """Records to groups of eight with a vector per field, and from these to records again."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("i"), F.struct(F.col("p_partkey").alias("i"), F.col("p_retailprice").alias("x"), F.col("p_size").cast("double").alias("y")).alias("r"))
+    g = p.groupBy(L.div(F.col("i"), 8).alias("g")).agg(F.sort_array(F.collect_list("r")).alias("r")).select(F.col("r.i").alias("i"), F.col("r.x").alias("x"), F.col("r.y").alias("y"))
+    return g.select(F.inline(F.arrays_zip("i", "x", "y")))
+
+
+@register("l12_way_back", f"WITH {MAT} SELECT i, j, v FROM mat")
+def l12_back(spark, sf_dir):
+    """Halo blocks as arrays with a place for each row of a block and its halo; what is no halo is the matrix again."""
+    m = matrix(spark, sf_dir).withColumn("b", L.div(F.col("i"), 32))
+    rows = m.withColumn("place", F.col("i") % 32 + 1)
+    up = rows.filter("place = 1 and i > 0").withColumns({"b": F.col("b") - 1, "place": F.lit(33)})
+    down = rows.filter("place = 32").withColumns({"b": F.col("b") + 1, "place": F.lit(0)})
+    stored = rows.unionByName(up).unionByName(down).groupBy("place", "j").agg(F.collect_list(F.struct("b", "v")).alias("x"))  # places major, blocks minor
+    back = stored.filter("place between 1 and 32").select("place", "j", F.explode("x").alias("x"))
+    return back.select((F.col("x.b") * 32 + F.col("place") - 1).alias("i"), "j", F.col("x.v").alias("v"))
+
+
 @register(
     "l12_halo_blocks",
     f"WITH {MAT}, h AS (SELECT i // 32 AS b, i, j, v, false AS halo FROM mat UNION ALL SELECT i // 32 - 1, i, j, v, true FROM mat WHERE i % 32 = 0 AND i > 0 UNION ALL SELECT i // 32 + 1, i, j, v, true FROM mat WHERE i % 32 = 31) SELECT b, count(*) FILTER (WHERE NOT halo) AS own, count(*) FILTER (WHERE halo) AS halo, round(sum(v), 4) AS total FROM h GROUP BY b",

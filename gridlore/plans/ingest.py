@@ -65,7 +65,18 @@ def s13_ramp(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", generators.ramp(i).alias("re"), generators.ramp(i, 991).alias("im"))
 
 
-@register("s13_generators")
+_W = "18446744073709551616"  # 2^64
+_SIGNED = "CAST(CASE WHEN {0} >= 9223372036854775808 THEN {0}::HUGEINT - 18446744073709551616 ELSE {0}::HUGEINT END AS BIGINT)"
+
+
+@register(
+    "s13_generators",
+    f"""WITH a AS (SELECT o_orderkey, CAST((o_orderkey::UHUGEINT + {0x9E3779B97F4A7C15}) % {_W} AS UBIGINT) AS z, CAST(o_orderkey + 1 AS UBIGINT) AS y FROM orders),
+    b AS (SELECT o_orderkey, CAST(xor(z, z >> 30)::UHUGEINT * {0xBF58476D1CE4E5B9} % {_W} AS UBIGINT) AS z, xor(y, CAST(y::UHUGEINT * 8192 % {_W} AS UBIGINT)) AS y FROM a),
+    c AS (SELECT o_orderkey, CAST(xor(z, z >> 27)::UHUGEINT * {0x94D049BB133111EB} % {_W} AS UBIGINT) AS z, xor(y, y >> 7) AS y FROM b),
+    d AS (SELECT o_orderkey, xor(z, z >> 31) AS z, xor(y, CAST(y::UHUGEINT * 131072 % {_W} AS UBIGINT)) AS y FROM c)
+    SELECT o_orderkey, {_SIGNED.format("z")} AS splitmix, {_SIGNED.format("y")} AS xorshift, CAST(z >> 11 AS DOUBLE) / 9007199254740992 AS unit FROM d""",
+)
 def s13(spark, sf_dir):
     h = table(spark, sf_dir, "orders").select("o_orderkey", generators.hashed(F.col("o_orderkey")).alias("splitmix"), generators.hashed(F.col("o_orderkey") + 1, "xorshift64").alias("xorshift"))
     return h.withColumn("unit", generators.unit_interval(F.col("splitmix")))

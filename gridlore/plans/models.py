@@ -63,6 +63,28 @@ def c10(spark, sf_dir):
     return rounded(cost.metrics(trace(spark, sf_dir), F.col("b") % 4 != 3, cost.Weights(0.125, 4, 8.0), pooled=True))
 
 
+@register(
+    "c6_schedules",
+    """WITH n AS (SELECT count(*) AS n FROM orders), it AS (SELECT o_orderkey AS je, jk, o_custkey // 8 AS block, n FROM orders, n, (SELECT unnest(range(7)) AS jk)),
+    s AS (SELECT 'for' AS schedule, 'edges' AS inner_, least(jk // 2, 3) AS owner, CASE WHEN je // 4 < n // 4 THEN jk * (n // 4) + je // 4 END AS step, block FROM it
+        UNION ALL SELECT 'for', 'levels', least(je // ((n + 3) // 4), 3), CASE WHEN jk < 4 THEN je END, block FROM it
+        UNION ALL SELECT 'collapse2', 'edges', least((jk * n + je) // ((n * 7 + 3) // 4), 3), CASE WHEN je // 4 < n // 4 THEN jk * (n // 4) + je // 4 END, block FROM it),
+    t AS (SELECT schedule, inner_, owner, step, count(DISTINCT block) AS blocks FROM s WHERE step IS NOT NULL GROUP BY ALL)
+    SELECT schedule, inner_, CAST(owner AS BIGINT) AS owner, count(*) AS steps, CAST(sum(blocks) AS BIGINT) AS blocks FROM t GROUP BY ALL""",
+)
+def c6_schedules(spark, sf_dir):
+    """What each owner's vector steps touch: loops over levels or edges shared out, or both collapsed."""
+    o = table(spark, sf_dir, "orders")
+    it = o.select(F.col("o_orderkey").alias("je"), L.div(F.col("o_custkey"), 8).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(6))).alias("jk"))
+    out = None
+    for schedule, inner in (("for", "edges"), ("for", "levels"), ("collapse2", "edges")):
+        owner, step = cost.scheduled(F.col("je"), F.col("jk"), F.lit(o.count()), 7, schedule == "collapse2", inner == "edges", 4, 4)
+        rows = it.select(F.lit(schedule).alias("schedule"), F.lit(inner).alias("inner_"), owner.cast("long").alias("owner"), step.alias("step"), "block").filter("step is not null")
+        out = rows if out is None else out.unionByName(rows)
+    steps = out.groupBy("schedule", "inner_", "owner", "step").agg(F.countDistinct("block").alias("blocks"))
+    return steps.groupBy("schedule", "inner_", "owner").agg(F.count("*").alias("steps"), F.sum("blocks").alias("blocks"))
+
+
 @register("c6_vector_schedule", "WITH p AS (SELECT l_orderkey // 1000 AS slice, l_partkey // 8 AS block, row_number() OVER (PARTITION BY l_orderkey // 1000 ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS pos, count(*) OVER (PARTITION BY l_orderkey // 1000) AS n FROM lineitem) SELECT slice, pos // 16 AS step, count(DISTINCT block) AS blocks FROM p WHERE pos // 16 < n // 16 GROUP BY ALL")
 def c6(spark, sf_dir):
     """Steps of sixteen accesses; the tail that fills no vector is left out."""

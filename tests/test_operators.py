@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pytest import approx
 
 from gridlore.functions import layout as L
 from gridlore.functions import stats
@@ -237,6 +238,70 @@ def test_column_scheme_solves_each_level_as_one_system():
     assert np.allclose(got, [1 / 1.3, 2 / 1.5, (3 + 0.3 / 1.3) / 3, 4 / 2, 5])
 
 
+def test_column_processes_one_by_one():
+    """Each process on a single cell against its formula in plain numbers."""
+    from math import exp, pi, sqrt
+
+    from gridlore.operators.column import ICE, LIQUID, RAIN, SNOW, VAPOUR, Scheme
+
+    s, one = Scheme(), np.ones(1)
+    c = s.thermo
+
+    def done(method, amounts, *rest):
+        now, moves = np.zeros((5, 1)), np.zeros((5, 5, 1))
+        for k, v in amounts.items():
+            now[k] = v
+        out = getattr(s, method)(moves, now, *(one * x for x in rest))
+        return {(i, j): moves[i, j, 0] for i in range(5) for j in range(5) if moves[i, j, 0]}, now[:, 0], out
+
+    raw = c.r2es * exp(c.r3les * (290 - c.rtt) / (290 - c.r4les)) / 90_000
+    q = raw / (1 - c.retv * raw)
+    more = 1 + c.ralsdcp * c.r5ies / (290 - c.r4ies) ** 2 / (1 - c.retv * raw) * q
+    moves, now, _ = done("_supersaturate", {VAPOUR: 1.2 * q}, 290, 0, 90_000)
+    assert moves == {(VAPOUR, LIQUID): approx(0.2 * q / more)} and now[LIQUID] == approx(0.2 * q / more)
+    raw = c.r2es * exp(c.r3ies * (230 - c.rtt) / (230 - c.r4ies)) / 30_000
+    q, limit = raw / (1 - c.retv * raw), 0.5 + 0.5 * (c.rkoop1 - c.rkoop2 * 230)
+    more = 1 + c.ralsdcp * c.r5ies / (230 - c.r4ies) ** 2 / (1 - c.retv * raw) * q
+    moves, _, _ = done("_supersaturate", {VAPOUR: 2 * q}, 230, 0.5, 30_000)
+    assert moves == {(VAPOUR, ICE): approx(0.5 * (3 * q - limit * q) / more)}
+    assert done("_supersaturate", {VAPOUR: 0.5 * q}, 230, 0.5, 30_000)[0] == {}
+
+    moves, _, _ = done("_erode", {LIQUID: 3e-4, ICE: 1e-4, VAPOUR: 4e-3}, 270, 0.6, 6e-3)
+    lost = 0.6 * s.erosion * s.dt * 2e-3
+    assert moves == {(LIQUID, VAPOUR): approx(lost * 0.75), (ICE, VAPOUR): approx(lost * 0.25)}
+    assert done("_erode", {LIQUID: 3e-4, VAPOUR: 7e-3}, 270, 0.6, 6e-3)[0] == {}
+
+    ice = c.r2es * exp(c.r3ies * (260 - c.rtt) / (260 - c.r4ies)) / s.gas_ratio
+    water = ice * min(c.rkoop1 - c.rkoop2 * 260, exp(c.r3les * (260 - c.rtt) / (260 - c.r4les) - c.r3ies * (260 - c.rtt) / (260 - c.r4ies)))
+    nuclei = 1000 * exp(12.96 * (water - ice) / water - 0.639)
+    slow = c.rlstt * (c.rlstt / (461.5 * 260) - 1) / (2.4e-2 * 260) + 461.5 * 260 * 60_000 / (2.21 * ice)
+    first = 1e-5 / 0.5
+    grown = (0.666 * 7.8 * (nuclei / 0.8) ** 0.666 * (water - ice) / (8.87 * slow * ice) * s.dt + first**0.666) ** 1.5
+    many = min(nuclei / 15000, 1)
+    want = min(0.5 * (grown - first), 4e-4) * min(many + (1 - many) * (0.1 + 100 / 500), 1)
+    moves, now, _ = done("_deposit", {LIQUID: 4e-4, ICE: 1e-5}, 260, 0.5, 60_000, 0.8, 100)
+    assert moves == {(LIQUID, ICE): approx(want)} and now[ICE] == approx(1e-5 + want) and now[LIQUID] == approx(4e-4 - want)
+    assert done("_deposit", {LIQUID: 4e-4}, 275, 0.5, 60_000, 0.8, 100)[0] == {}
+
+    slope = (pi * 1000 * s.drops / (0.9 * 1e-4)) ** 0.25
+    whole = s.dt * 20 * pi**2 * 100 * s.drops * (1000 / 0.9) * (exp(0.66 * 5) - 1) / slope**7
+    assert done("_freeze", {RAIN: 1e-4, SNOW: 1e-5}, c.rtt - 5, 0.9)[0] == {(RAIN, SNOW): approx(min(whole, 1e-4))}
+    half = 5 * s.dt * 3.5 / s.melting_time / (c.ralsdcp - c.ralvdcp)
+    assert done("_freeze", {RAIN: 1e-2, SNOW: 1e-2}, c.rtt - 5, 0.9)[0] == {(RAIN, SNOW): approx(min(half, 1e-2))}
+    assert done("_freeze", {LIQUID: 1e-3}, c.rthomo - 0.01, 0.9)[0] == {(LIQUID, ICE): approx(0.01 / (c.ralsdcp - c.ralvdcp))}
+    assert done("_freeze", {RAIN: 1e-3, LIQUID: 1e-3}, 280, 0.9)[0] == {}
+
+    raw = c.r2es * exp(c.r3les * (285 - c.rtt) / (285 - c.r4les)) / 80_000
+    q = raw / (1 - c.retv * raw)
+    more = 1 + c.ralvdcp * c.r5les / (285 - c.r4les) ** 2 / (1 - c.retv * raw) * q
+    beta = 5.44e-4 * 0.5 * (sqrt(0.8) / 5.09e-3 * 1e-4 * 5000 / (s.gravity * s.dt) / 0.5) ** 0.5777
+    want = 0.5 * beta * s.dt * 0.5 * q / (1 + beta * s.dt * more)
+    moves, now, wet = done("_evaporate", {RAIN: 1e-4, VAPOUR: 0.5 * q}, 285, 0, 80_000, 100_000, 5000, 0.5)
+    assert moves == {(RAIN, VAPOUR): approx(min(want, 1e-4))} and now[RAIN] == approx(1e-4 - min(want, 1e-4))
+    assert wet[0] == approx(max(0.1, 0.5 - 0.5 * min(want, 1e-4) / 1e-4))
+    assert done("_evaporate", {RAIN: 1e-4, VAPOUR: q}, 285, 0, 80_000, 100_000, 5000, 0.5)[0] == {}
+
+
 def test_column_blocks_do_not_matter(spark):
     from gridlore.operators.column import microphysics
 

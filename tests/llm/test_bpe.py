@@ -62,3 +62,13 @@ def test_frame(spark, rows):
             assert r.n_tokens == len(r.ids) == 2
         else:
             assert r.n_tokens == 0 and r.ids_sha256 == r.decoded_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+def test_very_long_texts(spark):
+    """Whole texts: a long word, long white space, and many words, each as one row."""
+    texts = ["ab" * 60_000, " " * 500_000 + "end", "the quick foxes " * 20_000, "é日" * 20_000]
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in encode_decode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PATH, keep_text=False).collect()}
+    for i, t in enumerate(texts):
+        ids = LIBRARY.encode(t, add_special_tokens=False).ids
+        decoded = LIBRARY.decode(ids, skip_special_tokens=False)
+        assert got[i] == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())

@@ -24,6 +24,21 @@ def test_against_brute_force(spark, scale):
     assert sorted(map(tuple, got)) == brute(rows, range(0, 700, 50), 5)
 
 
+def test_chunks_of_queries_and_repeated_ones(spark, monkeypatch):
+    """Queries that fill many chunks; of query rows with one id the smallest vector is asked, and only that."""
+    import gridlore.llm.topk as m
+
+    monkeypatch.setattr(m, "CHUNK_BYTES", 256)
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in np.float32(rng.normal(size=6))]) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    twice = df.filter("vec_id % 10 = 0").unionByName(spark.createDataFrame([(10, [9.0] * 6)], "vec_id long, embedding array<float>"))
+    got = topk(df, twice, 4).collect()
+    asked = {**dict(rows), 10: min(dict(rows)[10], [9.0] * 6)}
+    assert sorted(tuple(r) for r in got if r.query_id != 10) == brute(rows, [i for i in range(0, 300, 10) if i != 10], 4)
+    assert asked[10] == dict(rows)[10] and sorted(tuple(r) for r in got if r.query_id == 10) == brute(rows, [10], 4)
+
+
 def test_blocks_are_pruned():
     rng = np.random.default_rng(0)
     blocks = []

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridlore.llm.common import clears_steps, materialise, partitions_for, revived, tidy
-from gridlore.llm.words import mix
+from gridlore.llm.words import distinct, mix
 
 ORDERS, LOW, END = 5, 2, b"\xff"
 #: Slots for each bit position of an order up to LOW, as a power of two; there are 2^24 keys of such orders at most.
@@ -119,8 +119,23 @@ def _texts(sizes: bytes, raw: bytes) -> list[bytes]:
 
 
 def _distinct(texts: list[bytes]) -> np.ndarray:
-    parts = [np.unique(k) for k, _ in keyed(texts)]
-    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, _U)
+    parts = [distinct(k) for k, _ in keyed(texts)]
+    return distinct(np.concatenate(parts)) if parts else np.zeros(0, _U)
+
+
+def _short_orders(keys: np.ndarray, owner: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int, np.ndarray]]:
+    """For every 2^16 keys: the distinct ones, the number among them of each, in the order of their places, and the owners
+    counted from the first.  A key and its place are one number, so that they are sorted together."""
+    for lo in range(0, len(keys), 1 << 16):
+        some = keys[lo : lo + (1 << 16)]
+        both = np.sort((some << _U(16)) | np.arange(len(some), dtype=_U))
+        key = both >> _U(16)
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        back = np.empty(len(key), np.uint16)
+        back[(both & _U(0xFFFF)).astype(np.uint16)] = np.cumsum(new) - 1
+        here = owner[lo : lo + (1 << 16)]
+        yield key[new], back, int(here[0]), here - here[0]
 
 
 def _dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -407,7 +422,7 @@ def key_costs(lots: DataFrame, mixer: Mixer, grams: DataFrame) -> DataFrame:
 
         def out() -> pa.RecordBatch:
             nonlocal known, cost
-            used = np.unique(np.concatenate([k for _, k in asked]))
+            used = distinct(np.concatenate([k for _, k in asked]))
             new = used[known.take(np.searchsorted(known, used), mode="clip") != used] if len(known) else used
             if len(known) + len(new) > 2 * HELD:
                 known, cost, new = known[:0], cost[:0], used
@@ -522,11 +537,11 @@ def word_counts(lots: DataFrame) -> tuple[DataFrame, int, int]:
 
     found = lots.select("lot", "training", "sizes", "raw").mapInArrow(tidy(run), "lot long, at int, word binary, n int").repartition("word").sortWithinPartitions("word")
     counted = materialise(found.mapInArrow(tidy(tally), "lot long, ats binary, counts binary, total long, known long"), "counted")
-    total, distinct = counted.filter("lot is null").agg(F.sum("total"), F.sum("known")).first()
-    return counted.filter("lot is not null").select("lot", "ats", "counts"), total or 0, distinct or 0
+    total, different = counted.filter("lot is null").agg(F.sum("total"), F.sum("known")).first()
+    return counted.filter("lot is not null").select("lot", "ats", "counts"), total or 0, different or 0
 
 
-def scores(lots: DataFrame, costs: DataFrame, buckets: int, counts: DataFrame, total: int, distinct: int) -> DataFrame:
+def scores(lots: DataFrame, costs: DataFrame, buckets: int, counts: DataFrame, total: int, different: int) -> DataFrame:
     """A row for each text of the lots, from the costs of its keys and the counts of its words."""
     heads = [c for c in _LOTS if c != "lot"]
     names = ("lot", "kind", "at", "x", "y", *heads)
@@ -543,17 +558,17 @@ def scores(lots: DataFrame, costs: DataFrame, buckets: int, counts: DataFrame, t
         def out() -> pa.RecordBatch:
             ids, known, training, sizes, raw = head
             texts = _texts(sizes, raw)
-            keys, sums = _distinct(texts), np.zeros(len(texts))
-            cost = np.zeros(len(keys))
+            ordered = [x for keys, owner in keyed(texts) for x in _short_orders(keys, owner)]
+            keys = distinct(np.concatenate([used for used, _, _, _ in ordered]))
+            cost, sums = np.zeros(len(keys)), np.zeros(len(texts))
             cost[_dealt(keys, buckets)[0]] = np.concatenate([np.frombuffer(x, np.float32) for x in bits])
-            for some, owner in keyed(texts):
-                used, back = np.unique(some, return_inverse=True)
-                sums += np.bincount(owner, cost[np.searchsorted(keys, used)][back], len(texts))
+            for used, back, first, owner in ordered:
+                sums[first : first + int(owner[-1]) + 1] += np.bincount(owner, cost[np.searchsorted(keys, used)][back])
             numbers, parts = _numbers(texts)
             c = np.zeros(len(numbers), np.int64)
             for x, y in words:
                 c[np.cumsum(_from_planes(x, 4)).astype(np.int64)] = _from_planes(y, 6).astype(np.int64)
-            logs = np.log10((c + 1.0) / (total + distinct + 1.0))
+            logs = np.log10((c + 1.0) / (total + different + 1.0))
             flat, length = np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
             at = np.cumsum(length) - length  # every text has its end mark at least
             ids = pa.array(np.frombuffer(ids, np.int64), mask=~np.frombuffer(known, bool))
@@ -592,5 +607,5 @@ def score_corpus(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text
     buckets = min(BUCKETS, partitions_for(rows, "text", BUCKET))
     lots = packed_lots(rows)
     mixer, grams = train(lots, buckets)
-    counts, total, distinct = word_counts(lots)
-    return scores(lots, key_costs(lots, mixer, grams), buckets, counts, total, distinct)
+    counts, total, different = word_counts(lots)
+    return scores(lots, key_costs(lots, mixer, grams), buckets, counts, total, different)

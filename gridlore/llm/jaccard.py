@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from gridlore.llm.common import clears_steps, materialise, tidy
 from gridlore.llm.components import components
-from gridlore.llm.words import Words, lots, mix, sequences
+from gridlore.llm.words import Words, distinct, lots, mix, sequences
 
 #: Entries of the table of frequent n-grams (a hint for the order), the longest l, and what verifying a
 #: candidate costs in postings.
@@ -51,7 +51,7 @@ def ngram_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
     out = []
     for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
         if b - a >= n:
-            out.append(np.unique(grams[a : b - n + 1]))
+            out.append(distinct(grams[a : b - n + 1]))
         elif b > a:
             out.append(sequences(w.hash[a:b], b - a))
         else:

@@ -22,6 +22,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The different numbers, sorted."""
+    x = np.sort(x)
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    return x[new]
+
+
 def powers(base: np.uint64, n: int) -> np.ndarray:
     out = np.full(max(n, 1), base, _U)
     out[0] = 1

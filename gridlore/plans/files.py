@@ -54,6 +54,20 @@ def s8(spark, sf_dir):
     return read.select(F.col("lbound")[0].cast("long").alias("nation"), F.size("data").cast("long").alias("cells"), F.round(total, 2).alias("total"), F.round(F.col("data")[0], 2).alias("head"), F.element_at("data", -1).alias("tail"))
 
 
+@register("s9_patch_loader", "SELECT c_custkey AS edge, k, (c_custkey * 7 + k) % n AS target FROM customer, (SELECT unnest([1, 2]) AS k), (SELECT count(*) AS n FROM customer)")
+def s9(spark, sf_dir):
+    """Indices and blocks of two neighbours of every edge, one dump for each array, become zero-based neighbours."""
+    c = table(spark, sf_dir, "customer")
+    target = F.pmod(F.col("c_custkey") * 7 + F.col("k"), F.lit(c.count()))
+    cells = c.select("c_custkey", F.explode(F.array(F.lit(1), F.lit(2))).alias("k")).select("c_custkey", "k", (target % 32 + 1).alias("idx"), (F.floor(target / 32) + 1).alias("blk"))
+    each = cells.unpivot(["c_custkey", "k"], ["idx", "blk"], "kind", "v").groupBy("kind", "k").agg(F.sort_array(F.collect_list(F.struct("c_custkey", "v"))).alias("x"))
+    entries = F.array_join(F.transform("x", lambda v: v["v"].cast("string")), "\n")
+    text = F.concat(F.lit("# rank\n1\n# size\n"), F.size("x"), F.lit("\n# lbound\n1\n# entries\n"), entries)
+    path = readers.scratch(spark, "patch")
+    each.select(F.concat_ws("_", F.lit("cell"), "kind", "k").alias("array"), text.alias("value")).write.partitionBy("array").option("maxRecordsPerFile", 1).text(path)
+    return readers.patch(spark, path, "cell", 2, 32)
+
+
 @register(
     "s12_rendered_table",
     "SELECT 1 AS line, '| r_regionkey | r_name |' AS text UNION ALL SELECT 2, '| --- | --- |' UNION ALL SELECT 2 + row_number() OVER (ORDER BY r_regionkey), '| ' || r_regionkey || ' | ' || r_name || ' |' FROM region",

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from gridlore.functions.layout import linearised
 from gridlore.functions.stats import finite
 
 
@@ -104,6 +105,20 @@ def array_dumps(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(_parse_dumps, "name string, rank int, size array<int>, lbound array<int>, data array<double>")
 
 
+def patch(spark: SparkSession, path: str, name: str, neighbours: int, width: int) -> DataFrame:
+    """(edge, k, target): zero-based neighbours from dumps of one-based indices and blocks of ``width``.
+
+    Below ``path`` each array has a folder ``array=<name>_idx_<k>`` or ``array=<name>_blk_<k>`` for k from 1.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(F.col("array").alias("path"), "content")
+    arrays = files.mapInPandas(_parse_dumps, "name string, rank int, size array<int>, lbound array<int>, data array<double>")
+    kind = F.regexp_extract("name", f"^{re.escape(name)}_(idx|blk)_([0-9]+)$", 1)
+    k = F.regexp_extract("name", f"^{re.escape(name)}_(idx|blk)_([0-9]+)$", 2).try_cast("int")
+    cells = arrays.select(kind.alias("kind"), k.alias("k"), F.posexplode("data").alias("edge", "v")).filter(F.col("kind") != "")
+    pairs = cells.filter(F.col("k") <= neighbours).groupBy("edge", "k").agg(*(F.max(F.when(F.col("kind") == x, F.col("v"))).cast("long").alias(x) for x in ("idx", "blk")))
+    return pairs.select(F.col("edge").cast("long").alias("edge"), "k", linearised(F.col("idx"), F.col("blk"), width).cast("long").alias("target"))
+
+
 def _parse_dumps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = [(p.rsplit("/", 1)[-1].rsplit(".", 1)[0], *parse_dump(bytes(c).decode())) for p, c in zip(b["path"], b["content"], strict=True)]

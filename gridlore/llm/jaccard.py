@@ -28,10 +28,10 @@ from gridlore.llm.words import Words, distinct, lots, mix, sequences
 #: Entries of the table of frequent n-grams (a hint for the order), the longest l, and what verifying a
 #: candidate costs in postings.
 FREQUENT, MOST_MATCHES, VERIFY = 1 << 18, 8, 20.0
-#: Members of a posting list that one task compares; longer lists are dealt over pairs of their parts.  Lists of up to
-#: LED members lie with the other lists that their smallest class leads, so that a pair which shares many n-grams is
-#: counted in one place; PAIRS that wait to be counted.
-LIST, LED, PAIRS = 2048, 512, 1 << 18
+#: Members of a posting list that one task compares; longer lists are dealt over pairs of their parts.  Shorter ones lie
+#: with the other lists that their smallest class leads, so that a pair which shares many n-grams is counted in one
+#: place; PAIRS that wait to be counted.
+LIST, PAIRS = 2048, 1 << 18
 #: Before components are known, each class meets partners in so many of its lists, elected alike by all, and in each
 #: of them the first and so many next to it whose thin sketches differ in at most so many of 128 bits.
 FIRST, NEAREST, ALIKE = 4, 2, 28
@@ -40,7 +40,8 @@ CELL = 1 << 20
 #: Ids that are sent to all executors at once; more are joined by a shuffle.
 SENT_IDS = 1 << 20
 #: Columns of the parity sketch of a whole set and of the thin one.
-_SKETCHES = ("s0", "s1", "t0", "t1")
+_WHOLE, _THIN = ("s0", "s1", "s2", "s3"), ("t0", "t1")
+_SKETCHES = _WHOLE + _THIN
 
 
 def ngram_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
@@ -119,7 +120,7 @@ def prefixes(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col:
                 for i, s in zip(ids, ngram_sets(raw, n), strict=True):
                     size = len(s)
                     if not size:
-                        rows.append((i, 0, b"", 0, 0, 0, 0, b"", 0, b""))
+                        rows.append((i, 0, b"", *[0] * len(_SKETCHES), b"", 0, b""))
                         continue
                     df = np.ones(size, np.int64)
                     if len(grams):
@@ -131,15 +132,15 @@ def prefixes(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col:
                     reads = np.cumsum(df[order])[size - overlap + matches - 1]
                     cost = reads + VERIFY * (reads - (size - overlap + matches)) / matches
                     m = int(matches[cost.argmin()])
-                    bits = parity_bits(s, max(128, 1 << (size - 1).bit_length()))
-                    parity = np.packbits(np.bitwise_xor.reduce(bits.reshape(-1, 128), 0)).view("<i8")
+                    bits = parity_bits(s, max(256, 1 << (size - 1).bit_length()))
+                    parity = np.packbits(np.bitwise_xor.reduce(bits.reshape(-1, 256), 0)).view("<i8")
                     prefix = s[order[: size - overlap + m]]
                     rows.append((i, size, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), *parity.tolist(), *thin_parity(s).tolist(), np.packbits(bits).tobytes(), m, prefix.tobytes()))
                 if rows:
-                    kinds = [pa.int64(), pa.int32(), pa.binary(), *[pa.int64()] * 4, pa.binary(), pa.int32(), pa.binary()]
+                    kinds = [pa.int64(), pa.int32(), pa.binary(), *[pa.int64()] * len(_SKETCHES), pa.binary(), pa.int32(), pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "size", "digest", *_SKETCHES, "sketch", "matches", "prefix"])
 
-    return _texts(docs, id_col, text_col).mapInArrow(tidy(run), "doc_id long, size int, digest binary, s0 long, s1 long, t0 long, t1 long, sketch binary, matches int, prefix binary")
+    return _texts(docs, id_col, text_col).mapInArrow(tidy(run), f"doc_id long, size int, digest binary, {', '.join(f'{c} long' for c in _SKETCHES)}, sketch binary, matches int, prefix binary")
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,10 +198,10 @@ def _pairs(num: int, den: int, ties: bool):
                 return sum(np.bitwise_count((x[c][i] ^ x[c][j]).view(np.uint64)).astype(np.int64) for c in sketch)
 
             def passing(i, j):
-                apart = differ(i, j, ("s0", "s1"))
+                apart = differ(i, j, _WHOLE)
                 ok = (apart * (den + num) <= (size[i] + size[j]) * (den - num)) & (x["label"][i] != x["label"][j]) & (size[i] * den >= size[j] * num)
                 if ties:
-                    ok &= differ(i, j, ("t0", "t1")) <= ALIKE
+                    ok &= differ(i, j, _THIN) <= ALIKE
                 return ok & ((x["part"][i] != x["part"][j]) | (x["p"][i] == x["q"][i]))  # a pair within a part is met in the part's own list
 
             def pairs(i, j):
@@ -238,7 +239,7 @@ def posting_lists(sets: DataFrame) -> DataFrame:
     A class lies in unrelated parts of different lists."""
     postings = sets.select("a", "prefix").mapInArrow(tidy(_postings), "gram long, a long")
     lengths = postings.groupBy("gram").agg(F.count("*").alias("n"), F.min("a").alias("leader")).filter("n > 1")
-    shared = postings.join(lengths, "gram").withColumn("key", F.when(F.col("n") <= LED, F.col("leader")).otherwise(F.col("gram"))).withColumn("parts", F.ceil(F.col("n") / F.lit(LIST)).cast("int"))
+    shared = postings.join(lengths, "gram").withColumn("key", F.when(F.col("n") <= LIST, F.col("leader")).otherwise(F.col("gram"))).withColumn("parts", F.ceil(F.col("n") / F.lit(LIST)).cast("int"))
     part = F.pmod(F.xxhash64("a", "gram"), F.col("parts")).cast("int").alias("part")
     shared = shared.join(sets.select("a", "size", "matches", *_SKETCHES), "a")
     elected = F.row_number().over(Window.partitionBy("a").orderBy(F.col("parts") > 1, F.xxhash64("gram"), "gram"))

@@ -41,7 +41,7 @@ def s3(spark, sf_dir):
     return read.groupBy("l_returnflag").agg(F.count("*").alias("n"), named.alias("named"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
 
 
-@register("s8_array_dumps", "SELECT s_nationkey AS nation, count(*) + 2 AS cells, round(sum(s_acctbal), 2) AS total, round(arg_min(s_acctbal, s_suppkey), 2) AS head, CAST(0 AS DOUBLE) AS tail FROM supplier GROUP BY s_nationkey")
+@register("s8_array_dumps", "SELECT CAST(s_nationkey AS BIGINT) AS nation, count(*) + 2 AS cells, round(sum(s_acctbal), 2) AS total, round(arg_min(s_acctbal, s_suppkey), 2) AS head, CAST(0 AS DOUBLE) AS tail FROM supplier GROUP BY s_nationkey")
 def s8(spark, sf_dir):
     """A dump for each nation, with two entries fewer than its size says: they are read as zeros."""
     s = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.sort_array(F.collect_list(F.struct("s_suppkey", "s_acctbal"))).alias("x"))

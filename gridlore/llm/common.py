@@ -66,6 +66,19 @@ def materialised_all(parts: Iterable[DataFrame], name: str = "step") -> DataFram
     return last.sparkSession.read.schema(last.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Returns to the system what this process has freed."""
+    import ctypes
+    import gc
+
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library keeps what it likes
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def clears_steps(operator: Callable) -> Callable:
     """``operator``, after which the steps written meanwhile are deleted but for those that its result still reads."""
 
@@ -82,6 +95,7 @@ def clears_steps(operator: Callable) -> Callable:
             steps.remove(path)
             there = spark._jvm.org.apache.hadoop.fs.Path(path)
             there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+        give_back()
         return out
 
     return outer
@@ -94,15 +108,7 @@ def tidy(run: Callable) -> Callable:
         try:
             yield from run(batches)
         finally:
-            import ctypes
-            import gc
-
-            import pyarrow
-
-            gc.collect()
-            pyarrow.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # another C library keeps what it likes
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            give_back()
 
     return outer
 

@@ -2,9 +2,9 @@
 
 Every language gets a context tree over bytes: contexts of three bytes down to none, with escape probabilities
 (method C), and below that a uniform guess over 256 bytes.  The trees are learnt from all labelled rows and then
-frozen; the code length of a whole text under each is exact, and the shortest code names the language.  Trees
-are of variable depth: where the distinct strings of a context's length would fill more than CELLS code lengths,
-those seen least are pruned, and their contexts escape to shorter ones.
+frozen; the code length of a whole text under each is exact, and the shortest code names the language.  All
+strings are kept: where those of an order fill more than CELLS code lengths, they lie in pages of that size, and
+an executor takes one page at a time.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from gridlore.llm.words import lots
 ORDER = 3
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
-#: Code lengths (strings times languages) of an order, bytes that are counted and code lengths that are summed at once,
+#: Code lengths (strings times languages) of a page, bytes that are counted and code lengths that are summed at once,
 #: and counts that a task holds before it passes them on.
 CELLS, STRETCH, SUMMED, HELD = 1 << 22, 1 << 19, 1 << 20, 1 << 18
 
@@ -84,40 +84,58 @@ def count_grams(labelled: DataFrame, lang_col: str, text_col: str) -> DataFrame:
 class Trees:
     """Frozen code lengths in bits of each byte after each context, for all languages at once."""
 
-    def __init__(self, langs: list[str], counts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
-        """``counts``: for each order from 0 the languages' numbers, strings (context and next byte) and counts."""
+    def __init__(self, langs: list[str]):
         self.langs = langs
-        self.levels: list[tuple[np.ndarray, ...]] = []  # strings, their bits; contexts, their escapes' bits
-        for k, (lang, gram, n) in enumerate(counts):
-            codes = np.unique(gram).astype(np.uint32)
-            c = np.zeros((len(codes), len(langs)))
-            np.add.at(c, (np.searchsorted(codes, gram), lang), n)
-            context = codes >> np.uint32(8)
-            heads = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(codes) else np.zeros(0, np.int64)
-            total, distinct = (np.add.reduceat(x, heads, axis=0) if len(heads) else x[:0] for x in (c, (c > 0).astype(float)))
-            of = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(codes))))
-            below = self.bits(k - 1, codes & np.uint32((1 << 8 * k) - 1))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                known = np.log2(total + distinct)[of] - np.log2(c)
-                escape = np.where(total > 0, np.log2(total + distinct) - np.log2(distinct), 0)
-            self.levels.append((codes, np.where(c > 0, known, escape[of] + below).astype(np.float32), context[heads], escape.astype(np.float32)))
+        self.levels: list = []  # pages of strings, their bits; contexts, their escapes' bits: by order, then by string
+        self.begins: list[tuple[int, int]] = []  # each page's order and the number from which its strings begin
+
+    def page(self, number: int) -> tuple[np.ndarray, ...]:
+        """A page, which an executor does not keep where there are several for an order."""
+        held = self.levels[number]
+        if isinstance(held, tuple):
+            return held
+        out = held.value
+        if len(self.levels) > ORDER + 1:
+            vars(held).pop("_value", None)
+        return out
+
+    def add(self, k: int, begin: int, lang: np.ndarray, gram: np.ndarray, n: np.ndarray) -> None:
+        """A page of order k, when all of lower orders are there: the languages' numbers, strings (context and next byte)
+        and counts.  A context's strings lie in one page."""
+        codes = np.unique(gram).astype(np.uint32)
+        c = np.zeros((len(codes), len(self.langs)))
+        np.add.at(c, (np.searchsorted(codes, gram), lang), n)
+        context = codes >> np.uint32(8)
+        heads = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(codes) else np.zeros(0, np.int64)
+        total, distinct = (np.add.reduceat(x, heads, axis=0) if len(heads) else x[:0] for x in (c, (c > 0).astype(float)))
+        of = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(codes))))
+        below = self.bits(k - 1, codes & np.uint32((1 << 8 * k) - 1))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            known = np.log2(total + distinct)[of] - np.log2(c)
+            escape = np.where(total > 0, np.log2(total + distinct) - np.log2(distinct), 0)
+        self.levels.append((codes, np.where(c > 0, known, escape[of] + below).astype(np.float32), context[heads], escape.astype(np.float32)))
+        self.begins.append((k, begin))
 
     def bits(self, k: int, gram: np.ndarray) -> np.ndarray:
         """What the last byte of each string of k + 1 bytes costs after the others, in each language."""
         if k < 0:
             return np.full((len(gram), len(self.langs)), 8, np.float32)
-        codes, bits, contexts, escapes = self.levels[k]
-        at = np.searchsorted(codes, gram)
-        found = codes.take(at, mode="clip") == gram if len(codes) else np.zeros(len(gram), bool)
-        out = np.empty((len(gram), len(self.langs)), np.float32)
-        out[found] = bits[at[found]]
-        rest = gram[~found]
-        if len(rest):
-            below = self.bits(k - 1, rest & np.uint32((1 << 8 * k) - 1))
-            if len(contexts):
-                j = np.minimum(np.searchsorted(contexts, rest >> np.uint32(8)), len(contexts) - 1)
-                below = below + np.where((contexts[j] == rest >> np.uint32(8))[:, None], escapes[j], np.float32(0))
-            out[~found] = below
+        out, found = np.zeros((len(gram), len(self.langs)), np.float32), np.zeros(len(gram), bool)
+        pages = [(number, begin) for number, (order, begin) in enumerate(self.begins) if order == k]
+        for (number, begin), (_, end) in zip(pages, [*pages[1:], (0, 1 << 32)], strict=True):
+            here = slice(None) if len(pages) == 1 else np.flatnonzero((gram >= begin) & (gram < end))
+            some = gram[here]
+            codes, bits, contexts, escapes = self.page(number) if len(some) else (gram[:0],) * 4
+            if not len(codes):
+                continue
+            at = np.minimum(np.searchsorted(codes, some), len(codes) - 1)
+            there = codes[at] == some
+            j = np.minimum(np.searchsorted(contexts, some >> np.uint32(8)), len(contexts) - 1)
+            escaped = np.where((contexts[j] == some >> np.uint32(8))[:, None], escapes[j], np.float32(0))
+            out[here], found[here] = np.where(there[:, None], bits[at], escaped), there
+        rest = ~found
+        if rest.any():
+            out[rest] += self.bits(k - 1, gram[rest] & np.uint32((1 << 8 * k) - 1))
         return out
 
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
@@ -147,32 +165,48 @@ class Trees:
 def train(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Trees:
     """Learns from every row with a language and a text; equal code lengths go to the first language by name."""
     counted = materialise(count_grams(labelled, lang_col, text_col), "strings")
-    langs = sorted(r["lang"] for r in counted.select("lang").distinct().collect())
-    counts = []
+    trees = Trees(sorted(r["lang"] for r in counted.select("lang").distinct().collect()))
     for k in range(ORDER + 1):
         rows = counted.groupBy("lang", F.col("gram").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("gram")).agg(F.sum("n").alias("n"))
-        most = CELLS // max(1, len(langs))
+        most = CELLS // max(1, len(trees.langs))
+        begins = [0]
         if 1 << 8 * (k + 1) > most:  # else all strings of the length fit
-            level = F.floor(F.log2("n") * 4).alias("level")
-            seen = rows.groupBy("gram").agg(F.sum("n").alias("n")).select("gram", level)
-            sizes = sorted(((r["level"], r["count"]) for r in seen.groupBy("level").count().collect()), reverse=True)
-            least = [x for (x, _), total in zip(sizes, np.cumsum([n for _, n in sizes]), strict=True) if total <= most]
-            if len(least) < len(sizes):
-                rows = rows.join(seen.filter(F.col("level") >= least[-1]) if least else seen.limit(0), "gram", "left_semi")
-        rows = rows.toArrow()  # at most CELLS rows
-        names = rows.column("lang").combine_chunks().dictionary_encode()
-        number = np.array([langs.index(x) for x in names.dictionary.to_pylist()], np.int64)
-        lang = number[names.indices.to_numpy()] if rows.num_rows else np.zeros(0, np.int64)
-        counts.append((lang, rows.column("gram").to_numpy().astype(np.uint32), rows.column("n").to_numpy().astype(np.float64)))
-    return Trees(langs, counts)
+            rows = materialise(rows, "level")
+            sizes = rows.select("gram").distinct().groupBy(F.shiftright("gram", 8).alias("context")).agg(F.count("*").alias("n")).toArrow()
+            begins += _cuts(sizes.column("context").to_numpy(), sizes.column("n").to_numpy(), most)
+        for begin, end in zip(begins, [*begins[1:], 1 << 32], strict=True):
+            page = rows.filter((F.col("gram") >= begin) & (F.col("gram") < end)).toArrow()  # at most CELLS rows, or one context's
+            names = page.column("lang").combine_chunks().dictionary_encode()
+            number = np.array([trees.langs.index(x) for x in names.dictionary.to_pylist()], np.int64)
+            lang = number[names.indices.to_numpy()] if page.num_rows else np.zeros(0, np.int64)
+            trees.add(k, begin, lang, page.column("gram").to_numpy().astype(np.uint32), page.column("n").to_numpy().astype(np.float64))
+    return trees
+
+
+def _cuts(contexts: np.ndarray, sizes: np.ndarray, most: int) -> list[int]:
+    """The strings from which further pages begin, so that each holds whole contexts and no more than ``most`` strings."""
+    order = np.argsort(contexts)
+    contexts, total = contexts[order], np.cumsum(sizes[order])
+    out, lo = [], 0
+    while lo < len(total):
+        lo = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + most, side="right")))
+        if lo < len(total):
+            out.append(int(contexts[lo]) << 8)
+    return out
+
+
+def _sent(docs: DataFrame, trees: Trees) -> dict:
+    """What executors make the trees from: each page is broadcast by itself."""
+    sc = docs.sparkSession.sparkContext
+    return vars(trees) | {"levels": [sc.broadcast(page) for page in trees.levels]}  # at most CELLS code lengths each
 
 
 def explained(docs: DataFrame, trees: Trees, most: float, text_col: str = "text") -> DataFrame:
     """The rows, whole and as they are, whose text has a language that takes at most ``most`` bits a byte."""
-    model = docs.sparkSession.sparkContext.broadcast(vars(trees))
+    model = _sent(docs, trees)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = revived(Trees, model.value)
+        own = revived(Trees, model)
         for b in batches:
             names, _, rates = own.predict(b.column(text_col).to_pylist())
             yield b.filter(pa.array([x != UNKNOWN and r <= most for x, r in zip(names, rates, strict=True)], pa.bool_()))
@@ -186,10 +220,10 @@ def identify(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: st
     A text that is null or has no letter, or any text if nothing was learnt, is ``und`` with score 0 and 0 bits.
     Repeated rows and null ids are rows of their own; an empty table gives no rows; other columns are not read.
     """
-    model = docs.sparkSession.sparkContext.broadcast(vars(trees))  # at most CELLS code lengths for each order
+    model = _sent(docs, trees)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = revived(Trees, model.value)
+        own = revived(Trees, model)
         for b in batches:
             names, *numbers = own.predict(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), *(pa.array(x, pa.float64()) for x in numbers)], names=["doc_id", "lang_pred", "score", "bits_per_byte"])

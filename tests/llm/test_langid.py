@@ -92,3 +92,21 @@ def test_very_long_text(spark):
 def test_counts_cover_all_rows(spark):
     df = spark.createDataFrame([("A", "ab")] * 500, "lang string, text string").repartition(3)
     assert {r.n for r in count_grams(df, "lang", "text").collect()} == {500}
+
+
+def test_pages_hold_all_strings(spark, monkeypatch):
+    rows = [(k, x, t) for k, (x, t) in enumerate([("A", t) for t in words(1, "abcdé", 40)] + [("B", t) for t in words(2, "defñ", 40)])]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    full = train(df)
+    texts = [t.encode() for _, _, t in rows] + ["fade éa zzz ñab".encode(), b""]
+    want, found = full.code_lengths(texts), identify(df, full, more=True).collect()
+    monkeypatch.setattr(m, "CELLS", 100)
+    small = train(df)
+    assert len(small.levels) > len(full.levels) == 4
+    assert sum(len(page[0]) for page in small.levels) == sum(len(page[0]) for page in full.levels)
+    assert np.allclose(small.code_lengths(texts), want, rtol=1e-6)
+    assert sorted(identify(df, small, more=True).collect()) == [approx_row(r) for r in sorted(found)]
+
+
+def approx_row(r):
+    return r.doc_id, r.lang_pred, pytest.approx(r.score), pytest.approx(r.bits_per_byte)

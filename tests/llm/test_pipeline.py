@@ -90,3 +90,16 @@ def test_long_texts_extra_columns_and_none_missing(spark):
         assert {x.doc_id: x.text for x in docs.select("doc_id", "text").collect()} == {i: t for i, t in texts.items() if i != 102}, name
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
     assert {x.doc_id for x in packed} == set(texts) - {102}
+
+
+def test_the_drivers_heap_is_collected_when_half_full():
+    from types import SimpleNamespace
+
+    from gridlore.llm.common import shrink_heap
+
+    for total, want in ((400, 0), (501, 1)):
+        calls = []
+        heap = SimpleNamespace(totalMemory=lambda total=total: total, maxMemory=lambda: 1000)
+        system = SimpleNamespace(gc=lambda calls=calls: calls.append(1))
+        shrink_heap(SimpleNamespace(_jvm=SimpleNamespace(Runtime=SimpleNamespace(getRuntime=lambda heap=heap: heap), System=system)))
+        assert len(calls) == want

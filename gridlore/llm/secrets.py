@@ -19,7 +19,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlore.llm.common import materialise
+from gridlore.llm.common import materialise, shrink_driver
 
 #: Words of the dictionary, trees and their depth, labelled findings of each kind that are made up.
 DICTIONARY, TREES, DEPTH, EXAMPLES = 4000, 16, 7, 300
@@ -236,7 +236,9 @@ class Scanner:
         """The dictionary comes from all texts; the forest from ``labelled``, by default made-up findings."""
         words = dictionary(docs, text_col)
         describer = Describer(words)
-        return cls(describer, train(labelled if labelled is not None else labelled_examples(docs.sparkSession, words), describer))
+        model = train(labelled if labelled is not None else labelled_examples(docs.sparkSession, words), describer)
+        shrink_driver(docs.sparkSession)  # the fit's jobs and plans are done; the scan's plan is large itself
+        return cls(describer, model)
 
     def scored(self, text: Column, path: Column) -> Column:
         """Array of (word_no, candidate, score) of a text's candidates; empty for null or empty texts."""

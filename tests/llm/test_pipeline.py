@@ -103,3 +103,16 @@ def test_the_drivers_heap_is_collected_when_half_full():
         system = SimpleNamespace(gc=lambda calls=calls: calls.append(1))
         shrink_heap(SimpleNamespace(_jvm=SimpleNamespace(Runtime=SimpleNamespace(getRuntime=lambda heap=heap: heap), System=system)))
         assert len(calls) == want
+
+
+def test_the_drivers_native_memory_is_trimmed(spark, monkeypatch):
+    """After each step and after the forest's fit; the JVM of the tests knows the command."""
+    from gridlore.llm import common
+    from gridlore.llm.secrets import Scanner
+
+    said, own = [], common.trim_native
+    monkeypatch.setattr(common, "trim_native", lambda s: said.append(own(s)))
+    common.materialise(spark.range(3))
+    assert len(said) == 1 and "rim native heap" in said[0]
+    Scanner.fitted(spark.createDataFrame([(1, "some words here", "a")], "doc_id long, text string, source string"))
+    assert len(said) == 3

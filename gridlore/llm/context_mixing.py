@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridlore.llm.common import clears_steps, materialise, partitions_for, revived, tidy
+from gridlore.llm.common import LARGE_ROWS, clears_steps, materialise, partitions_for, revived, small_batches, tidy
 from gridlore.llm.words import distinct, mix
 
 ORDERS, LOW, END = 5, 2, b"\xff"
@@ -110,7 +110,7 @@ def packed_lots(rows: DataFrame) -> DataFrame:
         if held:
             yield out()
 
-    return materialise(rows.select("doc_id", "training", "text").mapInArrow(tidy(run), "lot long, ids binary, known binary, training binary, sizes binary, raw binary"), "lots")
+    return materialise(rows.select("doc_id", "training", "text").mapInArrow(tidy(run), "lot long, ids binary, known binary, training binary, sizes binary, raw binary"), "lots", LARGE_ROWS)
 
 
 def _texts(sizes: bytes, raw: bytes) -> list[bytes]:
@@ -212,12 +212,12 @@ def gram_counts(lots: DataFrame, buckets: int) -> DataFrame:
 
     ddl = "bucket long, keys binary, counts binary"
     dealt = lots.select("training", "sizes", "raw").mapInArrow(tidy(count), ddl)
-    return materialise(dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(add), ddl), "grams")
+    return materialise(dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(add), ddl), "grams", LARGE_ROWS)
 
 
 def _unpacked(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for keys, n in zip(b.column("keys").to_pylist(), b.column("counts").to_pylist(), strict=True):
-        yield np.frombuffer(keys, _U), np.frombuffer(n, np.uint64).astype(np.float64)
+    for keys, n in zip(b.column("keys"), b.column("counts"), strict=True):  # not copied: a bucket's row may be large
+        yield np.frombuffer(keys.as_buffer(), _U), np.frombuffer(n.as_buffer(), np.uint64).astype(np.float64)
 
 
 def slots(keys: np.ndarray, order: int, bit: int, bits: int) -> np.ndarray:
@@ -251,6 +251,12 @@ def slot_tables(keys: np.ndarray, counts: np.ndarray, orders: range, bits: int |
     return out
 
 
+def _collected(rows: DataFrame) -> pa.Table:
+    """A bounded result, made from bounded batches: a task's files hold more buckets the larger the corpus is."""
+    with small_batches(rows.sparkSession):
+        return rows.toArrow()
+
+
 def low_tables(grams: DataFrame) -> dict[int, np.ndarray]:
     """The tables of the orders up to LOW, from the counts of at most 2^24 strings of three bytes."""
 
@@ -260,7 +266,7 @@ def low_tables(grams: DataFrame) -> dict[int, np.ndarray]:
                 low, n = _summed(keys & _U(0xFFFFFF), n)
                 yield pa.RecordBatch.from_arrays([pa.array(low.astype(np.int64)), pa.array(n)], names=["low", "n"])
 
-    rows = grams.mapInArrow(tidy(run), "low long, n double").groupBy("low").agg(F.sum("n").alias("n")).toArrow()
+    rows = _collected(grams.mapInArrow(tidy(run), "low long, n double").groupBy("low").agg(F.sum("n").alias("n")))
     return slot_tables(rows.column("low").to_numpy().astype(_U), rows.column("n").to_numpy(), range(1, LOW + 1), SLOT_BITS)
 
 
@@ -375,7 +381,7 @@ def train(lots: DataFrame, buckets: int) -> tuple[Mixer, DataFrame]:
                     seen += by
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array(total.ravel()), pa.array(np.repeat(seen, ORDERS + 1))], names=["at", "total", "seen"])
 
-        rows = grams.mapInArrow(tidy(weights), "at int, total double, seen double").groupBy("at").agg(F.sum("total").alias("total"), F.sum("seen").alias("seen")).filter("seen > 0").toArrow()
+        rows = _collected(grams.mapInArrow(tidy(weights), "at int, total double, seen double").groupBy("at").agg(F.sum("total").alias("total"), F.sum("seen").alias("seen")).filter("seen > 0"))
         at, total, seen = (c.to_numpy() for c in rows.columns)  # a row for each weight
         flat = mixer.weights.ravel().copy()
         flat[at] = (total / seen).astype(np.float32)
@@ -391,7 +397,7 @@ def train(lots: DataFrame, buckets: int) -> tuple[Mixer, DataFrame]:
         some = np.flatnonzero(out.sum(0))
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(out[0, some]), pa.array(out[1, some])], names=["at", "zeros", "ones"])
 
-    rows = grams.mapInArrow(tidy(outcomes), "at int, zeros double, ones double").groupBy("at").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones")).toArrow()
+    rows = _collected(grams.mapInArrow(tidy(outcomes), "at int, zeros double, ones double").groupBy("at").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones")))
     at, zeros, ones = (c.to_numpy() for c in rows.columns)
     start = np.tile(np.arange(-8, 8.5, 0.5), 256)[at]
     share = 1 / (1 + np.exp(-start))
@@ -608,4 +614,5 @@ def score_corpus(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text
     lots = packed_lots(rows)
     mixer, grams = train(lots, buckets)
     counts, total, different = word_counts(lots)
-    return scores(lots, key_costs(lots, mixer, grams), buckets, counts, total, different)
+    # written here, where batches are bounded: buckets and lots of one task would come in one
+    return materialise(scores(lots, key_costs(lots, mixer, grams), buckets, counts, total, different), "scores")

@@ -153,3 +153,43 @@ def test_empty_and_untrained(spark):
     assert score_corpus(df.limit(0), F.lit(False)).collect() == []
     (r,) = score_corpus(df, F.lit(True)).collect()
     assert r.train_tokens == 0 and r.n_known == 0 and r.bits_per_byte == pytest.approx(8, abs=1e-6) and r.held_out
+
+
+def test_batches_are_bounded_at_every_step(spark, monkeypatch, tmp_path):
+    """Many buckets and lots in one task come in batches of a few rows, whatever the caller does with the result."""
+    from gridlore.llm import common
+
+    def noted(run):
+        name = run.__name__
+
+        def outer(batches):
+            def seen():
+                for b in batches:
+                    with open(f"{tmp_path}/sizes", "a") as f:
+                        f.write(f"{name} {b.num_rows} {b.nbytes}\n")
+                    yield b
+
+            yield from run(seen())
+
+        return outer
+
+    monkeypatch.setattr(m, "tidy", noted)
+    monkeypatch.setattr(m, "LOT", 2000)
+    monkeypatch.setattr(m, "BUCKET", 1000)
+    monkeypatch.setattr(common, "BATCH_BYTES", 1 << 14)
+    rows = [(k, t) for k, t in enumerate(texts(7, 400))]
+    assert score_corpus(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), F.col("doc_id") % 5 == 0).count() == 400
+    sizes = [x.split() for x in (tmp_path / "sizes").read_text().splitlines()]
+    assert {"weights", "outcomes", "reply", "run"} <= {x[0] for x in sizes}
+    assert max(int(n) for name, _, n in sizes) < 6 << 14, max(sizes, key=lambda x: int(x[2]))
+
+
+def test_rows_of_lots_lie_in_small_row_groups(spark):
+    """Lots of megabytes from one task neither wait in its writer nor come to a reader together."""
+    import pyarrow.parquet as pq
+
+    rows = spark.range(24, numPartitions=1).selectExpr("id as doc_id", "true as training", "repeat(sha2(string(id), 512), 50000) as text")
+    files = [f.removeprefix("file://") for f in packed_lots(rows).inputFiles()]
+    meta = [pq.ParquetFile(f).metadata for f in files]
+    assert sum(x.num_rows for x in meta) == 24
+    assert max(x.row_group(k).num_rows for x in meta for k in range(x.num_row_groups)) <= 2
